@@ -24,6 +24,8 @@ STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    # Many small stores: no space is set aside ahead of need.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 ARRIVAL = "doc_id bigint, digest string, locator string"
 CHANGE = "digest string, keep struct<doc_id:bigint,locator:string>, n_rows bigint, epoch bigint"
@@ -82,6 +84,7 @@ def collided_digests(rows: DataFrame, hits: DataFrame, total: int) -> DataFrame:
     """Digests whose rows do not all have the bytes of the row that stays. A large group's content is laid out once
     per ROWS_PER_SALT rows, so that no task gets a whole hot group."""
     found = left_join_groups(rows, hits.drop("locator"), "digest", "n_rows", total).where(F.col("n_rows").isNotNull())
+    found = written(found, "hits")  # the texts of all rows are dealt out once, those of hits are all that is used below
     salts = F.ceil(F.col("n_rows") / ROWS_PER_SALT).cast("long")
     members = found.select("digest", "text", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"))
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(
