@@ -29,7 +29,7 @@ BLOCK_BYTES = 4096
 CYCLE = 1000
 #: Default target weights: a source's share of all bytes to this power, scaled to one in all.
 TEMPER = 0.9
-ROWS_PER_RANGE = 20_000
+ROWS_PER_RANGE = 2000
 
 
 def natural_weights(sizes: DataFrame, temper: float = TEMPER) -> DataFrame:
