@@ -88,29 +88,33 @@ def next_ids(ids: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text, anchors (array<int>) of every document."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return base.select("doc_id", "text", syncmers(F.col("text")).alias("anchors"))
-
-
 def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
     """Every document beside its edited text: the last floor(n / share) code points give way to as many first ones of
-    the next document (descending doc_id)."""
-    prints = fingerprints(docs)
-    cut = (F.length("text") / share).cast("int")
-    asks = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text_or_empty()) / share).cast("int").alias("want"))
-    asks = asks.groupBy("doc_id").agg(F.max("want").alias("want"))
-    asks = next_ids(docs.select(F.col("doc_id").cast("long").alias("doc_id"))).join(asks, "doc_id")
-    asks = asks.select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
-    given = (
-        prints.join(asks, "doc_id")
-        .select(F.col("asker").alias("doc_id"), F.expr("left(text, want)").alias("head"), F.col("anchors").alias("next_anchors"))
+    the next document (descending doc_id). Columns: doc_id, text, edited, anchors, edited_anchors, next_anchors.
+
+    Texts are dealt out by doc_id once; both joins read that exchange, and anchors are taken from what they give.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    known = base.where(F.col("doc_id").isNotNull())
+    n_cut = (F.length("text") / share).cast("int")
+    asks = known.groupBy("doc_id").agg(F.max(n_cut).alias("want"))
+    asks = next_ids(known).join(asks, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
+    given = known.join(asks, "doc_id").select(
+        F.col("asker").alias("doc_id"), F.struct(F.expr("left(text, want)").alias("head"), syncmers(F.col("text")).alias("anchors")).alias("given")
     )
-    pairs = prints.join(given, "doc_id", "left")
-    pairs = pairs.withColumn("edited", F.concat(F.expr(f"left(text, length(text) - cast(length(text) / {share} as int))"), F.coalesce("head", F.lit(""))))
-    pairs = pairs.withColumn("edited_anchors", syncmers(F.col("edited")))
-    return pairs.select("doc_id", "text", "edited", "anchors", "edited_anchors", "next_anchors", cut.alias("n_replaced"))
+    # Only repeated ids give several next texts.
+    given = given.groupBy("doc_id").agg(F.min("given").alias("given")) if has_repeats(known) else given
+    nothing = F.struct(F.lit("").alias("head"), F.array().cast("array<int>").alias("anchors"))
+    pairs = known.join(given, "doc_id").unionByName(base.where(F.col("doc_id").isNull()).withColumn("given", nothing))
+    pairs = pairs.withColumn("edited", F.concat(F.left("text", F.length("text") - n_cut), F.left(F.col("given.head"), n_cut)))
+    return pairs.select(
+        "doc_id", "text", "edited", syncmers(F.col("text")).alias("anchors"), syncmers(F.col("edited")).alias("edited_anchors"),
+        F.col("given.anchors").alias("next_anchors"),
+    )
+
+
+def has_repeats(ids: DataFrame) -> bool:
+    return not ids.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,5 +126,5 @@ def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         as_text(F.col("anchors")).alias("fingerprint"),
         as_text(F.col("edited_anchors")).alias("edited_fingerprint"),
         likeness(F.col("anchors"), F.col("edited_anchors")).alias("near_edited"),
-        likeness(F.col("anchors"), F.coalesce("next_anchors", F.array().cast("array<int>"))).alias("near_next"),
+        likeness(F.col("anchors"), F.col("next_anchors")).alias("near_next"),
     )
