@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .exact_dedup import OP2_SQL, op2_exact_dedup
 from .langid import op1_langid
+from .minhash import op7_minhash
 from .packing import op8_packing
 from .pfair import op4_pfair_mix
 from .syncmers import op9_syncmers
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_pfair_mix": op4_pfair_mix,
+    "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_syncmers": op9_syncmers,
     "op10_toxicity": op10_toxicity,
