@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .bucket_refinement import op6_bucket_refinement
 from .exact_dedup import OP2_SQL, op2_exact_dedup
+from .fmindex import op5_fm_index
 from .langid import op1_langid
 from .minhash import op7_minhash
 from .packing import op8_packing
@@ -14,6 +16,8 @@ QUERIES = {
     "op1_langid": op1_langid,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_pfair_mix": op4_pfair_mix,
+    "op5_fm_index": op5_fm_index,
+    "op6_bucket_refinement": op6_bucket_refinement,
     "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_syncmers": op9_syncmers,
