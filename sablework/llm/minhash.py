@@ -21,6 +21,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,6 +78,7 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mix(np.ascontiguousarray(signature).view(U64) ^ _BAND).view(np.int64)
 
 
+@cache
 def least_matches() -> list[int]:
     """For each batch: how many of the hashes so far must agree for a pair to go on."""
     t = THRESHOLD[0] / THRESHOLD[1]
@@ -151,8 +153,9 @@ def survivors(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     sigs = classes.select(F.col("id"), "sig")
     both = pairs.join(sigs.withColumnsRenamed({"id": "b", "sig": "sig_b"}), "b").join(sigs.withColumnsRenamed({"id": "a", "sig": "sig_a"}), "a")
 
+    least = least_matches()
+
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = least_matches()
         for b in batches:
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, HASHES) for c in ("sig_a", "sig_b"))
             yield b.select(["a", "b"]).filter(pa.array(agree(x, y, least)))
@@ -219,8 +222,9 @@ def cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component")
     rows = rows.join(classes.select("id", "sig"), "id")
 
+    least = least_matches()
+
     def of_group(table: pa.Table) -> pa.Table:
-        least = least_matches()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
         ids, comp, block = (table.column(c).to_numpy() for c in ("id", "component", "block"))
         i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
