@@ -10,11 +10,13 @@ from .minhash import op7_minhash
 from .packing import op8_packing
 from .pfair import op4_pfair_mix
 from .syncmers import op9_syncmers
+from .templates import op3_templates
 from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_templates": op3_templates,
     "op4_pfair_mix": op4_pfair_mix,
     "op5_fm_index": op5_fm_index,
     "op6_bucket_refinement": op6_bucket_refinement,
