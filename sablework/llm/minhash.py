@@ -35,7 +35,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 THRESHOLD = (80, 100)
 MISS, BATCH = 1e-6, 16
-BLOCK, PART = 2000, 500
+BLOCK, PART = 1000, 500
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**64, HASHES, dtype=U64)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=U64) * U64(2) + U64(1)
@@ -212,17 +212,39 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket in different components whose signatures survive the test; each pair comes from the
-    first band that it shares. ``members``: key, id, component."""
-    sizes = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
-    open_ = sizes.where("lo <> hi and n > 2").select("key", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    rows = members.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+def overlaps(value: np.ndarray, at: np.ndarray, left: np.ndarray, right: list[np.ndarray]) -> list[np.ndarray]:
+    """For each set of ``left`` the sizes of its intersections with its sets of ``right`` (all numbers of sets)."""
+    ids = np.unique(value, return_inverse=True)[1]
+    size = np.diff(at)
+    seen = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    out = []
+    for x, ys in zip(left, right, strict=True):
+        seen[ids[at[x] : at[x + 1]]] = True
+        inside = np.concatenate([ids[at[y] : at[y + 1]] for y in ys]) if len(ys) else np.zeros(0, np.int64)
+        hits = np.concatenate([[0], np.cumsum(seen[inside])])
+        upto = np.concatenate([[0], np.cumsum(size[ys])]).astype(np.int64)
+        out.append(np.diff(hits[upto]))
+        seen[ids[at[x] : at[x + 1]]] = False
+    return out
+
+
+def cross_links(members: DataFrame, classes: DataFrame, bodies: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between different components of a bucket, a spanning forest of them per unit of work.
+
+    ``members``: key, id, component. Pairs are compared where they stand, so a group of near copies makes no more rows
+    than it has members. Each pair belongs to the first band that it shares.
+    """
+    sizes = members.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")
+    )
+    # A bucket's smallest id has met all others already.
+    open_ = sizes.where("lo <> hi and n > 2").select("key", "pivot", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
+    rows = members.join(open_, "key").where("id <> pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component")
-    rows = rows.join(classes.select("id", "sig"), "id")
-
+    rows = rows.join(classes.select("id", "sig"), "id").join(bodies, "id")
     least = least_matches()
+    num, den = THRESHOLD
 
     def of_group(table: pa.Table) -> pa.Table:
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
@@ -230,16 +252,38 @@ def cross_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         i, j, key = (table.column(c)[0].as_py() for c in ("i", "j", "key"))
         keys = band_keys(sig)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        a, b = [], []
+        ask, met = [], []
         for x in left:
             y = right[(comp[right] != comp[x]) & (ids[right] > ids[x] if i == j else True)]
             y = y[agree(np.broadcast_to(sig[x], (len(y), HASHES)), sig[y], least)]
-            first = keys[y] == keys[x]
-            y = y[keys[x][first.argmax(axis=1)] == key] if len(y) else y
-            a.append(np.minimum(ids[x], ids[y]))
-            b.append(np.maximum(ids[x], ids[y]))
-        cat = lambda v: pa.array(np.concatenate(v) if v else np.zeros(0, np.int64), pa.int64())
-        return pa.table({"a": cat(a), "b": cat(b)})
+            if len(y):
+                y = y[keys[x][(keys[y] == keys[x]).argmax(axis=1)] == key]
+            if len(y):
+                ask.append(x)
+                met.append(y)
+        links = []
+        if ask:
+            need = np.unique(np.concatenate([ask, *met]))
+            text = table.column("text")
+            value, at = shingle_sets([(text[int(x)].as_py() or "").encode() for x in need])
+            size = np.diff(at)
+            place = {int(x): n for n, x in enumerate(need)}
+            spot = [np.searchsorted(need, y) for y in met]
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while parent.setdefault(c, c) != c:
+                    parent[c] = c = parent[parent[c]]
+                return c
+
+            for x, y, ys, n in zip(ask, met, spot, overlaps(value, at, np.array([place[int(x)] for x in ask]), spot), strict=True):
+                near = den * n >= num * (size[place[int(x)]] + size[ys] - n)
+                for z in y[near]:
+                    p, q = root(int(comp[x])), root(int(comp[z]))
+                    if p != q:
+                        parent[p] = q
+                        links.append((min(ids[x], ids[z]), max(ids[x], ids[z])))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     return rows.groupBy("key", "i", "j").applyInArrow(of_group, "a bigint, b bigint")
 
@@ -262,8 +306,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links)
 
     known = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    rest = cross_pairs(known, classes).join(tried, ["a", "b"], "left_anti")
-    more = written(confirmed(written(rest, "cross"), bodies), "cross_links")
+    more = written(cross_links(known, classes, bodies), "cross_links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
