@@ -69,4 +69,4 @@ class ModelDetector:
     def spans(self, matches: Column, context: Column) -> Column:
         """Only ignored terms count for this detector, ignored patterns don't."""
         block = Block(self.block.key, self.block.enabled, self.block.ignored, (), self.block.strategies, self.block.options)
-        return as_spans(let(matches, drop_contained), block, self.filter_type, context)
+        return as_spans(let(matches, lambda m: drop_contained(m)), block, self.filter_type, context)

@@ -64,7 +64,9 @@ class Engine:
 
     def explain_rows(self, df: DataFrame, text: str = "text", context: str | Column | None = None) -> DataFrame:
         """One row per span: the columns of ``df`` but the text, ``position`` and the span's fields (its text as ``token``)."""
-        rows = self.explain(df, text, context).select(*[c for c in df.columns if c not in (text, "context")], F.posexplode("spans").alias("position", "span"))
+        # The outer form: the plain one would have the spans worked out once more, for a filter on their number.
+        keep = [c for c in df.columns if c not in (text, "context")]
+        rows = self.explain(df, text, context).select(*keep, F.posexplode_outer("spans").alias("position", "span")).where("position is not null")
         fields = [F.col(f"span.{f}").alias("token" if f == "text" else f) for f in SPAN_FIELDS]
         return rows.select("*", *fields).drop("span")
 
