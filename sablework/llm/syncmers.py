@@ -94,7 +94,9 @@ def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
 
     Texts are dealt out by doc_id once; both joins read that exchange, and anchors are taken from what they give.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    # The id stays a plain column: an alias would be taken away on one side only, and the exchanges would differ.
+    doc_id = "doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
+    base = docs.select(doc_id, text_or_empty().alias("text"))
     known = base.where(F.col("doc_id").isNotNull())
     n_cut = (F.length("text") / share).cast("int")
     asks = known.groupBy("doc_id").agg(F.max(n_cut).alias("want"))
