@@ -160,9 +160,9 @@ def to_java(pattern: str, case_insensitive: bool = False) -> str:
 def _boundary(body: str, i: int) -> str:
     """A boundary beside an atom of digits needs one look only; elsewhere the general form."""
     if i == 0 and re.match(rf"{DIGITS}(?:[^?*{{]|\{{[1-9]|$)", body[2:]):
-        return f"(?<![{WORD}])"
+        return f"(?-iu:(?<![{WORD}]))"
     if i == len(body) - 2 and re.search(rf"(?<!\\){DIGITS}{REPEAT}$", body[:i]):
-        return f"(?![{WORD}])"
+        return f"(?-iu:(?![{WORD}]))"
     return BOUNDARY
 
 

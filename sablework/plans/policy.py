@@ -103,6 +103,12 @@ def _object(value: Any, where: str) -> dict:
     return _typed(value, dict, where)
 
 
+def _given(raw: dict, name: str, kind: type, where: str) -> Any:
+    """A field, or the empty value of its type where it is missing or null."""
+    value = raw.get(name)
+    return kind() if value is None else _typed(value, kind, f"{where}.{name}")
+
+
 def _strings(value: Any, where: str) -> tuple[str, ...]:
     return tuple(_typed(x, str, where) for x in _typed(value, list, where)) if value is not None else ()
 
@@ -119,13 +125,13 @@ def _block(key: str, raw: Any) -> Block:
     raw = _object(raw, key)
     enabled = raw.get("enabled")
     patterns = []
-    for p in _typed(raw.get("ignoredPatterns") or [], list, f"{key}.ignoredPatterns"):
+    for p in _given(raw, "ignoredPatterns", list, key):
         p = _object(p, f"{key}.ignoredPatterns")
         patterns.append(
             IgnoredPattern(
-                _typed(p.get("pattern") or "", str, f"{key}.pattern"),
-                _typed(p.get("name") or "", str, f"{key}.name"),
-                _typed(p.get("caseSensitive") or False, bool, f"{key}.caseSensitive"),
+                _given(p, "pattern", str, key),
+                _given(p, "name", str, key),
+                _given(p, "caseSensitive", bool, key),
             )
         )
     options = {}
@@ -137,7 +143,7 @@ def _block(key: str, raw: Any) -> Block:
         True if enabled is None else _typed(enabled, bool, f"{key}.enabled"),
         _strings(raw.get("ignored"), f"{key}.ignored"),
         tuple(patterns),
-        tuple(_strategy(s, f"{key} strategy") for s in _typed(raw.get(strategies_field(key)) or [], list, f"{key} strategies")),
+        tuple(_strategy(s, f"{key} strategy") for s in _given(raw, strategies_field(key), list, key)),
         options,
     )
 
@@ -151,8 +157,8 @@ def parse_policy(source: str | Mapping | Policy) -> Policy:
             source = json.loads(source)
         except ValueError as e:
             raise PolicyError(f"no valid JSON: {e}") from e
-    ids = _object(_object(source, "policy").get("identifiers") or {}, "identifiers")
-    several = lambda key: tuple(_block(key, x) for x in _typed(ids.get(key) or [], list, key))
+    ids = _given(_object(source, "policy"), "identifiers", dict, "policy")
+    several = lambda key: tuple(_block(key, x) for x in _given(ids, key, list, "identifiers"))
     return Policy({k: _block(k, ids[k]) for k in SINGLE if ids.get(k) is not None}, several("pheye"), several("dictionaries"))
 
 

@@ -1,0 +1,25 @@
+"""Every registered query of the engine against its SQL, on the smallest tables."""
+
+import pytest
+from conftest import SF
+
+import __spark_entry__ as entry
+from sablework import queries
+
+ORDER = lambda row: tuple((v is None, str(v)) for v in row)
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_equals_sql(spark, duck, name):
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    got = sorted((tuple(r) for r in df.select(*columns).collect()), key=ORDER)
+    want = duck.sql(queries.ORACLE_SQL[name])
+    assert sorted(want.columns) == columns
+    expected = sorted(want.select(*[f'"{c}"' for c in columns]).fetchall(), key=ORDER)
+    assert [tuple(map(str, r)) for r in got] == [tuple(map(str, r)) for r in expected]
+
+
+def test_contract(spark):
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert entry.entry(spark).count() > 0
