@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, written
+from .common import long_id, small_batches, text_or_empty, written
 from .rolling import U64, mix, prefix, runs, slices, sliding_argmin
 
 HOT = 5000
@@ -186,7 +186,8 @@ def by_window(cut: DataFrame, s: Search) -> DataFrame:
 def covered(docs: DataFrame, s: Search, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(base, spans): base has doc_id and text (null: empty) of every document with an id; spans has doc_id and
     ``spans``, the token ranges covered by windows that go, for the documents that have any."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
+    small_batches(docs.sparkSession)
+    base = docs.select(long_id(docs), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
     every = all_segments(base, s)
     again = every.groupBy("key").count().where("count > 1").select("key")
     segs = written(every.join(again, "key", "left_semi"), "segments")

@@ -39,6 +39,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def long_id(df: DataFrame, column: str = "doc_id") -> Column:
+    """The id as a bigint; the plain column where it is one. (An alias would be taken away on one side of a self-join
+    only, and exchanges that could be shared would differ.)"""
+    return F.col(column) if dict(df.dtypes)[column] == "bigint" else F.col(column).cast("long").alias(column)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows to a Python worker at a time: texts may be long, and a worker's memory is small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

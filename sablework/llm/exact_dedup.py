@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, left_join_groups, shared_dir, text_or_empty, written
+from .common import documents, left_join_groups, long_id, shared_dir, text_or_empty, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -103,7 +103,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of)
     """
     spark = docs.sparkSession
     home = shared_dir(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = docs.select(long_id(docs), text_or_empty().alias("text"))
     rows = rows.select("doc_id", digest(F.col("text")).cast("string").alias("digest"), "text")
     rows.select("doc_id", "digest", F.input_file_name().alias("locator")).write.parquet(f"{home}/arrivals")
     arrivals = spark.read.schema(ARRIVAL).parquet(f"{home}/arrivals")

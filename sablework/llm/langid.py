@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, long_id, small_batches
 
 TRAIN_DOCS, TRAIN_CHARS, TRAIN_SYMBOLS = 60, 4000, 30_000
 #: Symbols: 0 separator, 1 any letter that training doesn't know, then the most frequent letters.
@@ -216,6 +216,7 @@ def fit(docs: DataFrame, usable: Column | None = None) -> Model:
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, bits (a symbol, of the best language), n_symbols for every document."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "doc_id bigint, lang_pred string, score double, bits double, n_symbols bigint"
 
@@ -231,7 +232,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 names=["doc_id", "lang_pred", "score", "bits", "n_symbols"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_batches, schema)
+    return docs.select(long_id(docs), "text").mapInArrow(of_batches, schema)
 
 
 def held_out() -> Column:
@@ -246,6 +247,7 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents in none of the languages learned go (no letters, or explained by no language)."""
+    small_batches(spark)
     model = fit(docs, ~held_out())
     shared = spark.sparkContext.broadcast(model)
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, left_join_groups, written
+from .common import documents, left_join_groups, long_id, small_batches, written
 from .rolling import LOWER, U64, joined, mix, slices, word_hashes
 
 BANDS, ROWS = 32, 4
@@ -130,7 +130,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_shingles", "set_key", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_batches, schema)
+    return docs.select(long_id(docs), "text").mapInArrow(of_batches, schema)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -290,13 +290,14 @@ def cross_links(members: DataFrame, classes: DataFrame, bodies: DataFrame) -> Da
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept."""
+    small_batches(docs.sparkSession)
     sketches = written(sketch(docs), "sketches")
     total = sketches.count()
     groups = sketches.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("f"), F.count(F.lit(1)).alias("size"))
     classes = written(groups.select("set_key", "size", F.col("f.doc_id").alias("id"), F.col("f.sig").alias("sig")), "classes")
     members = written(buckets(classes), "buckets")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi")
+    bodies = docs.select(long_id(docs), "text").join(wanted, "doc_id", "left_semi")
     bodies = written(bodies.select(F.col("doc_id").alias("id"), "text"), "bodies").dropDuplicates(["id"])
 
     stars = members.groupBy("key").agg(F.min("id").alias("a"))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, long_id, small_batches
 
 WINDOW, END_ID, VOCABULARY = 1024, 0, "byte_bpe_50k"
 MAX_PIECE, GROUP = 512, 256
@@ -175,6 +175,7 @@ class Packer:
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, group: int = GROUP, max_piece: int = MAX_PIECE) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     kinds = pa.schema([(c, pa.int64()) for c in COLUMNS])
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +196,7 @@ def pack(docs: DataFrame, vocabulary: str = VOCABULARY, group: int = GROUP, max_
         if rows := list(packer.finish()):
             yield table(rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(of_batches, ", ".join(f"{c} bigint" for c in COLUMNS))
+    return docs.select(long_id(docs), "text").mapInArrow(of_batches, ", ".join(f"{c} bigint" for c in COLUMNS))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, written
+from .common import documents, long_id, text_or_empty, written
 
 #: Words in a k-mer and in an inner s-mer: K - S + 1 = 8 s-mers a k-mer, so about a quarter of all k-mers are chosen.
 K, S = 9, 2
@@ -94,9 +94,7 @@ def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
 
     Texts are dealt out by doc_id once; both joins read that exchange, and anchors are taken from what they give.
     """
-    # The id stays a plain column: an alias would be taken away on one side only, and the exchanges would differ.
-    doc_id = "doc_id" if dict(docs.dtypes)["doc_id"] == "bigint" else F.col("doc_id").cast("long").alias("doc_id")
-    base = docs.select(doc_id, text_or_empty().alias("text"))
+    base = docs.select(long_id(docs), text_or_empty().alias("text"))
     known = base.where(F.col("doc_id").isNotNull())
     n_cut = (F.length("text") / share).cast("int")
     asks = known.groupBy("doc_id").agg(F.max(n_cut).alias("want"))

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import left_join_groups, written
+from .common import left_join_groups, small_batches, written
 
 MIN_PAGES, MIN_SHARE, LINK_SHARE = 5, 0.5, 0.6
 #: Templates of up to so many tokens in all are broadcast (24 bytes each); more are joined by host.
@@ -212,6 +212,7 @@ def templates(counted: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     spark = pages.sparkSession
+    small_batches(pages.sparkSession)
     found = written(templates(occurrences(pages)), "templates")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     schema = "page_id bigint, url string, text string, n_chars bigint"

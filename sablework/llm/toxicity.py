@@ -32,7 +32,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, long_id, small_batches, written
 
 TRAIN_ROWS = 20_000
 LEXICON_WORDS = 100
@@ -132,7 +132,8 @@ def learn_lexicon(train: DataFrame) -> frozenset[str]:
 
 def score(docs: DataFrame, labels: DataFrame, usable: Column) -> DataFrame:
     """doc_id, score for every document; learns from the labelled rows that ``usable`` (of doc_id) admits."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    base = docs.select(long_id(docs), "text")
     marks = labels.where(F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).where(usable)
     # TRAIN_ROWS rows of two numbers, whatever the corpus: so the texts needn't be shuffled to find them.
