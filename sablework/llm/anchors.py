@@ -189,7 +189,8 @@ def covered(docs: DataFrame, s: Search, hot: int = HOT) -> tuple[DataFrame, Data
     small_batches(docs.sparkSession)
     base = docs.select(long_id(docs), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
     every = all_segments(base, s)
-    again = every.groupBy("key").count().where("count > 1").select("key")
+    # Both sides of this join, and of the one below, are plain tables: then Spark may split the tasks of a hot key.
+    again = written(every.groupBy("key").count().where("count > 1").select("key"), "repeated")
     segs = written(every.join(again, "key", "left_semi"), "segments")
 
     kinds = segs.groupBy("key", "content").agg(
@@ -207,6 +208,7 @@ def covered(docs: DataFrame, s: Search, hot: int = HOT) -> tuple[DataFrame, Data
         found = by_index(cut.join(hot_keys, "key", "left_anti"), s).unionByName(by_window(cut.join(hot_keys, "key", "left_semi"), s))
 
     fate = kinds.select("key", "content", F.struct("doc_id", "start").alias("first"), "times").join(found, ["key", "content"], "left")
+    fate = written(fate, "fate")
     rows = segs.join(fate, ["key", "content"])
     is_first = F.struct("doc_id", "start") == F.col("first")
     whole: Column = F.array(F.lit(0), F.col("n"))
