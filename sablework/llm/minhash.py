@@ -14,7 +14,8 @@ A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 Large buckets are split into blocks of BLOCK members, a pair of blocks being one
 unit of work; members of a large star are split into parts of PART. Nothing is
 capped. Null text, empty text and white space give an empty set, linked with
-nothing; repeated rows share a component; long texts are read whole; an empty
+nothing; repeated rows share a component; a row without doc_id stands for no
+class, but belongs to that of its set; long texts are read whole; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -293,7 +294,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     sketches = written(sketch(docs), "sketches")
     total = sketches.count()
-    groups = sketches.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("f"), F.count(F.lit(1)).alias("size"))
+    groups = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("f"), F.count(F.lit(1)).alias("size"))
     classes = written(groups.select("set_key", "size", F.col("f.doc_id").alias("id"), F.col("f.sig").alias("sig")), "classes")
     members = written(buckets(classes), "buckets")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()

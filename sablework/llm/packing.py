@@ -165,6 +165,9 @@ class Packer:
         k = int(self.held / (WINDOW * FILL))
         rest = self.held - int(k * WINDOW * FILL)
         if k:
+            # Few windows need small pieces to come out even.
+            size = max(16, min(self.max_piece, 4 * k))
+            self.pool = [(d, s + i, ids[i : i + size], t) for d, s, ids, t in self.pool for i in range(0, len(ids), size)]
             yield from self.deal(rest)
         for power in reversed(range(WINDOW.bit_length())):
             while self.held >= 1 << power:

@@ -71,10 +71,10 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
         elif bare in PRONOUNS:
             second.append(i)
         elif not bare.isalpha():
-            plain = "".join(c for c in w.lower().translate(LEET) if c.isalpha())
-            if plain in lexicon and bare:
+            spelled = {"".join(c for c in x.lower().translate(LEET) if c.isalpha()) for x in (w, bare)} & lexicon
+            if spelled:
                 hits.append(i)
-                distinct.add(plain)
+                distinct |= spelled
                 hidden += 1
     for m in APART.findall(text):
         if "".join(c for c in m.lower() if c.isalpha()) in lexicon:
