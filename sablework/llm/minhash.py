@@ -11,8 +11,8 @@ MISS. All survivors are confirmed on the full sets; only confirmed links count.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 
-Large buckets are split into blocks of BLOCK members, a pair of blocks being one
-unit of work; members of a large star are split into parts of PART. Nothing is
+Large buckets are split into blocks of BLOCK members and BLOCK_BYTES of text, a
+pair of blocks being one unit of work; members of a large star are split into parts of PART. Nothing is
 capped. Null text, empty text and white space give an empty set, linked with
 nothing; repeated rows share a component; a row without doc_id stands for no
 class, but belongs to that of its set; long texts are read whole; an empty
@@ -36,7 +36,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 THRESHOLD = (80, 100)
 MISS, BATCH = 1e-6, 16
-BLOCK, PART = 1000, 500
+BLOCK, BLOCK_BYTES, PART = 4000, 16_000_000, 500
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 2**64, HASHES, dtype=U64)
 _MUL = _rng.integers(0, 2**63, HASHES, dtype=U64) * U64(2) + U64(1)
@@ -109,8 +109,8 @@ def agree(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, set_key (128 bits of the set), sig (binary) and bands (keys) of every document."""
-    schema = "doc_id bigint, n_shingles bigint, set_key binary, sig binary"
+    """doc_id, n_shingles, n_bytes, set_key (128 bits of the set) and sig (binary) of every document."""
+    schema = "doc_id bigint, n_shingles bigint, n_bytes bigint, set_key binary, sig binary"
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -125,26 +125,27 @@ def sketch(docs: DataFrame) -> DataFrame:
                     [
                         b.column("doc_id")[lo:hi],
                         pa.array(n, pa.int64()),
+                        pa.array([len(t) for t in texts[lo:hi]], pa.int64()),
                         pa.array([k.tobytes() if m else None for k, m in zip(key, n, strict=True)], pa.binary()),
                         pa.array([s.tobytes() if m else None for s, m in zip(sig, n, strict=True)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "set_key", "sig"],
+                    names=["doc_id", "n_shingles", "n_bytes", "set_key", "sig"],
                 )
 
     return docs.select(long_id(docs), "text").mapInArrow(of_batches, schema)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
-    """key, id: members of the buckets with more than one member."""
+    """key, id, n_bytes: members of the buckets with more than one member."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
-                ids = b.column("id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(np.repeat(ids, BANDS))], names=["key", "id"])
+                ids, size = (np.repeat(b.column(c).to_numpy(), BANDS) for c in ("id", "n_bytes"))
+                yield pa.RecordBatch.from_arrays([pa.array(band_keys(sig).ravel()), pa.array(ids), pa.array(size)], names=["key", "id", "n_bytes"])
 
-    rows = classes.select("id", "sig").mapInArrow(of_batches, "key bigint, id bigint")
+    rows = classes.select("id", "n_bytes", "sig").mapInArrow(of_batches, "key bigint, id bigint, n_bytes bigint")
     shared = rows.groupBy("key").count().where("count > 1").select("key")
     return rows.join(shared, "key", "left_semi")
 
@@ -232,15 +233,18 @@ def overlaps(value: np.ndarray, at: np.ndarray, left: np.ndarray, right: list[np
 def cross_links(members: DataFrame, classes: DataFrame, bodies: DataFrame) -> DataFrame:
     """Confirmed links (a, b) between different components of a bucket, a spanning forest of them per unit of work.
 
-    ``members``: key, id, component. Pairs are compared where they stand, so a group of near copies makes no more rows
+    ``members``: key, id, n_bytes, component. Pairs are compared where they stand, so a group of near copies makes no more rows
     than it has members. Each pair belongs to the first band that it shares.
     """
     sizes = members.groupBy("key").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")
-    )
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot"),
+        F.sum("n_bytes").alias("n_bytes"),
+    )
     # A bucket's smallest id has met all others already.
-    open_ = sizes.where("lo <> hi and n > 2").select("key", "pivot", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-    rows = members.join(open_, "key").where("id <> pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    open_ = sizes.where("lo <> hi and n > 2").select(
+        "key", "pivot", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("n_bytes") / BLOCK_BYTES)).cast("long").alias("blocks")
+    )
+    rows = members.drop("n_bytes").join(open_, "key").where("id <> pivot").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "id", "component")
     rows = rows.join(classes.select("id", "sig"), "id").join(bodies, "id")
@@ -294,8 +298,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     sketches = written(sketch(docs), "sketches")
     total = sketches.count()
-    groups = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "sig")).alias("f"), F.count(F.lit(1)).alias("size"))
-    classes = written(groups.select("set_key", "size", F.col("f.doc_id").alias("id"), F.col("f.sig").alias("sig")), "classes")
+    groups = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_bytes", "sig")).alias("f"), F.count(F.lit(1)).alias("size"))
+    classes = written(groups.select("set_key", "size", F.col("f.doc_id").alias("id"), "f.n_bytes", F.col("f.sig").alias("sig")), "classes")
     members = written(buckets(classes), "buckets")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
     bodies = docs.select(long_id(docs), "text").join(wanted, "doc_id", "left_semi")
