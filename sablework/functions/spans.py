@@ -22,9 +22,28 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _pieces_to_matches(pieces: Column, confidence: float) -> Column:
+#: Pieces that one fold goes over; an even number. Each step copies what it has so far, so folds had better be short.
+CHUNK = 128
+
+
+def _many_pieces_to_matches(pieces: Column, confidence: float) -> Column:
+    """The same for texts with very many matches: chunks of pieces, each from its own offset."""
+    numbers = F.sequence(F.lit(0), ((F.size(pieces) - 1) / CHUNK).cast("int"))
+    chunks = F.transform(numbers, lambda b: F.slice(pieces, b * CHUNK + 1, CHUNK))
+
+    def of_chunks(c: Column) -> Column:
+        sizes = F.transform(c, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + F.octet_length(y)))
+        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sizes, zero, lambda a, n: F.struct((a["pos"] + n).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")), lambda a: a["out"])
+        return F.flatten(F.zip_with(c, starts, lambda x, at: _pieces_to_matches(x, confidence, at)))
+
+    return let(chunks, of_chunks)
+
+
+def _pieces_to_matches(pieces: Column, confidence: float, at: Column | int = 0) -> Column:
     """From text and matches by turns (text first) to matches with byte offsets."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), no_matches().alias("out"))
+    at = F.lit(at) if isinstance(at, int) else at
+    start = F.struct(at.alias("pos"), F.lit(False).alias("hit"), no_matches().alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["pos"] + F.octet_length(piece)
@@ -34,14 +53,16 @@ def _pieces_to_matches(pieces: Column, confidence: float) -> Column:
     return F.aggregate(pieces, start, step, lambda acc: acc["out"])
 
 
-def find_all(text: Column, java_regex: str, confidence: float, guard: str = "") -> Column:
-    """All non-overlapping matches from left to right. One scan marks them; a text that has the mark takes two scans."""
+def find_all(text: Column, java_regex: str, confidence: float, guard: str = "", many: bool = False) -> Column:
+    """All non-overlapping matches from left to right. One scan marks them; a text that has the mark takes two scans.
+    ``many``: matches are as frequent as words, not now and then."""
     grouped = f"({java_regex})"
     marked = F.split(F.regexp_replace(text, grouped, f"{_MARK}$1{_MARK}"), _MARK, -1)
     gaps, hits = F.split(text, java_regex, -1), F.regexp_extract_all(text, F.lit(grouped), 1)
     turns = F.flatten(F.zip_with(gaps, hits, lambda g, h: F.when(h.isNull(), F.array(g)).otherwise(F.array(g, h))))
     pieces = F.when(F.contains(text, F.lit(_MARK)), turns).otherwise(marked)
-    found = let(pieces, lambda p: F.when(F.size(p) < 2, no_matches()).otherwise(_pieces_to_matches(p, confidence)))
+    fold = _many_pieces_to_matches if many else _pieces_to_matches
+    found = let(pieces, lambda p: F.when(F.size(p) < 2, no_matches()).otherwise(fold(p, confidence)))
     tried = F.coalesce(found, no_matches())
     return F.when(F.rlike(text, F.lit(guard)), tried).otherwise(no_matches()) if guard else tried
 

@@ -141,7 +141,7 @@ class DictionaryDetector:
         words = F.array(*[F.lit(w if self.exact_case else w.lower()) for w in self.words])
         outside = lambda t: ~F.exists(exact, lambda e: (t["start"] >= e["start"]) & (t["end"] <= e["end"]))
         distance = lambda t: F.array_min(F.transform(words, lambda w: F.levenshtein(fold(t["token"]), w)))
-        tokens = F.filter(find_all(text, TOKEN, confidence), outside)
+        tokens = F.filter(find_all(text, TOKEN, confidence, many=True), outside)
         return F.filter(tokens, lambda t: distance(t).between(1, most))
 
     def spans(self, matches: Column, context: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sablework.corpus import corpus, corpus_sql
 from sablework.functions.random_values import GENERATORS, random_value
 from sablework.functions.spans import drop_contained, splice
+from sablework.operators.big_dictionary import dictionary_rows
 from sablework.operators.detectors import RegexDetector
 from sablework.operators.metrics import metrics, redactions_by_type
 from sablework.operators.model import Entity
@@ -218,6 +219,23 @@ for _level, (_most, _sure) in {"low": (1, 0.8), "medium": (2, 0.6), "high": (3,
     )
 
 
+def dictionary_by_join(spark: SparkSession, sf: str) -> DataFrame:
+    words = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(F.split("text", "[^0-9A-Za-z_]+")).alias("word")).distinct()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
+    return dictionary_rows(docs, words.where("length(word) > 9")).select("doc_id", "character_start", "character_end", "token")
+
+
+register(
+    "dictionary_by_join",
+    dictionary_by_join,
+    "WITH w AS (SELECT DISTINCT lower(x) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^0-9A-Za-z_]+')) AS x FROM benchmark) WHERE length(x) > 9), "
+    "p AS (SELECT doc_id, string_split(regexp_replace(text, '([0-9A-Za-z_]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL), "
+    "l AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p), "
+    "o AS (SELECT doc_id, i, part, sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY i) AS hi FROM l) "
+    "SELECT doc_id, (hi - strlen(part))::INT AS character_start, hi::INT AS character_end, part AS token FROM o JOIN w ON lower(part) = w.k WHERE i % 2 = 0",
+)
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 class NamesOfClerks:
     """A stand-in for a model: finds the customer numbers' names."""
