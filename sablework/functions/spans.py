@@ -10,7 +10,6 @@ SPAN = (
     "struct<character_start:int,character_end:int,filter_type:string,context:string,confidence:double,text:string,"
     "replacement:string,ignored:boolean,applied:boolean>"
 )
-_MARK = "\x01"
 
 
 def no_matches() -> Column:
@@ -24,47 +23,63 @@ def let(value: Column, body) -> Column:
 
 #: Pieces that one fold goes over; an even number. Each step copies what it has so far, so folds had better be short.
 CHUNK = 128
+NONE = f"cast(array() as {MATCH})"
 
 
-def _many_pieces_to_matches(pieces: Column, confidence: float) -> Column:
-    """The same for texts with very many matches: chunks of pieces, each from its own offset."""
-    numbers = F.sequence(F.lit(0), ((F.size(pieces) - 1) / CHUNK).cast("int"))
-    chunks = F.transform(numbers, lambda b: F.slice(pieces, b * CHUNK + 1, CHUNK))
+def sql_text(value: str) -> str:
+    """A string literal of Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def of_chunks(c: Column) -> Column:
-        sizes = F.transform(c, lambda x: F.aggregate(x, F.lit(0), lambda a, y: a + F.octet_length(y)))
-        zero = F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out"))
-        starts = F.aggregate(sizes, zero, lambda a, n: F.struct((a["pos"] + n).alias("pos"), F.concat(a["out"], F.array(a["pos"])).alias("out")), lambda a: a["out"])
-        return F.flatten(F.zip_with(c, starts, lambda x, at: _pieces_to_matches(x, confidence, at)))
 
-    return let(chunks, of_chunks)
+def sql_name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
-def _pieces_to_matches(pieces: Column, confidence: float, at: Column | int = 0) -> Column:
+def _fold(pieces: str, at: str, confidence: float) -> str:
     """From text and matches by turns (text first) to matches with byte offsets."""
-    at = F.lit(at) if isinstance(at, int) else at
-    start = F.struct(at.alias("pos"), F.lit(False).alias("hit"), no_matches().alias("out"))
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.octet_length(piece)
-        hit = F.struct(acc["pos"].alias("start"), end.alias("end"), piece.alias("token"), F.lit(confidence).alias("confidence"))
-        return F.struct(end.alias("pos"), (~acc["hit"]).alias("hit"), F.when(acc["hit"], F.concat(acc["out"], F.array(hit))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
-
-
-def find_all(text: Column, java_regex: str, confidence: float, guard: str = "", many: bool = False) -> Column:
-    """All non-overlapping matches from left to right. One scan marks them; a text that has the mark takes two scans.
-    ``many``: matches are as frequent as words, not now and then."""
-    grouped = f"({java_regex})"
-    marked = F.split(F.regexp_replace(text, grouped, f"{_MARK}$1{_MARK}"), _MARK, -1)
-    gaps, hits = F.split(text, java_regex, -1), F.regexp_extract_all(text, F.lit(grouped), 1)
-    turns = F.flatten(F.zip_with(gaps, hits, lambda g, h: F.when(h.isNull(), F.array(g)).otherwise(F.array(g, h))))
-    pieces = F.when(F.contains(text, F.lit(_MARK)), turns).otherwise(marked)
-    fold = _many_pieces_to_matches if many else _pieces_to_matches
-    found = let(pieces, lambda p: F.when(F.size(p) < 2, no_matches()).otherwise(fold(p, confidence)))
-    tried = F.coalesce(found, no_matches())
-    return F.when(F.rlike(text, F.lit(guard)), tried).otherwise(no_matches()) if guard else tried
+    hit = f"named_struct('start', a.pos, 'end', a.pos + octet_length(x), 'token', x, 'confidence', {confidence!r}D)"
+    step = f"named_struct('pos', a.pos + octet_length(x), 'hit', not a.hit, 'out', if(a.hit, concat(a.out, array({hit})), a.out))"
+    return f"aggregate({pieces}, named_struct('pos', {at}, 'hit', false, 'out', {NONE}), (a, x) -> {step}, a -> a.out)"
+
+
+def _fold_chunks(pieces: str, confidence: float) -> str:
+    """The same for texts with very many matches: chunks of pieces, each from its own offset."""
+    chunks = f"transform(sequence(0, cast((size({pieces}) - 1) div {CHUNK} as int)), b -> slice({pieces}, b * {CHUNK} + 1, {CHUNK}))"
+    sizes = "transform(c, q -> aggregate(q, 0, (n, y) -> n + octet_length(y)))"
+    starts = (
+        f"aggregate({sizes}, named_struct('pos', 0, 'out', cast(array() as array<int>)), "
+        "(s, n) -> named_struct('pos', s.pos + n, 'out', concat(s.out, array(s.pos))), s -> s.out)"
+    )
+    return f"transform(array({chunks}), c -> flatten(zip_with(c, {starts}, (q, o) -> {_fold('q', 'o', confidence)})))[0]"
+
+
+def find_all(text: str, java_regex: str, confidence: float, guard: str = "", many: bool = False) -> Column:
+    return F.expr(find_all_sql(text, java_regex, confidence, guard, many))
+
+
+def find_all_sql(text: str, java_regex: str, confidence: float, guard: str = "", many: bool = False) -> str:
+    """All non-overlapping matches from left to right in a text (an SQL expression). One scan marks them; a text that
+    has the mark takes two scans. ``many``: matches are as frequent as words, not now and then.
+
+    Written as SQL text, as a policy has dozens of these and building columns one call at a time takes seconds.
+    """
+    whole = sql_text(f"({java_regex})")
+    marked = f"split(regexp_replace(t, {whole}, '\\u0001$1\\u0001'), '\\u0001', -1)"
+    turns = (
+        f"flatten(zip_with(split(t, {sql_text(java_regex)}, -1), regexp_extract_all(t, {whole}, 1), "
+        "(g, h) -> if(h is null, array(g), array(g, h))))"
+    )
+    fold = _fold_chunks("p", confidence) if many else _fold("p", "0", confidence)
+    found = f"transform(array(if(contains(t, '\\u0001'), {turns}, {marked})), p -> if(size(p) < 2, {NONE}, {fold}))[0]"
+    found = f"coalesce(transform(array({text}), t -> {found})[0], {NONE})"
+    return f"if(rlike({text}, {sql_text(guard)}), {found}, {NONE})" if guard else found
+
+
+def drop_contained_sql(matches: str) -> str:
+    """drop_contained() of matches, as SQL text."""
+    return (
+        f"aggregate({matches}, {NONE}, (a, x) -> if(exists(a, y -> x.start >= y.start and x.end <= y.end), a, concat(a, array(x))))"
+    )
 
 
 def drop_contained(matches: Column, kind: str = MATCH, start: str = "start", end: str = "end") -> Column:

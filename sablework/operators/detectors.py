@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sablework.functions.dialect import quote, to_java
 from sablework.functions.replacements import replacement
-from sablework.functions.spans import drop_contained, find_all, let, no_matches
+from sablework.functions.spans import NONE, drop_contained, drop_contained_sql, find_all, find_all_sql, let, no_matches
 from sablework.operators.patterns import KINDS, Kind, Pattern
 from sablework.plans.policy import Block, Policy, PolicyError
 
@@ -20,8 +20,9 @@ class Detector(Protocol):
 
     filter_type: str
 
-    def matches(self, text: Column) -> Column:
-        """array<struct<start,end,token,confidence>> in the order of discovery; offsets are bytes."""
+    def matches(self, text: str) -> Column:
+        """array<struct<start,end,token,confidence>> in the order of discovery; offsets are bytes. ``text`` is an SQL
+        expression, mostly a column's quoted name."""
 
     def spans(self, matches: Column, context: Column) -> Column:
         """The matches as spans with replacements."""
@@ -81,12 +82,16 @@ class RegexDetector:
         if kind.key == "creditCard" and block.options.get("onlyValidCreditCardNumbers"):
             self.post = passes_luhn
 
-    def matches(self, text: Column) -> Column:
-        found = [find_all(text, j, p.confidence, p.guard) for j, p in zip(self.java, self.patterns, strict=True)]
+    def matches(self, text: str, digit: str | None = None) -> Column:
+        """``digit``: a column that tells whether the text has one, if that is known; most patterns need no look at a
+        text without."""
+        found = [find_all_sql(text, j, p.confidence, p.guard) for j, p in zip(self.java, self.patterns, strict=True)]
+        if digit:
+            found = [f"if({digit}, {m}, {NONE})" if p.needs_digit else m for m, p in zip(found, self.patterns, strict=True)]
         if len(found) == 1:
-            kept = found[0]
+            kept = F.expr(found[0])
         else:
-            kept = let(F.concat(*found), lambda m: F.when(F.size(m) < 2, m).otherwise(drop_contained(m)))
+            kept = F.expr(f"transform(array(concat({', '.join(found)})), m -> if(size(m) < 2, m, {drop_contained_sql('m')}))[0]")
         post = self.post
         return F.filter(kept, lambda m: post(m["token"])) if post else kept
 
@@ -126,16 +131,16 @@ class DictionaryDetector:
         self.java = [to_java(rf"\b{quote(w)}\b", not self.exact_case) for w in words]
         self.fuzzy = block.options.get("fuzzy") or ""
 
-    def matches(self, text: Column) -> Column:
+    def matches(self, text: str) -> Column:
         if not self.words:
             return no_matches()
         # One test of all words first: most texts have none of them.
         some = "|".join(f"(?:{j})" for j in self.java)
-        found = F.when(F.rlike(text, F.lit(some)), F.concat(*[find_all(text, j, 1.0) for j in self.java])).otherwise(no_matches())
+        found = F.when(F.rlike(F.expr(text), F.lit(some)), F.concat(*[find_all(text, j, 1.0) for j in self.java])).otherwise(no_matches())
         exact = let(found, lambda m: F.when(F.size(m) < 2, m).otherwise(drop_contained(m)))
         return let(exact, lambda e: F.concat(e, self.near(text, e))) if self.fuzzy else exact
 
-    def near(self, text: Column, exact: Column) -> Column:
+    def near(self, text: str, exact: Column) -> Column:
         most, confidence = FUZZY.get(self.fuzzy, FUZZY["low"])
         fold = (lambda c: c) if self.exact_case else F.lower
         words = F.array(*[F.lit(w if self.exact_case else w.lower()) for w in self.words])

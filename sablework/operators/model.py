@@ -45,7 +45,7 @@ class ModelDetector:
         self.block, self.client = block, client
         self.labels = split_labels(block.options.get("pheyeConfiguration", {}).get("labels") or "Person")
 
-    def matches(self, text: Column) -> Column:
+    def matches(self, text: str) -> Column:
         """Without a client nothing is found. Offsets are the model's own; with removePunctuation they are those in the
         text that the model saw."""
         client, labels = self.client, self.labels
@@ -63,7 +63,7 @@ class ModelDetector:
                     ]
                 )
 
-        seen = F.regexp_replace(text, r"\p{P}", "") if self.block.options.get("removePunctuation") else text
+        seen = F.regexp_replace(F.expr(text), r"\p{P}", "") if self.block.options.get("removePunctuation") else F.expr(text)
         return F.coalesce(predict(seen), no_matches())
 
     def spans(self, matches: Column, context: Column) -> Column:

@@ -15,6 +15,11 @@ class Pattern:
     confidence: float
     guard: str = "[0-9]"
 
+    @property
+    def needs_digit(self) -> bool:
+        """The guard can't hold in a text without ASCII digits."""
+        return self.guard.startswith(("[0-9]", r"\+[0-9]", "1", "[13]", "bc1"))
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -31,13 +36,15 @@ _MONTH = (
     "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 )
 _HOST = r"[a-z\d]+([\-\.]{1}[a-z\d]+)*\.[a-z]{2,5}(:[0-9]{1,5})?(\/.*)?"
-_DOT = r"\."
+#: Letters that fold to ASCII ones count as such: U+212A and U+017F.
+_LETTER = r"A-Za-z\x{212A}\x{017F}"
+_DOT = rf"[0-9{_LETTER}]\.[{_LETTER}]{{2}}"
 
 KINDS: tuple[Kind, ...] = (
     Kind("age", "age", (
-        Pattern(r"(?i)\b[0-9.]+[\s]*(year|years|yrs|yr|yo)(.?)(\s)*(old)?\b", 0.90, "[yY](?:[eE]|[rR]|[oO])"),
-        Pattern(r"(?i)\b(age)(d)?(\s)*[0-9.]+\b", 0.90, "[aA][gG][eE]"),
-        Pattern(r"(?i)\b[0-9.]+[-]*(year|years|yrs|yr|yo)[-. ]*(?:old)?\b", 0.90, "[yY](?:[eE]|[rR]|[oO])"),
+        Pattern(r"(?i)\b[0-9.]+[\s]*(year|years|yrs|yr|yo)(.?)(\s)*(old)?\b", 0.90, r"[0-9.][\t\n\f\r ]*[yY][eErRoO]"),
+        Pattern(r"(?i)\b(age)(d)?(\s)*[0-9.]+\b", 0.90, r"[aA][gG][eE][dD]?[\t\n\f\r ]*[0-9.]"),
+        Pattern(r"(?i)\b[0-9.]+[-]*(year|years|yrs|yr|yo)[-. ]*(?:old)?\b", 0.90, "[0-9.]-*[yY][eErRoO]"),
         Pattern(r"(?i)\b([0-9]{1,3}) (y\/o)\b", 0.90, "[yY]/[oO]"),
     )),
     Kind("bankRoutingNumber", "bank-routing-number", (Pattern(r"\b[0123679]\d{8}\b", 0.75, "[0-9]{9}"),)),
@@ -93,7 +100,7 @@ KINDS: tuple[Kind, ...] = (
     Kind("url", "url", (Pattern(rf"(?i)(http://www\.|https://www\.|http://|https://)?{_HOST}", 0.10, _DOT),), {
         "requireHttpWwwPrefix": (Pattern(rf"(?i)(www\.|http://www\.|https://www\.|http://|https://){_HOST}", 0.80, r"://|[wW]\."),),
     }),
-    Kind("vin", "vin", (Pattern(r"(?i)\b[A-HJ-NPR-Z0-9]{17}\b", 0.90, ""),)),
+    Kind("vin", "vin", (Pattern(r"(?i)\b[A-HJ-NPR-Z0-9]{17}\b", 0.90, rf"[0-9{_LETTER}]{{17}}"),)),
     Kind("zipCode", "zip-code", (Pattern(r"\b[0-9]{5}(?:-?[0-9]{4})?\b", 0.50, "[0-9]{5}"),), {
         "requireDelimiter": (Pattern(r"\b[0-9]{5}(?:-[0-9]{4})?\b", 0.90, "[0-9]{5}"),),
     }),

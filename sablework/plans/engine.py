@@ -13,8 +13,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sablework.functions.spans import SPAN, drop_contained, let, sorted_spans, splice
-from sablework.operators.detectors import Detector, compile_detectors
+from sablework.functions.spans import SPAN, drop_contained, let, sorted_spans, splice, sql_name
+from sablework.operators.detectors import Detector, RegexDetector, compile_detectors
 from sablework.plans.policy import Policy, PolicyError, parse_policy, parse_policy_yaml
 
 #: Offsets of spans in the output of explain_rows().
@@ -54,7 +54,9 @@ class Engine:
         where = context if isinstance(context, Column) else F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
         names = [f"__m{i}" for i in range(len(self.detectors))]
         # Matches are columns of a projection of their own, so that what follows reads them and doesn't search again.
-        found = df.withColumns({n: d.matches(F.col(text)) for n, d in zip(names, self.detectors, strict=True)}) if names else df
+        facts = df.withColumn("__digit", F.rlike(F.col(text), F.lit("[0-9]"))) if names else df
+        of = lambda d: d.matches(sql_name(text), "__digit") if isinstance(d, RegexDetector) else d.matches(sql_name(text))
+        found = facts.withColumns({n: of(d) for n, d in zip(names, self.detectors, strict=True)}).drop("__digit") if names else df
         out = self.spans_column([F.col(n) for n in names], where)
         return found.withColumn(spans, F.coalesce(out, F.array().cast(f"array<{SPAN}>"))).drop(*names)
 

@@ -41,7 +41,7 @@ def test_same_matches_as_the_original_dialect(spark):
     con.executemany("INSERT INTO t VALUES (?, ?)", rows)
     patterns = [p for k in KINDS for p in (*k.patterns, *[x for o in k.options.values() for x in o])] + [STRICT_EMAIL]
     total = 0
-    columns = {f"p{n}": find_all(F.col("text"), to_java(p.regex), p.confidence, p.guard) for n, p in enumerate(patterns)}
+    columns = {f"p{n}": find_all("text", to_java(p.regex), p.confidence, p.guard) for n, p in enumerate(patterns)}
     got = {r.i: r for r in df.select("i", *[c.alias(n) for n, c in columns.items()]).collect()}
     for n, p in enumerate(patterns):
         want = dict(con.execute("SELECT i, list_transform(regexp_extract_all(text, ?, 0), lambda x: x) FROM t", [p.regex]).fetchall())
