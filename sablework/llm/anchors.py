@@ -27,6 +27,8 @@ from .common import long_id, small_batches, text_or_empty, written
 from .rolling import U64, mix, prefix, runs, slices, sliding_argmin
 
 HOT = 5000
+#: Bytes of texts that are looked at side by side.
+SLICE = 1 << 19
 #: Tokens of one text that are looked at in one go; longer texts are read in pieces that overlap by W - 1.
 PIECE = 2_000_000
 
@@ -87,7 +89,7 @@ def all_segments(docs: DataFrame, s: Search) -> DataFrame:
         for b in batches:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             texts = [t.encode() for t in b.column("text").to_pylist()]
-            for lo, hi in slices(texts):
+            for lo, hi in slices(texts, SLICE):
                 x = segments(*s.tokens(texts[lo:hi]), s.width, s.gram)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids[lo:hi][x["text"]]), pa.array(x["start"], pa.int64()), pa.array(x["n"], pa.int32()), pa.array(x["key"]), pa.array(x["content"])],
@@ -188,7 +190,8 @@ def covered(docs: DataFrame, s: Search, hot: int = HOT) -> tuple[DataFrame, Data
     ``spans``, the token ranges covered by windows that go, for the documents that have any."""
     small_batches(docs.sparkSession)
     base = docs.select(long_id(docs), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
-    every = all_segments(base, s)
+    # Narrow rows, written once: they are read for the counts and for the join.
+    every = written(all_segments(base, s), "all_segments")
     # Both sides of this join, and of the one below, are plain tables: then Spark may split the tasks of a hot key.
     again = written(every.groupBy("key").count().where("count > 1").select("key"), "repeated")
     segs = written(every.join(again, "key", "left_semi"), "segments")

@@ -38,39 +38,45 @@ def cut_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 
 
 def regrouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each key the place of its bucket in sorted order, and the bucket's size."""
+    """For each key the place of its bucket in sorted order, and whether it has company there."""
     order = np.argsort(keys, kind="stable")
+    new = np.ones(len(keys), bool)
     s = keys[order]
-    new = np.ones(len(s), bool)
-    new[1:] = s[1:] != s[:-1]
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    del s
     first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(s)))
-    place, count = np.empty(len(s), np.int64), np.empty(len(s), np.int64)
-    place[order], count[order] = np.repeat(first, size), np.repeat(size, size)
-    return place, count
+    size = np.diff(np.append(first, len(keys)))
+    place, shared = np.empty(len(keys), np.int32), np.empty(len(keys), bool)
+    place[order] = np.repeat(first, size)
+    shared[order] = np.repeat(size > 1, size)
+    return place, shared
 
 
 def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
-    """Which suffixes share their first ``width`` bytes with another; ``left``: bytes from a suffix to its text's end."""
+    """Which suffixes share their first ``width`` bytes with another; ``left``: bytes from a suffix to its text's end.
+
+    Numbers of buckets stay below 2^31: there are at most some hundred million suffixes in an index.
+    """
     n = len(raw)
+    depth = min(QGRAM, width)
     gram = np.zeros(n, np.uint64)
-    for i in range(min(QGRAM, width)):
+    for i in range(depth):
         gram[: n - i] |= raw[i:].astype(np.uint64) << np.uint64(8 * (QGRAM - 1 - i))
-    depth = min(QGRAM, width)
     active = np.flatnonzero(left >= depth)
     # Numbers of different rounds differ, so a suffix that has dropped out never looks like one that goes on.
-    bucket = np.arange(n, dtype=np.int64)
-    place, count = regrouped(gram[active])
+    bucket = np.arange(n, dtype=np.int32)
+    place, shared = regrouped(gram[active])
+    del gram
     bucket[active] = n + place
-    active = active[count > 1]
+    active = active[shared]
     numbers = 2 * n
     while depth < width and len(active):
         step = min(depth, width - depth)
         active = active[left[active] >= depth + step]
         # A bucket splits by the buckets of the suffixes ``step`` bytes later, as the last round left them.
-        place, count = regrouped(bucket[active] * numbers + bucket[active + step])
+        place, shared = regrouped(bucket[active].astype(np.int64) * numbers + bucket[active + step])
         bucket[active] = numbers + place
-        active = active[count > 1]
+        active = active[shared]
         numbers += n
         depth += step
     out = np.zeros(n, bool)
@@ -82,12 +88,12 @@ def shared_strings(bodies: list[bytes], n: np.ndarray, where: np.ndarray) -> lis
     """For each body which of its windows (of WIDTH bytes) occur again in these bodies."""
     size = np.array([len(b) for b in bodies], np.int64)
     end = np.cumsum(size)
-    left = np.repeat(end, size) - np.arange(end[-1])
+    left = (np.repeat(end, size) - np.arange(end[-1])).astype(np.int32)
     again = equal_suffixes(np.frombuffer(b"".join(bodies), np.uint8), left, WIDTH)
     return [again[e - z : e - z + k] for e, z, k in zip(end, size, n, strict=True)]
 
 
-SEARCH = Search(WIDTH, GRAM, byte_tokens, cut_bytes, shared_strings, keep_first=False, index_tokens=1_500_000)
+SEARCH = Search(WIDTH, GRAM, byte_tokens, cut_bytes, shared_strings, keep_first=False, index_tokens=600_000)
 
 
 def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
