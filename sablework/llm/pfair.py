@@ -6,9 +6,12 @@ slot ceil((j + 1) / w). One block runs per slot; of the released blocks the one
 with the earliest deadline goes first (ties: the smaller source name). In each
 prefix of t slots a source then has w * t blocks, give or take less than one.
 
-Weights are rounded to shares of a cycle of CYCLE slots, so the schedule
-repeats: one cycle is computed, and block j of a source with q slots a cycle
-runs in cycle j div q, at the (j mod q)-th of its places.
+Weights are taken as they are, for any number of sources. When a source runs
+out, the others go on with their weights rescaled to one in all: windows are
+those of the even flow in which every source gets its share of each slot until
+it is used up, so a source is always less than one block off that flow, and
+every block has a slot. The schedule is one heap over sources, run on the driver
+block by block (not by document): it holds a row per source and PLAN_ROWS slots.
 
 Documents keep their text whole: a document belongs to the blocks that its
 bytes fall into, in the order of a hash of its id. ``slot`` is the place of its
@@ -20,16 +23,26 @@ bytes; repeated rows are rows of their own; an empty table gives an empty result
 
 from __future__ import annotations
 
+import bisect
+import heapq
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty, written
+from .common import documents, shared_dir, text_or_empty, written
 
 BLOCK_BYTES = 4096
 CYCLE = 1000
 #: Default target weights: a source's share of all bytes to this power, scaled to one in all.
 TEMPER = 0.9
 ROWS_PER_RANGE = 2000
+#: Slots that the driver holds at once.
+PLAN_ROWS = 500_000
+#: Ends of the flow this near a whole slot count as there; far above the error of doubles.
+NEAR = 1e-6
 
 
 def natural_weights(sizes: DataFrame, temper: float = TEMPER) -> DataFrame:
@@ -37,23 +50,9 @@ def natural_weights(sizes: DataFrame, temper: float = TEMPER) -> DataFrame:
     return sizes.where("n_bytes > 0").select("source", F.pow(F.col("n_bytes").cast("double"), F.lit(temper)).alias("weight"))
 
 
-def shares(weights: DataFrame, cycle: int = CYCLE) -> DataFrame:
-    """source, weight, slots: whole slots a cycle, each source at least one, by largest remainders."""
-    every = Window.partitionBy(F.lit(1))
-    scaled = weights.withColumn("weight", F.col("weight") / F.sum("weight").over(every))
-    want = scaled.withColumn("want", F.greatest(F.lit(1.0), F.col("weight") * cycle))
-    floor = want.withColumn("base", F.floor("want").cast("long"))
-    order = Window.partitionBy(F.lit(1)).orderBy((F.col("want") - F.col("base")).desc(), "source")
-    left = floor.withColumn("left", F.lit(cycle) - F.sum("base").over(every)).withColumn("place", F.row_number().over(order))
-    # Sources lifted to one slot may overbook the cycle; then it is longer than asked for.
-    return left.select("source", "weight", (F.col("base") + F.when(F.col("place") <= F.col("left"), 1).otherwise(0)).alias("slots"))
-
-
 def cycle_table(quota: DataFrame) -> DataFrame:
-    """source, slots, cycle, k, release, deadline, place: the earliest-deadline-first schedule of one cycle.
-
-    One row per slot of the cycle, so its size is that of the cycle, whatever the data.
-    """
+    """source, slots, cycle, k, release, deadline, place: the earliest-deadline-first schedule of one cycle, for weights
+    that are whole slots of a cycle."""
     one = quota.agg(F.array_sort(F.collect_list(F.struct("source", "slots"))).alias("q"), F.sum("slots").cast("long").alias("n"))
     # State: how many blocks each source has had, and the sources served so far.
     step = """
@@ -103,41 +102,101 @@ def source_offsets(docs: DataFrame) -> DataFrame:
     return rows.join(sums, ["source", "range"]).select("doc_id", "source", "n_bytes", (F.col("base") + F.col("inner_bytes")).alias("before"))
 
 
-def at_slot(rows: DataFrame, plan: DataFrame, block: str, slot: str, more: bool = False) -> DataFrame:
-    """Adds the slot of a block, with ``more`` its release and deadline too; null where the source has no slots."""
-    per = plan.groupBy("source").agg(F.max("slots").alias("_slots"), F.max("cycle").alias("_cycle"))
-    plan = plan.select(F.col("source").alias("_s"), F.col("k").alias("_k"), "place", *(["release", "deadline"] if more else []))
-    out = rows.join(F.broadcast(per), "source", "left")
-    out = out.join(F.broadcast(plan), (F.col("source") == F.col("_s")) & (F.expr(f"{block} % _slots") == F.col("_k")), "left")
-    start = F.expr(f"{block} div _slots") * F.col("_cycle")
-    found = {slot: start + F.col("place")} | ({c: start + F.col(c) for c in ("release", "deadline")} if more else {})
-    return out.withColumns(found).drop("_s", "_k", "_slots", "_cycle", "place")
+class Flow:
+    """The even flow: each source gets its share of every slot until it is used up, then the others share its part."""
+
+    def __init__(self, weights: list[float], blocks: list[int]) -> None:
+        order = sorted(range(len(weights)), key=lambda i: blocks[i] / weights[i])
+        left = [0.0] * (len(order) + 1)  # weights still flowing, summed from the end
+        for k in range(len(order) - 1, -1, -1):
+            left[k] = left[k + 1] + weights[order[k]]
+        # Between two ends, `at[k]` in time of an endless source of weight one is `slot[k]`, and slots go by at `rate[k]`.
+        self.at, self.slot, self.rate = [0.0], [0.0], [left[0]]
+        for k, i in enumerate(order):
+            end = blocks[i] / weights[i]
+            self.slot.append(self.slot[-1] + (end - self.at[-1]) * left[k])
+            self.at.append(end)
+            self.rate.append(left[k + 1])
+
+    def slots(self, at: float) -> float:
+        k = bisect.bisect_right(self.at, at) - 1
+        return self.slot[k] + (at - self.at[k]) * self.rate[k]
+
+
+def schedule(weights: list[float], blocks: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """Of every slot in turn: source (its place in the lists), block, release, deadline; earliest deadline first."""
+    flow = Flow(weights, blocks)
+    waiting: list[tuple[int, int, int]] = []  # release, source, block
+    ready: list[tuple[int, int, int, int]] = []  # deadline, source, block, release
+    for i, n in enumerate(blocks):
+        if n:
+            heapq.heappush(waiting, (0, i, 0))
+    for t in range(sum(blocks)):
+        while waiting and waiting[0][0] <= t:
+            release, i, j = heapq.heappop(waiting)
+            deadline = math.ceil(flow.slots((j + 1) / weights[i]) - NEAR)
+            heapq.heappush(ready, (deadline, i, j, release))
+        deadline, i, j, release = heapq.heappop(ready)
+        yield i, j, release, deadline
+        if j + 1 < blocks[i]:
+            # Block j + 1 isn't released before block j is due, less one slot.
+            heapq.heappush(waiting, (math.floor(flow.slots((j + 1) / weights[i]) + NEAR), i, j + 1))
+
+
+def plan_table(spark: SparkSession, weights: list[float], blocks: list[int]) -> DataFrame:
+    """i, k, place, release, deadline: one row per slot, sent off PLAN_ROWS at a time."""
+    schema = "i int, k bigint, release bigint, deadline bigint, place bigint"
+    arrow = pa.schema([("i", pa.int32()), *[(c, pa.int64()) for c in ("k", "release", "deadline", "place")]])
+    path = f"{shared_dir(spark)}/plan"
+    rows, at = schedule(weights, blocks), 0
+    spark.createDataFrame([], schema).write.parquet(path)
+    while at < sum(blocks):
+        some = [next(rows) for _ in range(min(PLAN_ROWS, sum(blocks) - at))]
+        columns = [*zip(*some, strict=True), range(at, at + len(some))]
+        table = pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+        spark.createDataFrame(table, schema).write.mode("append").parquet(path)
+        at += len(some)
+    return spark.read.schema(schema).parquet(path)
 
 
 def pfair_mix(docs: DataFrame, weights: DataFrame | None = None, block_bytes: int = BLOCK_BYTES, cycle: int = CYCLE) -> DataFrame:
     """One row per document: doc_id, source, n_bytes, weight, block, release, deadline, slot, last_slot, selected.
 
-    ``weights`` has source and weight (any scale) for the sources to mix, at
-    most ``cycle`` of them; a source without a weight gets no slot (null) and
-    isn't selected. Default: natural_weights().
+    ``weights`` has source and weight (above 0, any scale) for the sources to
+    mix; a source without a weight gets no slot (null) and isn't selected.
+    Default: natural_weights(). ``cycle`` no longer rounds weights; it is only
+    refused where it could not be a cycle of two sources.
     """
+    if cycle < 2:
+        raise ValueError("a cycle has two slots at least")
+    spark = docs.sparkSession
     placed = written(source_offsets(docs), "offsets")
     sizes = placed.groupBy("source").agg(F.sum("n_bytes").alias("n_bytes"))
-    quota = written(shares(natural_weights(sizes) if weights is None else weights, cycle), "quota")
-    if quota.count() > cycle:
-        raise ValueError(f"more than {cycle} sources: take a longer cycle")
-    # From here on both tables have at most twice `cycle` rows, which bounds what is broadcast.
-    plan = written(cycle_table(quota.select("source", "slots")), "plan")
-    runs_out = quota.select("source").join(sizes, "source", "left").select(
-        "source", F.ceil(F.coalesce("n_bytes", F.lit(0)) / block_bytes).cast("long").alias("n_blocks")
+    weights = (natural_weights(sizes) if weights is None else weights).where("weight > 0")
+    # One row per source.
+    found = sorted((r.source, float(r.weight), r.n_bytes) for r in weights.join(sizes, "source", "left").collect())
+    total = math.fsum(w for _, w, _ in found)
+    # A source of empty texts only has one (empty) block.
+    blocks = [0 if n is None else max(1, -(-n // block_bytes)) for _, _, n in found]
+    quota = [(i, name, w / total) for i, (name, w, _) in enumerate(found)]
+    present = [i for i, n in enumerate(blocks) if n]
+    horizon = min((math.floor(n / w + NEAR) for (_, _, w), n in zip(quota, blocks, strict=True)), default=0)
+    # A given source without documents has run out before the first slot; the others share its part.
+    share = math.fsum(quota[i][2] for i in present)
+    plan = plan_table(spark, [quota[i][2] / share for i in present], [blocks[i] for i in present])
+    known = spark.createDataFrame(
+        [(quota[i][1], quota[i][2], at, blocks[i]) for at, i in enumerate(present)], "source string, weight double, i int, n_blocks bigint"
     )
-    horizon = at_slot(runs_out, plan, "n_blocks", "slot").agg(F.min("slot")).first()[0]
 
     last = F.greatest(F.col("before") + F.col("n_bytes") - 1, F.col("before"))
-    rows = placed.withColumns({"block": F.expr(f"before div {block_bytes}"), "last_block": F.floor(last / block_bytes)})
-    rows = at_slot(at_slot(rows, plan, "block", "slot", more=True), plan, "last_block", "last_slot")
-    rows = rows.join(F.broadcast(quota.select("source", "weight")), "source", "left")
-    inside = F.col("last_slot") < F.lit(horizon if horizon is not None else 0)
+    rows = placed.join(known, "source", "left")
+    # Empty texts after the end of a source's bytes belong to its last block.
+    of = lambda byte: F.least(F.expr(f"({byte}) div {block_bytes}"), F.col("n_blocks") - 1)
+    rows = rows.withColumn("last_byte", last).withColumns({"block": of("before"), "last_block": of("last_byte")})
+    first = plan.select("i", F.col("k").alias("block"), "release", "deadline", F.col("place").alias("slot"))
+    rows = rows.join(first, ["i", "block"], "left")
+    rows = rows.join(plan.select("i", F.col("k").alias("last_block"), F.col("place").alias("last_slot")), ["i", "last_block"], "left")
+    inside = F.col("last_slot") < F.lit(horizon)
     return rows.select(
         "doc_id", "source", "n_bytes", "weight", "block", "release", "deadline", "slot", "last_slot",
         F.coalesce(inside, F.lit(False)).alias("selected"),

@@ -63,3 +63,34 @@ def test_given_weights_and_edges(spark, edge_docs, no_docs):
         pfair.pfair_mix(edge_docs, cycle=1)
     kept = pfair.mix_sources(spark, edge_docs, "")
     assert kept.columns == edge_docs.columns and 0 < kept.count() <= edge_docs.count()
+
+
+@pytest.mark.parametrize("n, blocks", [(20, 2000), (1500, 6)])
+def test_exact_weights_over_many_cycles(n, blocks):
+    """Irrational weights, more than a thousand sources: never a block off, and every block has its slot."""
+    total = sum(math.sqrt(k + 2) for k in range(n))
+    weights = [math.sqrt(k + 2) / total for k in range(n)]
+    had = [0] * n
+    horizon = min(blocks / w for w in weights)
+    for t, (i, j, release, deadline) in enumerate(pfair.schedule(weights, [blocks] * n)):
+        assert j == had[i] and release <= t < deadline
+        had[i] += 1
+        if t + 1 <= horizon and (n < 100 or t % 50 == 0):
+            assert all(abs(h - w * (t + 1)) < 1 for h, w in zip(had, weights, strict=True))
+    assert had == [blocks] * n
+
+
+def test_more_sources_than_slots_in_a_cycle(spark):
+    docs = spark.range(2600).selectExpr("id as doc_id", "repeat('x', 64) as text", "concat('s', id % 1300) as source")
+    rows = pfair.pfair_mix(docs, block_bytes=64).collect()
+    assert sorted(r.slot for r in rows) == list(range(2600))
+    assert all(r.release <= r.slot < r.deadline for r in rows)
+
+
+def test_weights_are_not_rounded(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "repeat('x', 64) as text", "if(id < 1500, 'a', 'b') as source")
+    weights = spark.createDataFrame([("a", 0.5004), ("b", 0.4996)], "source string, weight double")
+    rows = pfair.pfair_mix(docs, weights, block_bytes=64).collect()
+    for r in rows:
+        if r.selected:
+            assert r.release == math.floor(r.block / r.weight) and r.deadline == math.ceil((r.block + 1) / r.weight)
