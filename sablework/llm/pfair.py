@@ -208,6 +208,6 @@ def op4_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mixture up to the horizon, in schedule order as far as a table has one."""
-    beyond = pfair_mix(docs).where(~F.col("selected")).select("doc_id").distinct()
-    return docs.join(beyond, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: all documents in schedule order (of equal ids the first slot counts); those without a slot last."""
+    slots = pfair_mix(docs).where("doc_id is not null").groupBy("doc_id").agg(F.min("slot").alias("_slot"))
+    return docs.join(slots, "doc_id", "left").orderBy(F.col("_slot").asc_nulls_last(), "doc_id").select(*docs.columns)

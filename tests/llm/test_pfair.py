@@ -94,3 +94,12 @@ def test_weights_are_not_rounded(spark):
     for r in rows:
         if r.selected:
             assert r.release == math.floor(r.block / r.weight) and r.deadline == math.ceil((r.block + 1) / r.weight)
+
+
+def test_a_tiny_source_ends_nothing(spark, edge_docs):
+    docs = spark.range(2000).selectExpr("id as doc_id", "repeat('x', 5000) as text", "if(id = 7, 'tiny', concat('s', id % 2)) as source")
+    assert pfair.mix_sources(spark, docs, "").count() == 2000
+    slots = {r.doc_id: r.slot for r in pfair.pfair_mix(docs).collect()}
+    mixed = [slots[r.doc_id] for r in pfair.mix_sources(spark, docs, "").collect()]
+    assert mixed == sorted(mixed)
+    assert pfair.mix_sources(spark, edge_docs, "").count() == edge_docs.count()
