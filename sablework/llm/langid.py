@@ -246,7 +246,10 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents in none of the languages learned go (no letters, or explained by no language)."""
+    """Pipeline stage: documents in none of the languages learned go (no letters, or explained by no language).
+
+    Where no language could be learned, only documents without letters go.
+    """
     small_batches(spark)
     model = fit(docs, ~held_out())
     shared = spark.sparkContext.broadcast(model)
@@ -256,6 +259,8 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         for b in batches:
             alphabet = alphabet or Alphabet(shared.value.letters)
             best, _, bits, size = score_texts(b.column("text"), shared.value, alphabet)
-            yield b.filter(pa.array((best >= 0) & ((size < REJECT_SYMBOLS) | (bits <= REJECT_BITS))))
+            # A text without letters has no symbols.
+            known = (best >= 0) & ((size < REJECT_SYMBOLS) | (bits <= REJECT_BITS)) if shared.value.langs else size > 0
+            yield b.filter(pa.array(known))
 
     return docs.mapInArrow(of_batches, docs.schema)

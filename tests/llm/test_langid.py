@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from sablework.llm import langid
 
@@ -72,3 +73,9 @@ def test_pipeline_stage_keeps_clean_documents(spark):
     kept = langid.keep_known_languages(spark, docs.unionByName(junk), SF)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+def test_stage_without_any_language_keeps_what_has_letters(spark, edge_docs):
+    docs = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_known_languages(spark, docs, "").collect()
+    assert len(kept) == sum(any(c.isalpha() for c in r.text or "") for r in docs.collect()) > 0
