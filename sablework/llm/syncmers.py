@@ -4,8 +4,8 @@ A k-mer (of words) is chosen when the smallest of its inner s-mers, by hash, is
 its first or its last one. The choice depends on the k-mer alone, so a text's
 anchors survive edits elsewhere and match by position between versions.
 
-A text of fewer than SHORT code points has too few long k-mers and takes those
-of SHORT_K words instead. Null text counts as empty and gives the empty
+K and S are the same for all lengths, so versions of any lengths can meet.
+Null text counts as empty and gives the empty
 fingerprint; a text of fewer words than a k-mer gives one anchor, the hash of
 all its words; equal texts have equal
 fingerprints; very long texts are read whole. Likeness is the Jaccard
@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, long_id, text_or_empty, written
 
-#: Words in a k-mer and in an inner s-mer: K - S + 1 = 8 s-mers a k-mer, so about a quarter of all k-mers are chosen.
-K, S = 9, 2
-SHORT, SHORT_K, SHORT_S = 400, 3, 1
+#: Words in a k-mer and in an inner s-mer: K - S + 1 = 4 s-mers a k-mer, so about half of all k-mers are chosen.
+K, S = 5, 2
 IDS_PER_BUCKET = 50_000
 
 
@@ -33,8 +32,8 @@ def let(value: Column, body) -> Column:
 
 
 def syncmers(text: Column) -> Column:
-    """Anchors of a text: closed syncmers of K words, of SHORT_K words in a short text."""
-    return F.when(F.length(text) < SHORT, closed_syncmers(text, SHORT_K, SHORT_S)).otherwise(closed_syncmers(text, K, S))
+    """Anchors of a text: closed syncmers of K words."""
+    return closed_syncmers(text, K, S)
 
 
 def closed_syncmers(text: Column, k: int, s: int) -> Column:

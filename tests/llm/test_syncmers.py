@@ -62,3 +62,14 @@ def test_next_ids_over_several_ranges(spark, monkeypatch):
     got = {r.doc_id: r.next_id for r in syncmers.next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id bigint")).collect()}
     ids = sorted(ids, reverse=True)
     assert got == {a: b for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)}
+
+
+def likeness_of(spark, *pairs):
+    df = spark.createDataFrame(list(pairs), "a string, b string").coalesce(1)
+    return [r[0] for r in df.select(syncmers.likeness(syncmers.syncmers(F.col("a")), syncmers.syncmers(F.col("b")))).collect()]
+
+
+def test_versions_of_any_lengths_meet(spark):
+    text = " ".join(f"w{i:02d}" for i in range(150))
+    pairs = [(text[:n], text[: n + 8]) for n in (99, 199, 391, 395, 399)]
+    assert all(x > 0.6 for x in likeness_of(spark, *pairs))
