@@ -4,11 +4,15 @@ A k-mer (of words) is chosen when the smallest of its inner s-mers, by hash, is
 its first or its last one. The choice depends on the k-mer alone, so a text's
 anchors survive edits elsewhere and match by position between versions.
 
-K and S are the same for all lengths, so versions of any lengths can meet.
-Null text counts as empty and gives the empty
-fingerprint; a text of fewer words than a k-mer gives one anchor, the hash of
-all its words; equal texts have equal
-fingerprints; very long texts are read whole. Likeness is the Jaccard
+K and S are the same for all lengths, so versions of any lengths can meet. Two
+empty words stand before and after a text, so a text of one word has a k-mer.
+The LEAST smallest s-mers by hash are anchors too; a text of which no k-mer is
+chosen has all its s-mers as anchors, and so meets a version that has chosen ones.
+
+A text that is one word, and any word of more than LONG_WORD code points, is
+read as words of one code point. Null text counts as empty and gives the empty
+fingerprint, which no other text has (white space alone is one anchor); equal texts
+have equal fingerprints; very long texts are read whole. Likeness is the Jaccard
 similarity of the two anchor sets, 1 for two empty ones. Repeated ids: the next
 document is the one with the next smaller distinct id, of its texts the
 smallest. An empty table gives an empty result; other columns are ignored.
@@ -23,6 +27,7 @@ from .common import documents, long_id, text_or_empty, written
 
 #: Words in a k-mer and in an inner s-mer: K - S + 1 = 4 s-mers a k-mer, so about half of all k-mers are chosen.
 K, S = 5, 2
+LEAST, LONG_WORD = 3, 24
 IDS_PER_BUCKET = 50_000
 
 
@@ -31,30 +36,50 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def syncmers(text: Column) -> Column:
-    """Anchors of a text: closed syncmers of K words."""
-    return closed_syncmers(text, K, S)
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def smers(words: Column, s: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.size(words) - s), lambda i: F.hash(*[words[i + j] for j in range(s)]))
+
+
+def chosen(m: Column, span: int) -> Column:
+    """Anchors of the closed syncmers among k-mers of ``span`` s-mers, from the hashes of all s-mers."""
+    inner = lambda i: F.array_min(F.slice(m, i + 1, span))
+    edges = lambda i: F.least(m[i], m[i + (span - 1)])
+    start = F.filter(F.sequence(F.lit(0), F.size(m) - span), lambda i: edges(i) <= inner(i))
+    return F.transform(start, lambda i: F.hash(m[i], m[i + span // 3], m[i + 2 * span // 3], m[i + (span - 1)]))
 
 
 def closed_syncmers(text: Column, k: int, s: int) -> Column:
     """Sorted distinct 32-bit anchors of the closed syncmers of a text (array<int>), by SQL functions only."""
-    span = k - s + 1
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    nothing = F.array().cast("array<int>")
+    of_words = lambda w: F.when(F.size(w) >= k, let(smers(w, s), lambda m: chosen(m, k - s + 1))).otherwise(nothing)
+    return F.array_sort(F.array_distinct(let(words_of(text), of_words)))
+
+
+def syncmers(text: Column) -> Column:
+    """Anchors of a text: closed syncmers of K words and the smallest s-mers (array<int>, sorted and distinct)."""
+    pad = F.array(*[F.lit("")] * (K // 2))
+
+    def units(w: Column) -> Column:
+        long = lambda x: F.length(x) > LONG_WORD
+        parts = F.flatten(F.transform(w, lambda x: F.when(long(x) | (F.size(w) == 1), F.split(x, "")).otherwise(F.array(x))))
+        return F.concat(pad, F.when((F.size(w) == 1) | F.exists(w, long), parts).otherwise(w), pad)
 
     def anchors(m: Column) -> Column:
-        inner = lambda i: F.array_min(F.slice(m, i + 1, span))
-        edges = lambda i: F.least(m[i], m[i + (span - 1)])
-        start = F.filter(F.sequence(F.lit(0), F.size(m) - span), lambda i: edges(i) <= inner(i))
-        return F.transform(start, lambda i: F.hash(m[i], m[i + span // 3], m[i + 2 * span // 3], m[i + (span - 1)]))
+        # Without the s-mers of empty words alone.
+        own = F.slice(m, K // 2 - S + 2, F.size(m) - 2 * (K // 2 - S + 1))
+        of_chosen = lambda c: F.when(F.size(c) > 0, F.concat(c, F.slice(F.array_sort(F.array_distinct(own)), 1, LEAST))).otherwise(own)
+        return let(chosen(m, K - S + 1), of_chosen)
 
     def of_words(w: Column) -> Column:
-        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - s), lambda i: F.hash(*[w[i + j] for j in range(s)]))
-        long = let(hashes, anchors)
-        return F.when(F.size(w) >= k, long).when(F.size(w) > 0, F.array(F.hash(F.array_join(w, " ")))).otherwise(
-            F.array().cast("array<int>")
-        )
+        found = let(units(w), lambda u: let(smers(u, S), anchors))
+        nothing = F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))
+        return F.when(F.size(w) > 0, found).otherwise(nothing)
 
-    return F.array_sort(F.array_distinct(let(words, of_words)))
+    return F.array_sort(F.array_distinct(let(words_of(text), of_words)))
 
 
 def likeness(a: Column, b: Column) -> Column:

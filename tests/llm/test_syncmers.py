@@ -73,3 +73,20 @@ def test_versions_of_any_lengths_meet(spark):
     text = " ".join(f"w{i:02d}" for i in range(150))
     pairs = [(text[:n], text[: n + 8]) for n in (99, 199, 391, 395, 399)]
     assert all(x > 0.6 for x in likeness_of(spark, *pairs))
+
+
+def test_every_text_has_anchors_that_meet(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(n)) for n in range(1, 12) for c in "abcdefgh"] + ["x", "xy", " ", "\n"]
+    prints = [set(r.a) for r in spark.createDataFrame([(t,) for t in texts], "t string").select(syncmers.syncmers(F.col("t")).alias("a")).collect()]
+    assert all(prints)
+    short = [" ".join(f"{c}{i}" for i in range(n)) for n in range(4, 12) for c in "abcdefgh"]
+    assert likeness_of(spark, *[(a, b) for a, b in zip(short, short[1:], strict=False)]).count(1.0) == 0
+    near = likeness_of(spark, *[(t, t.rsplit(" ", 1)[0] + " changed") for t in short])
+    assert sum(x > 0 for x in near) >= 0.9 * len(near) and sum(near) / len(near) > 0.3
+    assert likeness_of(spark, ("", ""), ("", " "), (" ", "\n")) == [1.0, 0.0, 0.0]
+
+
+def test_texts_without_white_space(spark):
+    text = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(300))
+    near, mixed, other = likeness_of(spark, (text, text[:200] + text[:100][::-1]), (text, text[:200] + " and other words"), (text, text[::-1]))
+    assert near > 0.3 and mixed > 0.3 and other < 0.1
