@@ -49,6 +49,7 @@ def chosen(m: Column, span: int) -> Column:
     inner = lambda i: F.array_min(F.slice(m, i + 1, span))
     edges = lambda i: F.least(m[i], m[i + (span - 1)])
     start = F.filter(F.sequence(F.lit(0), F.size(m) - span), lambda i: edges(i) <= inner(i))
+    # With K and S these four are all s-mers of the k-mer, so every word counts.
     return F.transform(start, lambda i: F.hash(m[i], m[i + span // 3], m[i + 2 * span // 3], m[i + (span - 1)]))
 
 

@@ -90,3 +90,12 @@ def test_texts_without_white_space(spark):
     text = "".join(chr(0x4E00 + i * 37 % 5000) for i in range(300))
     near, mixed, other = likeness_of(spark, (text, text[:200] + text[:100][::-1]), (text, text[:200] + " and other words"), (text, text[::-1]))
     assert near > 0.3 and mixed > 0.3 and other < 0.1
+
+
+def test_every_word_of_a_kmer_counts(spark):
+    k = syncmers.K
+    texts = [[f"{c}{i}" for i in range(k)] for c in "abcdefghijkl"]
+    rows = [(" ".join(t), " ".join([*t[:i], "other", *t[i + 1 :]])) for t in texts for i in range(k)]
+    df = spark.createDataFrame(rows, "a string, b string").select(*[syncmers.closed_syncmers(F.col(c), k, syncmers.S).alias(c) for c in "ab"])
+    found = df.collect()
+    assert any(r.a and r.b for r in found) and not any(set(r.a) & set(r.b) for r in found)
