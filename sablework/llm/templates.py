@@ -8,10 +8,14 @@ MIN_PAGES pages and half of the host's pages, and if its tags nest in tags of
 valid classes. Valid classes make up the host's template; what stands between its
 tokens are slots. The text of a page is what is left of its slots without
 
-* slots of menus, headers, footers, sidebars, notices, adverts, forms, scripts,
-  styles and reader comments, by their tags, roles and class names,
+* the template's own text, and slots in which links hold most of the text, unless nothing would be left,
 * where a page marks its article (article, main), all slots outside of it,
-* elsewhere the template's own text, and slots in which links hold most of the text.
+* elements that tags or roles mark as menus, headers, footers, forms, scripts and the like,
+* elements whose class or id names them so: one whole name, or one with words for a box behind it. Where
+  the host has a template, only its elements go by name. What holds the article or
+  most of the page's text (of comments: nearly all) never goes by name.
+
+A host of fewer than FEW_PAGES pages needs its tokens on all of them, on two at least.
 
 Vectors are compared by 64-bit sums over pages, so a host may hold a third of all
 pages: each task sums up what it reads, and an aggregation adds the sums.
@@ -37,7 +41,9 @@ from pyspark.sql import functions as F
 
 from .common import left_join_groups, small_batches, written
 
-MIN_PAGES, MIN_SHARE, LINK_SHARE = 5, 0.5, 0.6
+MIN_PAGES, FEW_PAGES, MIN_SHARE, LINK_SHARE = 2, 5, 0.5, 0.6
+#: A name removes at most this share of a page's text; reader comments may outweigh the article.
+NAMED_SHARE, COMMENT_SHARE = 0.5, 0.9
 #: Templates of up to so many tokens in all are broadcast (24 bytes each); more are joined by host.
 BROADCAST_TOKENS = 500_000
 # Elements by what they are for.
@@ -53,17 +59,27 @@ NAMES = frozenset(
     " menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments disqus reply replies respond related share sharing social"
     " widget pagination pager copyright legal toolbar".split()
 )
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+BOXES = frozenset("area bar block box container holder inner list panel section slot unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
 def boilerplate(tag: str, attrs: dict[str, str]) -> bool:
-    if tag in BOILERPLATE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES:
-        return True
+    return tag in BOILERPLATE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES
+
+
+def named(tag: str, attrs: dict[str, str]) -> float:
+    """The share of a page's text that the element's names may remove; 0 if it has no such name."""
     if tag in ("html", "body") or tag in MAIN and "comment" not in attrs.get("class", ""):
-        return False
-    return any(w in NAMES for w in re.findall(r"[a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower()))
+        return 0.0
+    share = 0.0
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        first, *rest = re.split(r"[-_]+", name)
+        if first in NAMES and all(w in BOXES for w in rest):
+            share = max(share, COMMENT_SHARE if first in COMMENTS else NAMED_SHARE)
+    return share
 
 
 class Page:
@@ -71,17 +87,19 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tags: dict[int, list[int]] = {}  # context -> [times, parent's context]
-        self.fragments: list[tuple[int, int, str, bool, bool, bool]] = []  # context, block, text, link, boilerplate, main
+        # context, block, text, link, boilerplate, main, innermost element that is no inline one, elements with names
+        self.fragments: list[tuple[int, int, str, bool, bool, bool, int, tuple[int, ...]]] = []
+        self.names: list[list] = []  # context, share, whether it holds the article
         self.has_main = False
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+        stack: list[tuple[str, int, bool, bool, bool, int, tuple[int, ...]]] = [("", 0, False, False, False, 0, ())]
         block = pos = 0
         n = len(source)
         while pos < n:
             m = TAG.search(source, pos)
             end = m.start() if m else n
             if end > pos:
-                _, context, link, bad, main = stack[-1]
-                self.fragments.append((context, block, source[pos:end], link, bad, main))
+                _, context, link, bad, main, slot, names = stack[-1]
+                self.fragments.append((context, block, source[pos:end], link, bad, main, slot, names))
             if not m:
                 break
             pos = m.end()
@@ -105,28 +123,46 @@ class Page:
                         break
                     if stack[i][0] not in INLINE and stack[i][0] != "p":
                         break
-            _, context, link, bad, main = stack[-1]
+            _, context, link, bad, main, slot, names = stack[-1]
             inner = xxhash.xxh64_intdigest(f"{tag}.{attrs.get('class', '')}", context) >> 1
             self.tags.setdefault(inner, [0, context])[0] += 1
             if tag in VOID or m[3].endswith("/"):
                 continue
             bad = bad or boilerplate(tag, attrs)
-            main = main or tag in MAIN and not bad
-            self.has_main |= main
-            stack.append((tag, inner, link or tag == "a", bad, main))
+            share = 0.0 if bad else named(tag, attrs)
+            if tag in MAIN and not bad and not share:
+                main = self.has_main = True
+                for i in names:
+                    self.names[i][2] = True
+            if share:
+                names = (*names, len(self.names))
+                self.names.append([inner, share, False])
+            stack.append((tag, inner, link or tag == "a", bad, main, slot if tag in INLINE else inner, names))
             if tag in RAW:
                 # No markup inside: up to the end tag, or the end of the page.
                 close = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
                 pos = close.start() if close else n
 
-    def text(self, template: frozenset[int], link_slots: frozenset[int], nearest) -> str:
+    def removed_names(self, tags: frozenset[int]) -> set[int]:
+        """Which elements with names go."""
+        size, total = [0] * len(self.names), 0
+        for _, _, raw, _, bad, _, _, names in self.fragments:
+            n = 0 if bad else len(raw.strip())
+            total += n
+            for i in names:
+                size[i] += n
+        return {i for i, (context, share, holds) in enumerate(self.names) if not holds and size[i] <= share * total and (not tags or context in tags)}
+
+    def text(self, tags: frozenset[int], template: frozenset[int], link_slots: frozenset[int], nearest) -> str:
+        gone = self.removed_names(tags)
+        kept = [f for f in self.fragments if not (f[4] or self.has_main and not f[5] or any(i in gone for i in f[7]))]
+        # Blocks with text of the page's own are kept whole: the template also has words and full stops inside sentences.
+        live = {f[1] for f in kept if f[2].strip() and fragment_token(f[0], f[2]) not in template and nearest(f[6]) not in link_slots}
+        # Where nothing is left, pages are copies of one page, and the template has all of it.
+        own = [f for f in kept if f[1] in live] if live else kept
         blocks: dict[int, list[str]] = {}
-        for context, block, raw, _, bad, main in self.fragments:
-            if bad or self.has_main and not main:
-                continue
-            if not self.has_main and (fragment_token(context, raw) in template or nearest(context) in link_slots):
-                continue
-            blocks.setdefault(block, []).append(html_lib.unescape(raw))
+        for f in own:
+            blocks.setdefault(f[1], []).append(html_lib.unescape(f[2]))
         lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
         return "\n".join(x for x in lines if x)
 
@@ -163,9 +199,9 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 sums.setdefault((host, 0, 0), [0, 0, 0, 0, 0])[2] += 1
                 chars: dict[int, list[int]] = {}
                 texts: dict[tuple[int, int], int] = {}
-                for context, _, raw, link, _, _ in page.fragments:
+                for context, _, raw, link, _, _, slot, _ in page.fragments:
                     if raw.strip():
-                        c = chars.setdefault(context, [0, 0])
+                        c = chars.setdefault(slot, [0, 0])
                         c[0] += len(raw)
                         c[1] += len(raw) * link
                         key = (fragment_token(context, raw), context)
@@ -195,7 +231,7 @@ def templates(counted: DataFrame) -> DataFrame:
     counted = written(counted.where(f"kind = 0 or n_pages >= {MIN_PAGES}"), "counted")
     hosts = counted.where("kind = 0").select("host", F.col("n_pages").alias("of"))
     total = hosts.agg(F.sum("of")).first()[0] or 0
-    tokens = left_join_groups(counted.where("kind > 0"), hosts.withColumn("size", F.col("of")), "host", "size", total).where(F.col("n_pages") >= MIN_SHARE * F.col("of"))
+    tokens = left_join_groups(counted.where("kind > 0"), hosts.withColumn("size", F.col("of")), "host", "size", total).where(F.col("n_pages") >= F.when(F.col("of") < FEW_PAGES, F.col("of")).otherwise(F.greatest(F.lit(FEW_PAGES), MIN_SHARE * F.col("of"))))
     classes = tokens.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("least")).where("n > 1 and least = 1")
     valid = tokens.join(classes.select("host", "vector"), ["host", "vector"], "left_semi")
     tags = valid.where("kind = 1").select("host", F.col("token").alias("parent"))
@@ -229,7 +265,7 @@ def extract(pages: DataFrame) -> DataFrame:
                     context = page.tags[context][1]
                 return context
 
-            out.append(page.text(own, links, nearest))
+            out.append(page.text(tags, own, links, nearest))
         return pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
         )

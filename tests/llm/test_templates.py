@@ -63,3 +63,16 @@ def test_markup(spark):
 def test_very_long_page(spark):
     df = spark.createDataFrame([(1, "http://a.b/", "<article>" + "<p>word word" * 50_000 + "</article>")], "page_id bigint, url string, html string")
     assert templates.extract(df).first().text.count("\n") == 49_999
+
+
+def texts_of(spark, sources):
+    rows = [(i, f"http://site.example/{i}", h) for i, h in enumerate(sources)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    return [r.text for r in sorted(templates.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_template_text_goes_inside_a_marked_article_too(spark):
+    page = "<body><article><h1>Title {i}</h1><div class=zz>Tell your friends</div><p>First of {i}, <a href=x>see {i}</a>.<ul class=q><li><a href={i}>More {i}</a></ul></article>"
+    for n in (2, 3, 12):
+        assert texts_of(spark, [page.format(i=i) for i in range(n)]) == [f"Title {i}\nFirst of {i}, see {i}." for i in range(n)]
+    assert texts_of(spark, ["<article><h1>Same</h1><p>text</article>"] * 6) == ["Same\ntext"] * 6
