@@ -76,3 +76,14 @@ def test_template_text_goes_inside_a_marked_article_too(spark):
     for n in (2, 3, 12):
         assert texts_of(spark, [page.format(i=i) for i in range(n)]) == [f"Title {i}\nFirst of {i}, see {i}." for i in range(n)]
     assert texts_of(spark, ["<article><h1>Same</h1><p>text</article>"] * 6) == ["Same\ntext"] * 6
+
+
+def test_names_remove_no_article(spark):
+    cases = [
+        '<div class="container no-sidebar"><article>a {i}</article></div>', '<div class="sidebar"><article>a {i}</article></div>',
+        '<div class="post-header"><h1>a {i}</h1></div>', '<div id="legal-news">a {i}</div>', '<section class="related-work">a {i}</section>',
+        '<body class="has-header content-with-ads"><div class=header>a {i}</div>', "<div class=content-with-ads>a {i}</div>",
+    ]
+    for n in (1, 6):
+        for case in cases[:3] if n > 1 else cases:
+            assert texts_of(spark, [case.format(i=i) for i in range(n)]) == [f"a {i}" for i in range(n)], case
