@@ -2,19 +2,24 @@
 
 Arrivals (digest, stable id, content locator) stream through a Structured
 Streaming aggregation whose state is kept by RocksDB: per digest the id and the
-locator of the row that stays and the number of rows so far. Rows that hit a
-digest which is already there are compared with the content of the row that
-stays, byte by byte, so two texts that share a digest never merge.
-
-Null text counts as empty; a null id loses against any id; an empty table gives
-an empty result; repeated rows (same id and text) each count in group_size and
-share one fate. Other columns of the input are ignored, whatever their names.
+locator of the row that stays and the number of rows so far. A locator names the
+file and the row of a text. Rows that hit a digest which is already there are
+compared, byte by byte, with the text at the locator of the row that stays, so
+two texts that share a digest never merge.
+
+Of equal texts the row with the largest doc_id stays (ties: the largest
+locator). Null text counts as empty; a null id loses against any id; very long
+texts are compared whole; an empty table gives an empty result; repeated rows
+(same id and text) each count in group_size and share one fate in ``kept``, while
+only one of them is the row ``own = locator``. Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +36,8 @@ ARRIVAL = "doc_id bigint, digest string, locator string"
 CHANGE = "digest string, keep struct<doc_id:bigint,locator:string>, n_rows bigint, epoch bigint"
 #: Rows of one digest that one task compares with the content that stays.
 ROWS_PER_SALT = 1000
+#: Files of arrivals that one micro-batch takes in.
+FILES_PER_BATCH = 1000
 
 
 def sha256_of(text: Column) -> Column:
@@ -48,6 +55,7 @@ def stream_state(spark: SparkSession, arrivals: str, home: str) -> DataFrame:
     try:
         state = (
             spark.readStream.schema(ARRIVAL)
+            .option("maxFilesPerTrigger", FILES_PER_BATCH)
             .parquet(arrivals)
             .groupBy("digest")
             .agg(F.max(F.struct("doc_id", "locator")).alias("keep"), F.count(F.lit(1)).alias("n_rows"))
@@ -80,52 +88,67 @@ def stream_state(spark: SparkSession, arrivals: str, home: str) -> DataFrame:
     )
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` and a column ``__locator`` (file and row). Tables read from Parquet have one; others are written first."""
+    locator = lambda df: df.select("*", F.concat("_metadata.file_path", F.lit("#"), "_metadata.row_index").alias("__locator"))
+    try:
+        return locator(docs)
+    except AnalysisException:
+        return locator(written(docs, "located"))
+
+
 def collided_digests(rows: DataFrame, hits: DataFrame, total: int) -> DataFrame:
-    """Digests whose rows do not all have the bytes of the row that stays. A large group's content is laid out once
-    per ROWS_PER_SALT rows, so that no task gets a whole hot group."""
-    found = left_join_groups(rows, hits.drop("locator"), "digest", "n_rows", total).where(F.col("n_rows").isNotNull())
-    found = written(found, "hits")  # the texts of all rows are dealt out once, those of hits are all that is used below
+    """Digests whose rows do not all have the bytes of the row that stays, which its locator finds. A large group's
+    content is laid out once per ROWS_PER_SALT rows, so that no task gets a whole hot group."""
+    found = left_join_groups(rows, hits, "digest", "n_rows", total).where(F.col("n_rows").isNotNull())
+    # The texts of all rows are dealt out once; those of hits are all that is used below. Read again, rows have numbers.
+    found = written(found, "hits").withColumn("row", F.monotonically_increasing_id())
     salts = F.ceil(F.col("n_rows") / ROWS_PER_SALT).cast("long")
-    members = found.select("digest", "text", F.pmod(F.xxhash64("doc_id"), salts).alias("salt"))
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(
-        F.min("text").alias("kept_text"), F.max("n_rows").alias("n_rows")
-    )
+    members = found.where(F.col("own") != F.col("locator")).select("digest", "text", F.pmod(F.xxhash64("row"), salts).alias("salt"))
+    stays = found.where(F.col("own") == F.col("locator")).select("digest", F.col("text").alias("kept_text"), "n_rows")
     stays = stays.select("digest", "kept_text", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
     same = F.col("text").cast("binary") == F.col("kept_text").cast("binary")
     return members.join(stays, ["digest", "salt"]).where(~same).select("digest").distinct()
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of) -> DataFrame:
-    """One row per document: doc_id, digest, keep_id, group_size, kept, locator (of the content that stays).
+    """One row per document: doc_id, digest, keep_id, group_size, kept, own and locator (of this row's text and of the
+    one that stays).
 
-    Of equal texts the row with the largest doc_id stays. ``digest`` may be any
-    SQL expression of the text; collisions cost time, never correctness.
+    ``digest`` may be any SQL expression of the text; collisions cost time, never correctness.
     """
+    return dedup_located(located(docs), digest)
+
+
+def dedup_located(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of) -> DataFrame:
+    """exact_dedup() of what located() gives."""
     spark = docs.sparkSession
     home = shared_dir(spark)
-    rows = docs.select(long_id(docs), text_or_empty().alias("text"))
-    rows = rows.select("doc_id", digest(F.col("text")).cast("string").alias("digest"), "text")
-    rows.select("doc_id", "digest", F.input_file_name().alias("locator")).write.parquet(f"{home}/arrivals")
-    arrivals = spark.read.schema(ARRIVAL).parquet(f"{home}/arrivals")
+    rows = docs.select(long_id(docs), text_or_empty().alias("text"), F.col("__locator").alias("own"))
+    rows = rows.select("doc_id", digest(F.col("text")).cast("string").alias("digest"), "own", "text")
+    rows.select("doc_id", "digest", F.col("own").alias("locator")).write.parquet(f"{home}/arrivals")
+    arrivals = spark.read.schema(ARRIVAL).parquet(f"{home}/arrivals").withColumnRenamed("locator", "own")
     state = stream_state(spark, f"{home}/arrivals", home)
     total = arrivals.count()
     hits = state.where("n_rows > 1")
     collided = written(collided_digests(rows, hits, total), "collided")
 
-    marked = left_join_groups(arrivals.withColumnRenamed("locator", "own"), hits, "digest", "n_rows", total)
+    marked = left_join_groups(arrivals, hits, "digest", "n_rows", total)
     result = marked.select(
         "doc_id",
         "digest",
         F.when(F.col("n_rows").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n_rows", F.lit(1).cast("long")).alias("group_size"),
+        "own",
         F.coalesce("locator", "own").alias("locator"),
     )
     if not collided.isEmpty():
         # The texts themselves are the key where a digest has several.
         several = rows.join(collided, "digest", "left_semi")
-        true = several.groupBy("digest", "text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        own = several.join(true, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size", F.lit(None).cast("string").alias("locator"))
-        result = result.join(collided, "digest", "left_anti").unionByName(own)
+        true = several.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "own")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+        true = true.select("digest", "text", F.col("keep.doc_id").alias("keep_id"), "group_size", F.col("keep.own").alias("locator"))
+        mended = several.join(true, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size", "own", "locator")
+        result = result.join(collided, "digest", "left_anti").unionByName(mended)
     return result.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
 
 
@@ -145,11 +168,12 @@ FROM documents
 
 
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of equal texts the row with the largest doc_id stays."""
-    gone = exact_dedup(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-
+    """Pipeline stage: of equal texts one row stays, the one that exact_dedup keeps.
 
-STAGE_SQL = """
-SELECT * FROM {docs} QUALIFY doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, ''))
-"""
+    Rows are told apart by their locators, so one id on different texts loses
+    none of them, and of rows without id or repeated rows one stays as well. An
+    empty table stays empty; other columns pass through, whatever their names.
+    """
+    docs = located(docs)
+    gone = dedup_located(docs).where(F.col("own") != F.col("locator")).select(F.col("own").alias("__locator"))
+    return docs.join(gone, "__locator", "left_anti").drop("__locator")

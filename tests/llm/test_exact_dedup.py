@@ -46,3 +46,27 @@ def test_empty_and_stage(spark, no_docs, unique_docs):
     assert kept.columns == unique_docs.columns
     ids = {r.doc_id for r in kept.collect()}
     assert {60, 0} & ids == set() and {61, 66, 67, 63, 64} <= ids and 65 not in ids and 62 not in ids
+
+
+def test_stage_keeps_one_row_of_each_text(spark, edge_docs, no_docs, tmp_path):
+    """Repeated and null ids, one id on different texts, from memory and from files; other columns as they were."""
+    extra = [(1, "A"), (1, "B"), (2, "C"), (3, "A"), (None, "N"), (None, "N"), (None, "M"), (4, "R"), (4, "R"), (5, None), (6, "")]
+    rows = [(i, t, "aa", "s1", 1, 7, "k", 0.5, "t") for i, t in extra]
+    docs = edge_docs.unionByName(spark.createDataFrame(rows, edge_docs.schema))
+    docs.write.parquet(str(tmp_path / "docs"))
+    key = lambda i: -1 if i is None else i
+    want = {}
+    for r in docs.collect():
+        want[r.text or ""] = max(want.get(r.text or "", -1), key(r.doc_id))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        kept = e.keep_first_copies(spark, given, "")
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert len(got) == len(want) and {r.text or "": key(r.doc_id) for r in got} == want
+    assert e.keep_first_copies(spark, no_docs, "").count() == 0
+
+
+def test_several_batches_share_one_state(spark, unique_docs, monkeypatch):
+    monkeypatch.setattr(e, "FILES_PER_BATCH", 1)
+    got = e.exact_dedup(unique_docs.repartition(3)).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == brute(unique_docs.collect())
