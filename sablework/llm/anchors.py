@@ -3,14 +3,17 @@
 Every window has an anchor: of its k-grams the one with the smallest hash
 (leftmost on ties). Equal windows have equal anchors, so consecutive windows
 with one anchor form a segment, and segments need to meet only those with the
-same anchor hash. Narrow rows (hashes) decide first which anchors and which
-segment contents occur again; texts are cut only for anchors that have several
-contents, and there once per content. Those go, by anchor, to an index that
-finds the windows they share.
+same anchor hash. Narrow rows (hashes) decide which anchors occur again; for
+those, texts are cut once per distinct content of a segment. Contents go, by
+anchor, with the number of their copies, to an index that finds the windows they
+share: hashes route, and what is removed is what the index has found.
 
 An anchor with more than HOT contents (the edge of a passage that is everywhere)
 takes another exact way: its windows become units of their own, which meet by
-128-bit hashes in a plain aggregation, so no task gets all of them.
+128-bit digests in a plain aggregation, so no task gets all of them.
+
+Documents go by their id. Where ids are null or repeated, rows are numbered in
+the order of ids (null last), files and rows, and go by that number.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_id, small_batches, text_or_empty, written
-from .rolling import U64, mix, prefix, runs, slices, sliding_argmin
+from .common import ROW, located, long_id, small_batches, text_or_empty, written
+from .rolling import U64, prefix, runs, slices, sliding_argmin
 
 HOT = 5000
 #: Bytes of texts that are looked at side by side.
@@ -37,24 +41,28 @@ PIECE = 2_000_000
 class Search:
     """What to look for: windows of ``width`` tokens, anchors of ``gram`` tokens.
 
-    ``tokens``: texts -> (hashes of all tokens, token counts of the texts).
+    ``tokens``: texts -> (hashes of all tokens, token counts of the texts, their bytes, where the tokens start and end there).
     ``cut``: text, token spans -> the contents as bytes.
-    ``shared``: the index, (contents, windows of each, document and start of each) -> for each content which windows go.
+    ``shared``: the index, (contents, windows of each, document and start of each, whether it has copies) -> for each
+    content which of its windows go, and which go from its copies.
     ``keep_first``: whether the first occurrence of a window stays.
     ``index_tokens``: tokens of contents that one index holds (the contents of one anchor always share one).
     """
 
     width: int
     gram: int
-    tokens: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
+    tokens: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]]
     cut: Callable[[bytes, list[tuple[int, int]]], list[bytes]]
-    shared: Callable[[list[bytes], np.ndarray, np.ndarray], list[np.ndarray]]
+    shared: Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], tuple[list[np.ndarray], list[np.ndarray]]]
     keep_first: bool
     index_tokens: int
 
 
-def segments(values: np.ndarray, counts: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
-    """Segments of texts whose tokens stand one after the other: text, start (token), n (windows), key, content hash."""
+def segments(values: np.ndarray, counts: np.ndarray, raw: bytes, begin: np.ndarray, end: np.ndarray, width: int, gram: int) -> dict[str, np.ndarray]:
+    """Segments of texts whose tokens stand one after the other: text, start (token), n (windows), key, content (hash of
+    its bytes)."""
+    whole = memoryview(raw)
+    digest = xxhash.xxh3_64_intdigest
     parts = []
     ends = np.cumsum(counts)
     # Pieces start at PIECE tokens each, with the tokens that the last windows still need.
@@ -76,10 +84,11 @@ def segments(values: np.ndarray, counts: np.ndarray, width: int, gram: int) -> d
             continue
         n = np.bincount((np.cumsum(new) - 1)[valid], minlength=len(start))
         owner = text[start]
-        parts.append((owner, start + lo - (ends - counts)[owner], n, grams[best[start]], runs(p, start, start + n + width - 1)))
+        first, last = begin[start + lo].tolist(), end[start + lo + n + width - 2].tolist()
+        content = np.fromiter((digest(whole[a:b]) for a, b in zip(first, last, strict=True)), U64, len(first))
+        parts.append((owner, start + lo - (ends - counts)[owner], n, grams[best[start]], content))
     cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, U64)] * 2
-    # The content's hash also tells how many windows it has.
-    return {"text": cols[0], "start": cols[1], "n": cols[2], "key": cols[3].view(np.int64), "content": mix(cols[4] ^ cols[2].astype(U64)).view(np.int64)}
+    return {"text": cols[0], "start": cols[1], "n": cols[2], "key": cols[3].view(np.int64), "content": cols[4].view(np.int64)}
 
 
 def all_segments(docs: DataFrame, s: Search) -> DataFrame:
@@ -100,23 +109,19 @@ def all_segments(docs: DataFrame, s: Search) -> DataFrame:
 
 
 def contents_of(docs: DataFrame, wanted: DataFrame, s: Search) -> DataFrame:
-    """key, content, doc_id, start, n, body for the wanted (doc_id, start, n, key, content), cut from the texts."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "content")).alias("parts"))
-    schema = "key bigint, content bigint, doc_id bigint, start bigint, n int, body binary"
+    """key, content, doc_id, start, n, copies, body for the wanted rows, cut from the texts."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "content", "copies")).alias("parts"))
+    schema = "key bigint, content bigint, doc_id bigint, start bigint, n int, copies boolean, body binary"
+    kinds = [("key", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("copies", pa.bool_())]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for doc_id, text, parts in zip(b.column("doc_id").to_pylist(), b.column("text"), b.column("parts"), strict=True):
                 parts = parts.as_py()
                 bodies = s.cut(text.as_py().encode(), [(p["start"], p["start"] + p["n"] + s.width - 1) for p in parts])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([p["key"] for p in parts], pa.int64()), pa.array([p["content"] for p in parts], pa.int64()),
-                        pa.array([doc_id] * len(parts), pa.int64()), pa.array([p["start"] for p in parts], pa.int64()),
-                        pa.array([p["n"] for p in parts], pa.int32()), pa.array(bodies, pa.binary()),
-                    ],
-                    names=["key", "content", "doc_id", "start", "n", "body"],
-                )
+                cols = {c: pa.array([p[c] for p in parts], t) for c, t in kinds} | {"doc_id": pa.array([doc_id] * len(parts), pa.int64()), "body": pa.array(bodies, pa.binary())}
+                names = ["key", "content", "doc_id", "start", "n", "copies", "body"]
+                yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     return docs.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(of_batches, schema)
 
@@ -128,9 +133,10 @@ def spans_of(gone: np.ndarray) -> list[int]:
 
 
 def by_index(cut: DataFrame, s: Search) -> DataFrame:
-    """key, content, gone (spans of windows that go) from indexes over the contents of whole keys."""
+    """key, content, gone, again (spans of windows that go from the first place of a content, and from its copies) from
+    indexes over the contents of whole keys."""
     rows = cut.repartition("key").sortWithinPartitions("key", "doc_id", "start")
-    schema = "key bigint, content bigint, gone array<int>"
+    schema = "key bigint, content bigint, gone array<int>, again array<int>"
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -138,10 +144,10 @@ def by_index(cut: DataFrame, s: Search) -> DataFrame:
 
         def result() -> pa.RecordBatch:
             where = np.array([(h["doc_id"], h["start"]) for h in held], np.int64).reshape(-1, 2)
-            gone = s.shared([h["body"] for h in held], np.array([h["n"] for h in held]), where)
+            found = s.shared([h["body"] for h in held], np.array([h["n"] for h in held]), where, np.array([h["copies"] for h in held], bool))
+            spans = [pa.array([spans_of(g) for g in flags], pa.list_(pa.int32())) for flags in found]
             return pa.RecordBatch.from_arrays(
-                [pa.array([h["key"] for h in held], pa.int64()), pa.array([h["content"] for h in held], pa.int64()), pa.array([spans_of(g) for g in gone], pa.list_(pa.int32()))],
-                names=["key", "content", "gone"],
+                [pa.array([h["key"] for h in held], pa.int64()), pa.array([h["content"] for h in held], pa.int64()), *spans], names=["key", "content", "gone", "again"]
             )
 
         for b in batches:
@@ -159,37 +165,43 @@ def by_index(cut: DataFrame, s: Search) -> DataFrame:
 
 def by_window(cut: DataFrame, s: Search) -> DataFrame:
     """The same for keys with very many contents: every window meets its equals in an aggregation."""
-    schema = "key bigint, content bigint, doc_id bigint, start bigint, i int, w1 bigint, w2 bigint"
+    schema = "key bigint, content bigint, doc_id bigint, start bigint, i int, copies boolean, window binary"
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                v, _ = s.tokens([row["body"]])
-                at = np.arange(row["n"])
-                hashes = [runs(prefix(x), at, at + s.width).view(np.int64) for x in (v, mix(v ^ U64(0x5851F42D4C957F2D)))]
                 n = row["n"]
+                windows = s.cut(row["body"], [(i, i + s.width) for i in range(n)])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(n, row["key"])), pa.array(np.full(n, row["content"])), pa.array(np.full(n, row["doc_id"])),
-                        pa.array(row["start"] + at, pa.int64()), pa.array(at, pa.int32()), pa.array(hashes[0]), pa.array(hashes[1]),
+                        *[pa.array([row[c]] * n, pa.int64()) for c in ("key", "content", "doc_id")], pa.array(range(row["start"], row["start"] + n), pa.int64()),
+                        pa.array(range(n), pa.int32()), pa.array([row["copies"]] * n, pa.bool_()), pa.array([xxhash.xxh3_128_digest(w) for w in windows], pa.binary()),
                     ],
-                    names=["key", "content", "doc_id", "start", "i", "w1", "w2"],
+                    names=["key", "content", "doc_id", "start", "i", "copies", "window"],
                 )
 
     rows = written(cut.mapInArrow(of_batches, schema), "windows")
-    met = rows.groupBy("w1", "w2").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    back = rows.join(met, ["w1", "w2"])
-    if s.keep_first:
-        back = back.where(~(F.struct("doc_id", "start") == F.col("first")))
-    gone = F.flatten(F.transform(F.array_sort(F.collect_set("i")), lambda i: F.array(i, i + 1)))
-    return back.groupBy("key", "content").agg(gone.alias("gone"))
+    met = rows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("copies").alias("any_copies"))
+    back = rows.join(met.where("times > 1 or any_copies"), "window")
+    goes = ~(F.struct("doc_id", "start") == F.col("first")) if s.keep_first else F.lit(True)
+    spans = lambda some: F.flatten(F.transform(F.array_sort(F.collect_set(F.when(some, F.col("i")))), lambda i: F.array(i, i + 1)))
+    return back.groupBy("key", "content").agg(spans(goes).alias("gone"), spans(F.lit(True)).alias("again"))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id (unique, in the order of documents), id (as given), text (null: empty)."""
+    base = docs.select(long_id(docs), text_or_empty().alias("text"))
+    if base.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        return base.withColumn("id", F.col("doc_id"))
+    rows = located(docs, **ROW).select(long_id(docs), *ROW, text_or_empty().alias("text")).orderBy(F.col("doc_id").asc_nulls_last(), *ROW)
+    return written(rows.select(F.monotonically_increasing_id().alias("doc_id"), F.col("doc_id").alias("id"), "text"), "placed")
 
 
 def covered(docs: DataFrame, s: Search, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(base, spans): base has doc_id and text (null: empty) of every document with an id; spans has doc_id and
-    ``spans``, the token ranges covered by windows that go, for the documents that have any."""
+    """(base, spans): base is placed(docs); spans has doc_id and ``spans``, the token ranges covered by windows that
+    go, for the documents that have any."""
     small_batches(docs.sparkSession)
-    base = docs.select(long_id(docs), text_or_empty().alias("text")).where(F.col("doc_id").isNotNull())
+    base = placed(docs)
     # Narrow rows, written once: they are read for the counts and for the join.
     every = written(all_segments(base, s), "all_segments")
     # Both sides of this join, and of the one below, are plain tables: then Spark may split the tasks of a hot key.
@@ -199,24 +211,19 @@ def covered(docs: DataFrame, s: Search, hot: int = HOT) -> tuple[DataFrame, Data
     kinds = segs.groupBy("key", "content").agg(
         F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("n").alias("n")
     )
-    kinds = written(kinds.select("key", "content", "first.doc_id", "first.start", "n", "times"), "contents")
-    per_key = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
-    several = kinds.join(per_key, "key")
-    cut = contents_of(base, several.select("doc_id", "start", "n", "key", "content"), s)
-    if several.where(F.col("contents") > hot).isEmpty():
+    kinds = written(kinds.select("key", "content", "first.doc_id", "first.start", "n", (F.col("times") > 1).alias("copies")), "contents")
+    hot_keys = kinds.groupBy("key").count().where(F.col("count") > hot).select("key")
+    cut = contents_of(base, kinds, s)
+    if hot_keys.isEmpty():
         found = by_index(cut, s)
     else:
         cut = written(cut, "bodies")
-        hot_keys = per_key.where(F.col("contents") > hot).select("key")
         found = by_index(cut.join(hot_keys, "key", "left_anti"), s).unionByName(by_window(cut.join(hot_keys, "key", "left_semi"), s))
 
-    fate = kinds.select("key", "content", F.struct("doc_id", "start").alias("first"), "times").join(found, ["key", "content"], "left")
+    fate = kinds.select("key", "content", F.struct("doc_id", "start").alias("first")).join(found.where("size(gone) + size(again) > 0"), ["key", "content"])
     fate = written(fate, "fate")
     rows = segs.join(fate, ["key", "content"])
-    is_first = F.struct("doc_id", "start") == F.col("first")
-    whole: Column = F.array(F.lit(0), F.col("n"))
-    own = F.coalesce("gone", F.array().cast("array<int>"))
-    gone = F.when(is_first, own).otherwise(whole) if s.keep_first else F.when(F.col("times") > 1, whole).otherwise(own)
+    gone = F.when(F.struct("doc_id", "start") == F.col("first"), F.col("gone")).otherwise(F.col("again"))
     pairs = rows.select("doc_id", "start", gone.alias("gone")).where(F.size("gone") > 0)
     ranges = F.transform(
         F.sequence(F.lit(0), F.size("gone") - 2, F.lit(2)),

@@ -10,7 +10,7 @@ Suffixes alone in their bucket drop out. What shares a bucket at depth WIDTH is
 Null text counts as empty; texts shorter than WIDTH lose nothing; equal texts
 and repeated rows of one id lose all they share; long texts are read in
 overlapping pieces; an empty table gives an empty result; other columns are
-ignored. Rows without doc_id are kept whole.
+ignored. Rows of one id, and rows without id, are documents of their own.
 """
 
 from __future__ import annotations
@@ -23,14 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import HOT, Search, covered, merged
-from .common import documents, text_or_empty
+from .common import documents
 from .rolling import BYTE_VALUES
 
 WIDTH, GRAM, QGRAM = 400, 32, 8
 
 
-def byte_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    return BYTE_VALUES[np.frombuffer(b"".join(texts), np.uint8)], np.array([len(t) for t in texts], np.int64)
+def byte_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
+    raw = b"".join(texts)
+    at = np.arange(len(raw) + 1)
+    return BYTE_VALUES[np.frombuffer(raw, np.uint8)], np.array([len(t) for t in texts], np.int64), raw, at[:-1], at[1:]
 
 
 def cut_bytes(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
@@ -52,8 +54,9 @@ def regrouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place, shared
 
 
-def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
-    """Which suffixes share their first ``width`` bytes with another; ``left``: bytes from a suffix to its text's end.
+def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int, twice: np.ndarray) -> np.ndarray:
+    """Which suffixes share their first ``width`` bytes with another; ``left``: bytes from a suffix to its text's end;
+    ``twice``: suffixes that stand for two at least, so they never are alone in their bucket.
 
     Numbers of buckets stay below 2^31: there are at most some hundred million suffixes in an index.
     """
@@ -68,7 +71,7 @@ def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
     place, shared = regrouped(gram[active])
     del gram
     bucket[active] = n + place
-    active = active[shared]
+    active = active[shared | twice[active]]
     numbers = 2 * n
     while depth < width and len(active):
         step = min(depth, width - depth)
@@ -76,7 +79,7 @@ def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
         # A bucket splits by the buckets of the suffixes ``step`` bytes later, as the last round left them.
         place, shared = regrouped(bucket[active].astype(np.int64) * numbers + bucket[active + step])
         bucket[active] = numbers + place
-        active = active[shared]
+        active = active[shared | twice[active]]
         numbers += n
         depth += step
     out = np.zeros(n, bool)
@@ -84,13 +87,14 @@ def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def shared_strings(bodies: list[bytes], n: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
-    """For each body which of its windows (of WIDTH bytes) occur again in these bodies."""
+def shared_strings(bodies: list[bytes], n: np.ndarray, where: np.ndarray, copies: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each body which of its windows (of WIDTH bytes) occur again, in these bodies or in copies; copies lose the same."""
     size = np.array([len(b) for b in bodies], np.int64)
     end = np.cumsum(size)
     left = (np.repeat(end, size) - np.arange(end[-1])).astype(np.int32)
-    again = equal_suffixes(np.frombuffer(b"".join(bodies), np.uint8), left, WIDTH)
-    return [again[e - z : e - z + k] for e, z, k in zip(end, size, n, strict=True)]
+    again = equal_suffixes(np.frombuffer(b"".join(bodies), np.uint8), left, WIDTH, np.repeat(copies, size))
+    out = [again[e - z : e - z + k] for e, z, k in zip(end, size, n, strict=True)]
+    return out, out
 
 
 SEARCH = Search(WIDTH, GRAM, byte_tokens, cut_bytes, shared_strings, keep_first=False, index_tokens=600_000)
@@ -99,9 +103,7 @@ SEARCH = Search(WIDTH, GRAM, byte_tokens, cut_bytes, shared_strings, keep_first=
 def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that stay), spans (array of lo, hi)."""
     base, spans = covered(docs, SEARCH, hot)
-    rows = base.join(spans, "doc_id", "left").unionByName(
-        docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), text_or_empty().alias("text")), allowMissingColumns=True
-    )
+    rows = base.join(spans, "doc_id", "left").select(F.col("id").alias("doc_id"), "text", "spans")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<lo:bigint,hi:bigint>>"
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +126,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"],
             )
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(of_batches, schema)
+    return rows.mapInArrow(of_batches, schema)
 
 
 def op6_bucket_refinement(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,20 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame, **columns: str) -> DataFrame:
+    """``docs`` with further columns, SQL of ``_metadata`` (file and row of a file). Tables read from Parquet have it;
+    others are written first."""
+    with_columns = lambda df: df.select("*", *[F.expr(c).alias(name) for name, c in columns.items()])
+    try:
+        return with_columns(docs)
+    except AnalysisException:
+        return with_columns(written(docs, "located"))
+
+
+#: What tells the rows of a table apart, for located().
+ROW = {"__file": "xxhash64(_metadata.file_path)", "__row": "_metadata.row_index"}
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

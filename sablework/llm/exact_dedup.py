@@ -19,11 +19,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, left_join_groups, long_id, shared_dir, text_or_empty, written
+from .common import documents, left_join_groups, located, long_id, shared_dir, text_or_empty, written
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -34,6 +33,8 @@ STATE = {
 }
 ARRIVAL = "doc_id bigint, digest string, locator string"
 CHANGE = "digest string, keep struct<doc_id:bigint,locator:string>, n_rows bigint, epoch bigint"
+#: Where a text is: file and row.
+LOCATOR = "concat(_metadata.file_path, '#', _metadata.row_index)"
 #: Rows of one digest that one task compares with the content that stays.
 ROWS_PER_SALT = 1000
 #: Files of arrivals that one micro-batch takes in.
@@ -88,15 +89,6 @@ def stream_state(spark: SparkSession, arrivals: str, home: str) -> DataFrame:
     )
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """``docs`` and a column ``__locator`` (file and row). Tables read from Parquet have one; others are written first."""
-    locator = lambda df: df.select("*", F.concat("_metadata.file_path", F.lit("#"), "_metadata.row_index").alias("__locator"))
-    try:
-        return locator(docs)
-    except AnalysisException:
-        return locator(written(docs, "located"))
-
-
 def collided_digests(rows: DataFrame, hits: DataFrame, total: int) -> DataFrame:
     """Digests whose rows do not all have the bytes of the row that stays, which its locator finds. A large group's
     content is laid out once per ROWS_PER_SALT rows, so that no task gets a whole hot group."""
@@ -117,11 +109,11 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of)
 
     ``digest`` may be any SQL expression of the text; collisions cost time, never correctness.
     """
-    return dedup_located(located(docs), digest)
+    return dedup_located(located(docs, __locator=LOCATOR), digest)
 
 
 def dedup_located(docs: DataFrame, digest: Callable[[Column], Column] = sha256_of) -> DataFrame:
-    """exact_dedup() of what located() gives."""
+    """exact_dedup() of documents with a ``__locator``."""
     spark = docs.sparkSession
     home = shared_dir(spark)
     rows = docs.select(long_id(docs), text_or_empty().alias("text"), F.col("__locator").alias("own"))
@@ -174,6 +166,6 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     none of them, and of rows without id or repeated rows one stays as well. An
     empty table stays empty; other columns pass through, whatever their names.
     """
-    docs = located(docs)
+    docs = located(docs, __locator=LOCATOR)
     gone = dedup_located(docs).where(F.col("own") != F.col("locator")).select(F.col("own").alias("__locator"))
     return docs.join(gone, "__locator", "left_anti").drop("__locator")

@@ -12,7 +12,8 @@ only if their windows are equal; the earliest of them stays.
 Null text has no words; texts of fewer words than a window lose nothing; equal
 texts, repeated rows of one id included, keep the first one's words; long texts
 are read in overlapping pieces; an empty table gives an empty result; other
-columns are ignored. Rows without doc_id have no place in the order and are kept whole.
+columns are ignored. Rows of one id are documents of their own, in the order of
+files and rows; rows without doc_id come last.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import HOT, Search, covered, merged
-from .common import documents, text_or_empty
+from .common import documents
 from .rolling import U64, joined, word_hashes
 
 WIDTH, GRAM = 20, 6
@@ -74,23 +75,23 @@ class FMIndex:
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.bwt = WaveletMatrix(text[order - 1])
 
-    def repeated(self, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of the windows text[at : at + width] those that occur twice or more: their places in ``at``, and their
-        interval's start, which stands for the window's content."""
+    def repeated(self, at: np.ndarray, width: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the windows text[at : at + width] those that occur ``least`` times or more: their places in ``at``, and
+        their interval's start, which stands for the window's content."""
         lane = np.arange(len(at))
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.text), np.int64)
         for step in reversed(range(width)):
             c = self.text[at[lane] + step]
             lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
-            alive = hi - lo > 1
+            alive = hi - lo >= least[lane]
             lane, lo, hi = lane[alive], lo[alive], hi[alive]
         return lane, lo
 
 
-def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
     raw, at = joined(texts)
-    starts, _, h = word_hashes(raw)
-    return h, np.bincount(np.searchsorted(at, starts, side="right") - 1, minlength=len(texts))
+    starts, ends, h = word_hashes(raw)
+    return h, np.bincount(np.searchsorted(at, starts, side="right") - 1, minlength=len(texts)), raw.tobytes(), starts, ends
 
 
 def cut_words(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
@@ -98,9 +99,10 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
     return [b" ".join(words[a:b]) for a, b in spans]
 
 
-def shared_windows(bodies: list[bytes], n: np.ndarray, where: np.ndarray) -> list[np.ndarray]:
-    """For each body which of its windows also start earlier in another place of these bodies."""
-    h, counts = word_tokens(bodies)
+def shared_windows(bodies: list[bytes], n: np.ndarray, where: np.ndarray, copies: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each body which of its windows also start earlier in another place of these bodies, and which occur again
+    anywhere (a body with copies stands for two places at least)."""
+    h, counts, *_ = word_tokens(bodies)
     symbols = np.unique(h, return_inverse=True)[1] + 1
     # A separator (0) after each body.
     base = np.cumsum(counts + 1) - counts - 1
@@ -108,13 +110,15 @@ def shared_windows(bodies: list[bytes], n: np.ndarray, where: np.ndarray) -> lis
     text[np.arange(len(h)) + np.repeat(np.arange(len(bodies)), counts)] = symbols
     body = np.repeat(np.arange(len(bodies)), n)
     i = np.arange(len(body)) - np.repeat(np.cumsum(n) - n, n)
-    lane, content = FMIndex(text, WIDTH).repeated(base[body] + i, WIDTH)
+    lane, content = FMIndex(text, WIDTH).repeated(base[body] + i, WIDTH, np.where(copies, 1, 2)[body])
     order = np.lexsort((where[body[lane], 1] + i[lane], where[body[lane], 0], content))
     later = np.zeros(len(order), bool)
     later[1:] = content[order][1:] == content[order][:-1]
-    gone = np.zeros(len(body), bool)
+    gone, again = np.zeros(len(body), bool), np.zeros(len(body), bool)
     gone[lane[order[later]]] = True
-    return np.split(gone, np.cumsum(n)[:-1])
+    again[lane] = True
+    at = np.cumsum(n)[:-1]
+    return np.split(gone, at), np.split(again, at)
 
 
 SEARCH = Search(WIDTH, GRAM, word_tokens, cut_words, shared_windows, keep_first=True, index_tokens=400_000)
@@ -124,9 +128,7 @@ def substring_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space), spans
     (array of lo, hi in words, of what goes)."""
     base, spans = covered(docs, SEARCH, hot)
-    rows = base.join(spans, "doc_id", "left").unionByName(
-        docs.where(F.col("doc_id").isNull()).select(F.lit(None).cast("long").alias("doc_id"), text_or_empty().alias("text")), allowMissingColumns=True
-    )
+    rows = base.join(spans, "doc_id", "left").select(F.col("id").alias("doc_id"), "text", "spans")
     schema = "doc_id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<lo:bigint,hi:bigint>>"
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +149,7 @@ def substring_dedup(docs: DataFrame, hot: int = HOT) -> DataFrame:
                 names=["doc_id", "n_words", "n_removed", "kept", "spans"],
             )
 
-    return rows.select("doc_id", "text", "spans").mapInArrow(of_batches, schema)
+    return rows.mapInArrow(of_batches, schema)
 
 
 def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

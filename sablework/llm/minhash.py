@@ -1,7 +1,7 @@
 """Operator 7: near-duplicates by MinHash with sequential Bayesian verification.
 
 A document's set holds the hashes of its distinct two-word shingles. Documents
-with equal sets form one class, which its smallest id stands for. Classes that
+with equal sets form one class, which its row with the smallest id stands for. Classes that
 share one of BANDS bands of ROWS minhashes are candidates: first every member of
 a bucket with the bucket's smallest one; after the components of those links are
 known, the pairs of a bucket whose components still differ. Candidates compare
@@ -14,9 +14,10 @@ A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 Large buckets are split into blocks of BLOCK members and BLOCK_BYTES of text, a
 pair of blocks being one unit of work; members of a large star are split into parts of PART. Nothing is
 capped. Null text, empty text and white space give an empty set, linked with
-nothing; repeated rows share a component; a row without doc_id stands for no
-class, but belongs to that of its set; long texts are read whole; an empty
-table gives an empty result; other columns are ignored.
+nothing; repeated rows share a component; one id on different texts stands for
+several documents; a row without doc_id comes after all others, and a component
+of such rows alone has a null id; long texts are read whole; ties in a bucket go
+by the class's number; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, left_join_groups, long_id, small_batches, written
+from .common import ROW, documents, left_join_groups, located, long_id, small_batches, written
 from .rolling import LOWER, U64, joined, mix, slices, word_hashes
 
 BANDS, ROWS = 32, 4
@@ -109,8 +110,8 @@ def agree(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, n_bytes, set_key (128 bits of the set) and sig (binary) of every document."""
-    schema = "doc_id bigint, n_shingles bigint, n_bytes bigint, set_key binary, sig binary"
+    """doc_id, __file, __row, n_shingles, n_bytes, set_key (128 bits of the set) and sig (binary) of every document."""
+    schema = "doc_id bigint, __file bigint, __row bigint, n_shingles bigint, n_bytes bigint, set_key binary, sig binary"
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -123,16 +124,16 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("doc_id")[lo:hi],
+                        *[b.column(c)[lo:hi] for c in ("doc_id", "__file", "__row")],
                         pa.array(n, pa.int64()),
                         pa.array([len(t) for t in texts[lo:hi]], pa.int64()),
                         pa.array([k.tobytes() if m else None for k, m in zip(key, n, strict=True)], pa.binary()),
                         pa.array([s.tobytes() if m else None for s, m in zip(sig, n, strict=True)], pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "n_bytes", "set_key", "sig"],
+                    names=["doc_id", "__file", "__row", "n_shingles", "n_bytes", "set_key", "sig"],
                 )
 
-    return docs.select(long_id(docs), "text").mapInArrow(of_batches, schema)
+    return docs.select(long_id(docs), "__file", "__row", "text").mapInArrow(of_batches, schema)
 
 
 def buckets(classes: DataFrame) -> DataFrame:
@@ -295,15 +296,24 @@ def cross_links(members: DataFrame, classes: DataFrame, bodies: DataFrame) -> Da
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable), kept."""
+    return near_duplicates_located(located(docs, **ROW)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_duplicates_located(docs: DataFrame) -> DataFrame:
+    """The same for documents with ROW, which is kept, and ``stays``: true for one row of each component and for rows
+    with empty sets."""
     small_batches(docs.sparkSession)
     sketches = written(sketch(docs), "sketches")
     total = sketches.count()
-    groups = sketches.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_bytes", "sig")).alias("f"), F.count(F.lit(1)).alias("size"))
-    classes = written(groups.select("set_key", "size", F.col("f.doc_id").alias("id"), "f.n_bytes", F.col("f.sig").alias("sig")), "classes")
+    # A class goes by a number of its own, as ids may be null or repeated.
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__file", "__row")
+    groups = sketches.where("set_key is not null").groupBy("set_key").agg(F.min(F.struct(first.alias("row"), "n_bytes", "sig")).alias("f"), F.count(F.lit(1)).alias("size"))
+    classes = written(
+        groups.select("set_key", "size", F.monotonically_increasing_id().alias("id"), F.col("f.row").alias("row"), "f.n_bytes", F.col("f.sig").alias("sig")), "classes"
+    )
     members = written(buckets(classes), "buckets")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    bodies = docs.select(long_id(docs), "text").join(wanted, "doc_id", "left_semi")
-    bodies = written(bodies.select(F.col("doc_id").alias("id"), "text"), "bodies").dropDuplicates(["id"])
+    wanted = classes.join(members.select("id").distinct(), "id").select("id", F.col("row.__file").alias("__file"), F.col("row.__row").alias("__row"))
+    bodies = written(docs.select("__file", "__row", "text").join(wanted, ["__file", "__row"]).select("id", "text"), "bodies")
 
     stars = members.groupBy("key").agg(F.min("id").alias("a"))
     stars = members.join(stars, "key").where("a < id").select("a", F.col("id").alias("b")).distinct()
@@ -316,10 +326,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    of_set = classes.join(labels, "id", "left").select("set_key", "size", F.coalesce("component", "id").alias("component"))
-    out = left_join_groups(sketches.select("doc_id", "n_shingles", "set_key"), of_set, "set_key", "size", total)
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    linked = labels.join(classes.select("id", "row"), "id")
+    tops = linked.groupBy("component").agg(F.min("row").alias("top"))
+    of_linked = linked.join(tops, "component").select("id", "top")
+    of_set = classes.join(of_linked, "id", "left").select("set_key", "size", F.coalesce("top", "row").alias("top"))
+    out = left_join_groups(sketches.select("doc_id", "__file", "__row", "n_shingles", "set_key"), of_set, "set_key", "size", total)
+    out = out.withColumn("component_id", F.when(F.col("top").isNull(), F.col("doc_id")).otherwise(F.col("top.doc_id")))
+    stays = F.col("top").isNull() | ((F.col("__file") == F.col("top.__file")) & (F.col("__row") == F.col("top.__row")))
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    return out.select("doc_id", "__file", "__row", "n_shingles", "component_id", kept.alias("kept"), stays.alias("stays"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -327,6 +342,13 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest doc_id stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each group of near-duplicates one row stays, with the smallest doc_id.
+
+    Rows are told apart by file and row, so one id on different texts loses none
+    of them, and rows without id or repeated rows are grouped like others; those
+    with empty sets all stay. An empty table stays empty; other columns pass
+    through, whatever their names.
+    """
+    docs = located(docs, **ROW)
+    gone = near_duplicates_located(docs).where(~F.col("stays")).select(*ROW)
+    return docs.join(gone, [*ROW], "left_anti").drop(*ROW)

@@ -91,3 +91,22 @@ def test_sequential_test_keeps_similar_pairs():
 def test_shingle_sets(text):
     value, at = minhash.shingle_sets([b"x y", text.encode(), b"z"])
     assert at[2] - at[1] == len(shingles(text)) and len(value) == at[-1]
+
+
+def test_stage_keeps_one_row_of_each_component(spark, edge_docs, no_docs):
+    """Repeated and null ids, one id on different texts: one row of every group of linked texts stays, with the least id."""
+    words = [f"w{i}" for i in range(90)]
+    near = " ".join([*words[:-1], "other"])
+    extra = [(1000, " ".join(words)), (1000, "quite another text of some words"), (999, near), (None, near), (None, "n o id a b c"), (None, "n o id a b c"), (1001, "r e p"), (1001, "r e p")]
+    docs = edge_docs.unionByName(spark.createDataFrame([(i, t, "aa", "s1", 1, 7, "k", 0.5, "t") for i, t in extra], edge_docs.schema))
+    rows = list(enumerate(docs.collect()))
+    comp = brute([(n, r.text) for n, r in rows])
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    groups = {}
+    for n, r in rows:
+        groups.setdefault(comp[n][1], []).append(r)
+    want = sorted((key(r)[0], key(r)[1]) for g in groups.values() for r in [min(g, key=key)])
+    kept = minhash.keep_one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(key(r) for r in kept.collect()) == want
+    assert {r.text for r in kept.where("doc_id = 1000").collect()} == {"quite another text of some words"}
+    assert minhash.keep_one_of_each(spark, no_docs, "").count() == 0
