@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -21,15 +23,51 @@ def greedy_phrases(text, model):
     return n
 
 
-def test_automaton_parses_into_longest_matches():
+def test_automaton_parses_into_longest_matches(monkeypatch):
+    """Dense and sparse moves alike, and in short lanes, which are joined exactly."""
     rng = np.random.default_rng(0)
     train = rng.integers(0, 4, 500)
     model = "".join(map(str, train))
-    table = langid.automaton(train.tolist(), 6)
-    for length in (1, 2, 50, 700):
-        text = rng.integers(0, 4, length)
-        got = langid.phrases(text.astype(np.uint8), np.array([0, length]), table, 6)[0]
-        assert got == greedy_phrases("".join(map(str, text)), model)
+    texts = [rng.integers(0, 5, n) for n in (1, 2, 50, 700)] + [train[100:400], np.zeros(0, np.int64)]
+    starts = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = [greedy_phrases("".join(map(str, t)), model) for t in texts]
+    for lane in (1024, 64, 7, 1):
+        monkeypatch.setattr(langid, "LANE", lane)
+        for width in (6, 3, 2):
+            auto = langid.Automaton(langid.suffix_automaton(train.tolist()), width, 6)
+            assert langid.phrases(np.concatenate(texts), starts, auto).tolist() == want
+
+
+def test_query_against_brute_force(spark):
+    """Every document of the smallest tables, parsed by substring search in the same sample."""
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), ~langid.held_out())
+    picked = {}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"))).collect()
+    for lang in {r.lang for r in docs if r.lang}:
+        rows = [r for r in docs if r.lang == lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+        rows.sort(key=lambda r: (len(r.text) > langid.TRAIN_LENGTH, r.h))
+        picked[lang] = [r.text for r in rows[: min(langid.TRAIN_DOCS, langid.TRAIN_ROWS // 4)]]
+    assert model.langs == sorted(picked)
+    plain = lambda t: re.sub(r" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in t))
+    trained = {lang: "".join(" " + plain(t).lstrip() for t in parts) for lang, parts in picked.items()}
+    got = {r.doc_id: r for r in langid.op1_langid(spark, SF).collect()}
+    for r in [r for r in docs if r.text][:40]:
+        text = plain(r.text).lstrip()[:3000]
+        if len(plain(r.text).lstrip()) > 3000:
+            continue
+        bits = {lang: greedy_phrases(text, t) * math.log2(len(t)) for lang, t in trained.items()}
+        best = min(sorted(bits), key=lambda k: round(bits[k], 6))
+        assert got[r.doc_id].lang_pred == best and abs(got[r.doc_id].bits - bits[best] / len(text)) < 1e-9
+
+
+def test_scripts_of_thousands_of_letters():
+    rng = np.random.default_rng(1)
+    words = {lang: ["".join(chr(base + int(k)) for k in rng.integers(0, 3000, 2)) for _ in range(400)] for lang, base in (("a", 0x4E00), ("b", 0x5A00))}
+    text = lambda lang, n: " ".join(words[lang][int(i)] for i in rng.integers(0, 400, n))
+    model = langid.Model({lang: [text(lang, 1000)] for lang in words})
+    assert len(model.letters) > 1000
+    best, _, bits, _ = langid.score_texts(pa.array([text(lang, 100) for lang in "abab"]), model, langid.Alphabet(model.letters))
+    assert list(best) == [0, 1, 0, 1] and bits.max() < 8
 
 
 def test_held_out_accuracy(spark):
