@@ -17,13 +17,15 @@ tokens are slots. The text of a page is what is left of its slots without
 
 A host of fewer than FEW_PAGES pages needs its tokens on all of them, on two at least.
 
-Vectors are compared by 64-bit sums over pages, so a host may hold a third of all
+Vectors are compared by 63-bit sums over pages, so a host may hold a third of all
 pages: each task sums up what it reads, and an aggregation adds the sums.
 Templates are broadcast if they are small, else joined by host.
 
 Null html counts as empty, pages without text give an empty text; a null url is
-a host of its own; broken markup is read as far as it goes; long pages are read
-whole; repeated pages are rows of their own; an empty table gives an empty
+a host of its own; broken markup is read as far as it goes, in time linear in the
+page's length (a "<" inside a tag, outside of quotes, makes what is before it text);
+long pages are read whole; repeated pages are rows of their own, and count as
+often in vectors, for all of their tokens alike; an empty table gives an empty
 result; other columns are ignored.
 """
 
@@ -31,7 +33,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -62,7 +66,8 @@ NAMES = frozenset(
 COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 BOXES = frozenset("area bar block box container holder inner list panel section slot unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Comments, declarations and tags. Nothing is tried twice: a "<" outside of quotes ends what isn't a tag after all.
+TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^<>]*+>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
 
@@ -82,24 +87,46 @@ def named(tag: str, attrs: dict[str, str]) -> float:
     return share
 
 
+@dataclass
+class Open:
+    """An open element."""
+
+    tag: str
+    context: int
+    link: bool = False
+    bad: bool = False
+    main: bool = False
+    slot: int = 0  # context of the innermost element that is no inline one
+    name: int = -1  # the innermost element with a name
+    p_at: int = -1  # the open paragraph, and the open item, that a block's start tag or an item's would end
+    li_at: int = -1
+
+
 class Page:
-    """Tags and text fragments of one page with their contexts."""
+    """Tags and text fragments of one page with their contexts, read in one pass."""
 
     def __init__(self, source: str) -> None:
         self.tags: dict[int, list[int]] = {}  # context -> [times, parent's context]
-        # context, block, text, link, boilerplate, main, innermost element that is no inline one, elements with names
-        self.fragments: list[tuple[int, int, str, bool, bool, bool, int, tuple[int, ...]]] = []
-        self.names: list[list] = []  # context, share, whether it holds the article
+        # context, block, text, link, boilerplate, main, slot, innermost element with a name
+        self.fragments: list[tuple[int, int, str, bool, bool, bool, int, int]] = []
+        self.names: list[list] = []  # context, share, whether it holds the article, the name around it
         self.has_main = False
-        stack: list[tuple[str, int, bool, bool, bool, int, tuple[int, ...]]] = [("", 0, False, False, False, 0, ())]
+        self.slots: dict[int, int] = {}
+        stack = [Open("", 0)]
+        depth: Counter[str] = Counter()
         block = pos = 0
         n = len(source)
+
+        def close(at: int) -> None:
+            depth.subtract(x.tag for x in stack[at:])
+            del stack[at:]
+
         while pos < n:
             m = TAG.search(source, pos)
             end = m.start() if m else n
+            top = stack[-1]
             if end > pos:
-                _, context, link, bad, main, slot, names = stack[-1]
-                self.fragments.append((context, block, source[pos:end], link, bad, main, slot, names))
+                self.fragments.append((top.context, block, source[pos:end], top.link, top.bad, top.main, top.slot, top.name))
             if not m:
                 break
             pos = m.end()
@@ -109,55 +136,79 @@ class Page:
             if tag not in INLINE:
                 block += 1
             if m[1]:
-                at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if at:
-                    del stack[at:]
+                if depth[tag] > 0:
+                    close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
                 continue
             attrs = {a[0].lower(): html_lib.unescape(a[1] or a[2] or a[3]) for a in ATTR.findall(m[3])} if m[3].strip(" /") else {}
             if tag in ENDS_P or tag == "li":
                 # An open paragraph or item ends here, with what is open inside it.
-                ends = "li" if tag == "li" else "p"
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == ends:
-                        del stack[i:]
-                        break
-                    if stack[i][0] not in INLINE and stack[i][0] != "p":
-                        break
-            _, context, link, bad, main, slot, names = stack[-1]
-            inner = xxhash.xxh64_intdigest(f"{tag}.{attrs.get('class', '')}", context) >> 1
-            self.tags.setdefault(inner, [0, context])[0] += 1
+                at = top.li_at if tag == "li" else top.p_at
+                if at > 0:
+                    close(at)
+            top = stack[-1]
+            inner = xxhash.xxh64_intdigest(f"{tag}.{attrs.get('class', '')}", top.context) >> 1
+            self.tags.setdefault(inner, [0, top.context])[0] += 1
             if tag in VOID or m[3].endswith("/"):
                 continue
-            bad = bad or boilerplate(tag, attrs)
+            bad = top.bad or boilerplate(tag, attrs)
             share = 0.0 if bad else named(tag, attrs)
+            main, name = top.main, top.name
             if tag in MAIN and not bad and not share:
                 main = self.has_main = True
-                for i in names:
+                i = name
+                while i >= 0 and not self.names[i][2]:
                     self.names[i][2] = True
+                    i = self.names[i][3]
             if share:
-                names = (*names, len(self.names))
-                self.names.append([inner, share, False])
-            stack.append((tag, inner, link or tag == "a", bad, main, slot if tag in INLINE else inner, names))
+                self.names.append([inner, share, False, name])
+                name = len(self.names) - 1
+            inline = tag in INLINE
+            stack.append(
+                Open(
+                    tag, inner, top.link or tag == "a", bad, main, top.slot if inline else inner, name,
+                    len(stack) if tag == "p" else top.p_at if inline else -1,
+                    len(stack) if tag == "li" else top.li_at if inline or tag == "p" else -1,
+                )
+            )
+            depth[tag] += 1
             if tag in RAW:
                 # No markup inside: up to the end tag, or the end of the page.
-                close = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
-                pos = close.start() if close else n
+                ends = re.compile(rf"</{tag}\s*>", re.I).search(source, pos)
+                pos = ends.start() if ends else n
 
-    def removed_names(self, tags: frozenset[int]) -> set[int]:
-        """Which elements with names go."""
+    def removed_names(self, tags: frozenset[int]) -> list[bool]:
+        """Which elements with names go, by themselves or with one around them."""
         size, total = [0] * len(self.names), 0
-        for _, _, raw, _, bad, _, _, names in self.fragments:
+        for _, _, raw, _, bad, _, _, name in self.fragments:
             n = 0 if bad else len(raw.strip())
             total += n
-            for i in names:
-                size[i] += n
-        return {i for i, (context, share, holds) in enumerate(self.names) if not holds and size[i] <= share * total and (not tags or context in tags)}
-
-    def text(self, tags: frozenset[int], template: frozenset[int], link_slots: frozenset[int], nearest) -> str:
+            if name >= 0:
+                size[name] += n
+        for i in range(len(self.names) - 1, -1, -1):
+            if self.names[i][3] >= 0:
+                size[self.names[i][3]] += size[i]
+        gone: list[bool] = []
+        for i, (context, share, holds, around) in enumerate(self.names):
+            own = not holds and size[i] <= share * total and (not tags or context in tags)
+            gone.append(own or around >= 0 and gone[around])
+        return gone
+
+    def nearest(self, context: int, tags: frozenset[int]) -> int:
+        """The innermost tag of the template around a context: its slot."""
+        way = []
+        while context and context not in tags and context not in self.slots:
+            way.append(context)
+            context = self.tags[context][1]
+        found = self.slots.get(context, context)
+        for c in way:
+            self.slots[c] = found
+        return found
+
+    def text(self, tags: frozenset[int], template: frozenset[int], link_slots: frozenset[int]) -> str:
         gone = self.removed_names(tags)
-        kept = [f for f in self.fragments if not (f[4] or self.has_main and not f[5] or any(i in gone for i in f[7]))]
+        kept = [f for f in self.fragments if not (f[4] or self.has_main and not f[5] or f[7] >= 0 and gone[f[7]])]
         # Blocks with text of the page's own are kept whole: the template also has words and full stops inside sentences.
-        live = {f[1] for f in kept if f[2].strip() and fragment_token(f[0], f[2]) not in template and nearest(f[6]) not in link_slots}
+        live = {f[1] for f in kept if f[2].strip() and fragment_token(f[0], f[2]) not in template and self.nearest(f[6], tags) not in link_slots}
         # Where nothing is left, pages are copies of one page, and the template has all of it.
         own = [f for f in kept if f[1] in live] if live else kept
         blocks: dict[int, list[str]] = {}
@@ -181,7 +232,8 @@ def host_of(url: str | None) -> str:
 def occurrences(pages: DataFrame) -> DataFrame:
     """host, kind (0 page, 1 tag, 2 text), token, parent, vector, n_pages, chars, link_chars: summed up by task.
 
-    The vector is the exclusive or, over pages, of a hash of the page and the token's number there.
+    The vector is the sum modulo 2^63, over pages, of a hash of the page and the token's number there. Sums don't
+    depend on how pages are dealt, and a page that is there twice counts twice for all of its tokens.
     """
     schema = "host string, kind int, token bigint, parent bigint, vector bigint, n_pages bigint, chars bigint, link_chars bigint"
     kinds = pa.schema([("host", pa.string()), ("kind", pa.int32()), *[(c, pa.int64()) for c in ("token", "parent", "vector", "n_pages", "chars", "link_chars")]])
@@ -209,7 +261,7 @@ def occurrences(pages: DataFrame) -> DataFrame:
                 found = [(1, t, parent, times) for t, (times, parent) in page.tags.items()] + [(2, t, c, k) for (t, c), k in texts.items()]
                 for kind, token, parent, times in found:
                     s = sums.setdefault((host, kind, token), [parent, 0, 0, 0, 0])
-                    s[1] ^= xxhash.xxh64_intdigest(times.to_bytes(8, "little"), seed) >> 1
+                    s[1] = (s[1] + (xxhash.xxh64_intdigest(times.to_bytes(8, "little"), seed) >> 1)) % 2**63
                     s[2] += 1
                     if kind == 1 and token in chars:
                         s[3] += chars[token][0]
@@ -221,9 +273,13 @@ def occurrences(pages: DataFrame) -> DataFrame:
             yield table(sums)
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(of_batches, schema)
-    return rows.groupBy("host", "kind", "token").agg(
-        F.max("parent").alias("parent"), F.bit_xor("vector").alias("vector"), F.sum("n_pages").alias("n_pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
+    # Two sums of 32 and of 31 bits, so that none overflows.
+    low, high = F.col("vector").bitwiseAND(2**32 - 1), F.shiftright("vector", 32)
+    out = rows.groupBy("host", "kind", "token").agg(
+        F.max("parent").alias("parent"), F.sum(low).alias("low"), F.sum(high).alias("high"), F.sum("n_pages").alias("n_pages"), F.sum("chars").alias("chars"), F.sum("link_chars").alias("link_chars")
     )
+    high = (F.col("high") + F.shiftright("low", 32)) % 2**31
+    return out.withColumn("vector", F.shiftleft(high, 32) + F.col("low").bitwiseAND(2**32 - 1)).drop("low", "high")
 
 
 def templates(counted: DataFrame) -> DataFrame:
@@ -231,7 +287,7 @@ def templates(counted: DataFrame) -> DataFrame:
     counted = written(counted.where(f"kind = 0 or n_pages >= {MIN_PAGES}"), "counted")
     hosts = counted.where("kind = 0").select("host", F.col("n_pages").alias("of"))
     total = hosts.agg(F.sum("of")).first()[0] or 0
-    tokens = left_join_groups(counted.where("kind > 0"), hosts.withColumn("size", F.col("of")), "host", "size", total).where(F.col("n_pages") >= F.when(F.col("of") < FEW_PAGES, F.col("of")).otherwise(F.greatest(F.lit(FEW_PAGES), MIN_SHARE * F.col("of"))))
+    tokens = left_join_groups(counted.where("kind > 0"), hosts.withColumn("size", F.col("of")), "host", "size", total).where(F.col("n_pages") >= F.greatest(F.least(F.lit(FEW_PAGES), "of"), MIN_SHARE * F.col("of")))
     classes = tokens.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("n"), F.min("kind").alias("least")).where("n > 1 and least = 1")
     valid = tokens.join(classes.select("host", "vector"), ["host", "vector"], "left_semi")
     tags = valid.where("kind = 1").select("host", F.col("token").alias("parent"))
@@ -256,16 +312,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def texts(b: pa.RecordBatch, template_of) -> pa.RecordBatch:
         out = []
         for url, source in zip(b.column("url").to_pylist(), b.column("html"), strict=True):
-            page = Page(source.as_py() or "")
-            tags, own, links = template_of(url) or NO_TEMPLATE
-
-            def nearest(context: int, page: Page = page, tags: frozenset[int] = tags) -> int:
-                """The innermost tag of the template around a context: its slot."""
-                while context and context not in tags:
-                    context = page.tags[context][1]
-                return context
-
-            out.append(page.text(tags, own, links, nearest))
+            out.append(Page(source.as_py() or "").text(*(template_of(url) or NO_TEMPLATE)))
         return pa.RecordBatch.from_arrays(
             [b.column("page_id"), b.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
         )
@@ -285,9 +332,12 @@ def extract(pages: DataFrame) -> DataFrame:
             sets = iter([tuple(frozenset(x or ()) for x in t) for t in zip(*[b.column(c).to_pylist() for c in ("tags", "texts", "link_slots")], strict=True)])
             yield texts(b, lambda url, sets=sets: next(sets))
 
-    host = F.udf(host_of)
+    def with_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.append_column("host", pa.array([host_of(u) for u in b.column("url").to_pylist()], pa.string()))
+
     total = pages.count()
-    joined = left_join_groups(rows.withColumn("host", host("url")), found, "host", "n_pages", total)
+    joined = left_join_groups(rows.mapInArrow(with_host, "page_id bigint, url string, html string, host string"), found, "host", "n_pages", total)
     return joined.select("page_id", "url", "html", "tags", "texts", "link_slots").mapInArrow(of_joined, schema)
 
 

@@ -1,6 +1,8 @@
 import html as html_lib
 import re
+import time
 
+import pytest
 
 from sablework.llm import templates
 
@@ -87,3 +89,35 @@ def test_names_remove_no_article(spark):
     for n in (1, 6):
         for case in cases[:3] if n > 1 else cases:
             assert texts_of(spark, [case.format(i=i) for i in range(n)]) == [f"a {i}" for i in range(n)], case
+
+
+def test_repeated_pages_have_a_template_too(spark):
+    """Each page once, twice or three times gives the same texts: repeated pages don't cancel each other."""
+    pages = [(i, f"http://site.example/{i}", PAGE.format(t=f"Title {i}", a=f"First of {i}", b=f"Second of {i}")) for i in range(12)]
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    want = {(i, f"Title {i}\nFirst of {i}\nSecond of {i}") for i in range(12)}
+    for times, given in ((1, df), (2, df.union(df)), (3, df.union(df).union(df))):
+        out = templates.extract(given).collect()
+        assert len(out) == 12 * times and {(r.page_id, r.text) for r in out} == want
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a '", '<a "', "<!", "<div>", "<b><hr>", "<div class=ad>", "</p>", "<p><object><b>", "<!--"])
+def test_broken_markup_takes_linear_time(piece):
+    def seconds(n):
+        began = time.process_time()
+        page = templates.Page("<p>" + piece * n + "</p>" * n + "x")
+        page.text(*templates.NO_TEMPLATE)
+        return time.process_time() - began
+
+    seconds(100)
+    assert seconds(2_000_000 // len(piece) // 4) < 12
+
+
+def test_template_decides(spark, monkeypatch):
+    """Without the template's tokens the shared line inside the marked article would stay."""
+    page = "<body><article><h1>Title {i}</h1><div class=zz>Tell your friends</div><p>First of {i}.</article>"
+    sources = [page.format(i=i) for i in range(6)]
+    assert texts_of(spark, sources) == [f"Title {i}\nFirst of {i}." for i in range(6)]
+    nothing = templates.templates
+    monkeypatch.setattr(templates, "templates", lambda counted: nothing(counted).where("false"))
+    assert texts_of(spark, sources) == [f"Title {i}\nTell your friends\nFirst of {i}." for i in range(6)]
