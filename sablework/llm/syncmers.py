@@ -2,18 +2,20 @@
 
 A k-mer (of words) is chosen when the smallest of its inner s-mers, by hash, is
 its first or its last one. The choice depends on the k-mer alone, so a text's
-anchors survive edits elsewhere and match by position between versions.
+anchors survive edits elsewhere and match by position between versions: a
+fingerprint lists, in the order of the text, each anchor and the distance to the
+next one. Likeness is the Jaccard similarity of anchors and of anchors with their
+distances, taken together; 1 for two empty fingerprints.
 
 K and S are the same for all lengths, so versions of any lengths can meet. Two
 empty words stand before and after a text, so a text of one word has a k-mer.
-The LEAST smallest s-mers by hash are anchors too; a text of which no k-mer is
-chosen has all its s-mers as anchors, and so meets a version that has chosen ones.
+The LEAST smallest s-mers by hash are anchors too (distance 0, at the end); a text
+of which no k-mer is chosen has all its s-mers, and so meets a version that has chosen ones.
 
 A text that is one word, and any word of more than LONG_WORD code points, is
 read as words of one code point. Null text counts as empty and gives the empty
 fingerprint, which no other text has (white space alone is one anchor); equal texts
-have equal fingerprints; very long texts are read whole. Likeness is the Jaccard
-similarity of the two anchor sets, 1 for two empty ones. Repeated ids: the next
+have equal fingerprints; very long texts are read whole. Repeated ids: the next
 document is the one with the next smaller distinct id, of its texts the
 smallest. An empty table gives an empty result; other columns are ignored.
 """
@@ -29,6 +31,10 @@ from .common import documents, long_id, text_or_empty, written
 K, S = 5, 2
 LEAST, LONG_WORD = 3, 24
 IDS_PER_BUCKET = 50_000
+#: A place is an anchor times FAR plus the distance, which counts up to FAR - 1.
+FAR = 1 << 16
+#: The white space that parts words.
+SPACE = " \t\n\x0b\x0c\r"
 
 
 def let(value: Column, body) -> Column:
@@ -37,59 +43,78 @@ def let(value: Column, body) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    nothing = F.array().cast("array<string>")
+    return let(F.btrim(text, F.lit(SPACE)), lambda t: F.when(t == "", nothing).otherwise(F.split(t, r"[\x20\x09-\x0D]+")))
 
 
 def smers(words: Column, s: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.size(words) - s), lambda i: F.hash(*[words[i + j] for j in range(s)]))
+    return F.transform(F.slice(words, 1, F.size(words) - (s - 1)), lambda w, i: F.hash(w, *[words[i + j] for j in range(1, s)]))
 
 
-def chosen(m: Column, span: int) -> Column:
-    """Anchors of the closed syncmers among k-mers of ``span`` s-mers, from the hashes of all s-mers."""
-    inner = lambda i: F.array_min(F.slice(m, i + 1, span))
+def starts(m: Column, span: int) -> Column:
+    """Where the closed syncmers among k-mers of ``span`` s-mers begin, from the hashes of all s-mers."""
     edges = lambda i: F.least(m[i], m[i + (span - 1)])
-    start = F.filter(F.sequence(F.lit(0), F.size(m) - span), lambda i: edges(i) <= inner(i))
+    inner = lambda i: F.least(*[m[i + j] for j in range(1, span - 1)])
+    return F.filter(F.sequence(F.lit(0), F.size(m) - span), lambda i: edges(i) <= inner(i))
+
+
+def anchor(m: Column, i: Column, span: int) -> Column:
     # With K and S these four are all s-mers of the k-mer, so every word counts.
-    return F.transform(start, lambda i: F.hash(m[i], m[i + span // 3], m[i + 2 * span // 3], m[i + (span - 1)]))
+    return F.hash(m[i], m[i + span // 3], m[i + 2 * span // 3], m[i + (span - 1)])
 
 
 def closed_syncmers(text: Column, k: int, s: int) -> Column:
     """Sorted distinct 32-bit anchors of the closed syncmers of a text (array<int>), by SQL functions only."""
-    nothing = F.array().cast("array<int>")
-    of_words = lambda w: F.when(F.size(w) >= k, let(smers(w, s), lambda m: chosen(m, k - s + 1))).otherwise(nothing)
+    span, nothing = k - s + 1, F.array().cast("array<int>")
+    chosen = lambda m: F.transform(starts(m, span), lambda i: anchor(m, i, span))
+    of_words = lambda w: F.when(F.size(w) >= k, let(smers(w, s), chosen)).otherwise(nothing)
     return F.array_sort(F.array_distinct(let(words_of(text), of_words)))
 
 
 def syncmers(text: Column) -> Column:
-    """Anchors of a text: closed syncmers of K words and the smallest s-mers (array<int>, sorted and distinct)."""
+    """The fingerprint of a text as places (array<bigint>): in the order of the text, anchors with distances."""
     pad = F.array(*[F.lit("")] * (K // 2))
+    span = K - S + 1
 
     def units(w: Column) -> Column:
         long = lambda x: F.length(x) > LONG_WORD
         parts = F.flatten(F.transform(w, lambda x: F.when(long(x) | (F.size(w) == 1), F.split(x, "")).otherwise(F.array(x))))
         return F.concat(pad, F.when((F.size(w) == 1) | F.exists(w, long), parts).otherwise(w), pad)
 
-    def anchors(m: Column) -> Column:
+    def places(m: Column, at: Column) -> Column:
+        gap = lambda i, j: F.when(j + 1 < F.size(at), F.least(at[j + 1] - i, F.lit(FAR - 1))).otherwise(0)
+        return F.transform(at, lambda i, j: anchor(m, i, span).cast("long") * FAR + gap(i, j))
+
+    def of_smers(m: Column) -> Column:
         # Without the s-mers of empty words alone.
         own = F.slice(m, K // 2 - S + 2, F.size(m) - 2 * (K // 2 - S + 1))
-        of_chosen = lambda c: F.when(F.size(c) > 0, F.concat(c, F.slice(F.array_sort(F.array_distinct(own)), 1, LEAST))).otherwise(own)
-        return let(chosen(m, K - S + 1), of_chosen)
+        bare = lambda some: F.transform(some, lambda x: x.cast("long") * FAR)
+        least = F.slice(F.array_sort(F.array_distinct(own)), 1, LEAST)
+        return let(starts(m, span), lambda at: F.when(F.size(at) > 0, F.concat(places(m, at), bare(least))).otherwise(bare(own)))
 
     def of_words(w: Column) -> Column:
-        found = let(units(w), lambda u: let(smers(u, S), anchors))
-        nothing = F.when(text == "", F.array().cast("array<int>")).otherwise(F.array(F.hash(text)))
+        found = let(units(w), lambda u: let(smers(u, S), of_smers))
+        nothing = F.when(text == "", F.array().cast("array<bigint>")).otherwise(F.array(F.hash(text).cast("long") * FAR))
         return F.when(F.size(w) > 0, found).otherwise(nothing)
 
-    return F.array_sort(F.array_distinct(let(words_of(text), of_words)))
+    return let(words_of(text), of_words)
+
+
+def anchors(places: Column) -> Column:
+    return F.transform(places, lambda x: F.shiftright(x, 16))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+    """Of two fingerprints: the share of anchors, and of anchors with distances, that both have."""
+    p, q = anchors(a), anchors(b)
+    both = F.size(F.array_intersect(a, b)) + F.size(F.array_intersect(p, q))
+    either = F.size(F.array_union(a, b)) + F.size(F.array_union(p, q))
     return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
 
 
-def as_text(anchors: Column) -> Column:
-    return F.array_join(F.transform(anchors, lambda x: F.right(F.lower(F.hex(x.cast("long"))), F.lit(8))), " ")
+def as_text(places: Column) -> Column:
+    """Each place as eight hexadecimal digits of the anchor and four of the distance."""
+    return F.array_join(F.transform(places, lambda x: F.right(F.concat(F.lit("0" * 12), F.lower(F.hex(x))), F.lit(12))), " ")
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -117,25 +142,22 @@ def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
     """Every document beside its edited text: the last floor(n / share) code points give way to as many first ones of
     the next document (descending doc_id). Columns: doc_id, text, edited, anchors, edited_anchors, next_anchors.
 
-    Texts are dealt out by doc_id once; both joins read that exchange, and anchors are taken from what they give.
+    Anchors of a text are taken once, before texts are dealt out by doc_id; both joins read that exchange.
     """
-    base = docs.select(long_id(docs), text_or_empty().alias("text"))
+    text = text_or_empty()
+    base = docs.select(long_id(docs), text.alias("text"), syncmers(text).alias("anchors"))
     known = base.where(F.col("doc_id").isNotNull())
     n_cut = (F.length("text") / share).cast("int")
-    asks = known.groupBy("doc_id").agg(F.max(n_cut).alias("want"))
-    asks = next_ids(known).join(asks, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
-    given = known.join(asks, "doc_id").select(
-        F.col("asker").alias("doc_id"), F.struct(F.expr("left(text, want)").alias("head"), syncmers(F.col("text")).alias("anchors")).alias("given")
-    )
+    asks = docs.select(long_id(docs), (F.length(text) / share).cast("int").alias("want")).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("want").alias("want"))
+    ids = docs.select(long_id(docs)).where(F.col("doc_id").isNotNull())
+    asks = next_ids(ids).join(asks, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
+    given = known.join(asks, "doc_id").select(F.col("asker").alias("doc_id"), F.struct(F.expr("left(text, want)").alias("head"), "anchors").alias("given"))
     # Only repeated ids give several next texts.
-    given = given.groupBy("doc_id").agg(F.min("given").alias("given")) if has_repeats(known) else given
-    nothing = F.struct(F.lit("").alias("head"), F.array().cast("array<int>").alias("anchors"))
+    given = given.groupBy("doc_id").agg(F.min("given").alias("given")) if has_repeats(ids) else given
+    nothing = F.struct(F.lit("").alias("head"), F.array().cast("array<bigint>").alias("anchors"))
     pairs = known.join(given, "doc_id").unionByName(base.where(F.col("doc_id").isNull()).withColumn("given", nothing))
     pairs = pairs.withColumn("edited", F.concat(F.left("text", F.length("text") - n_cut), F.left(F.col("given.head"), n_cut)))
-    return pairs.select(
-        "doc_id", "text", "edited", syncmers(F.col("text")).alias("anchors"), syncmers(F.col("edited")).alias("edited_anchors"),
-        F.col("given.anchors").alias("next_anchors"),
-    )
+    return pairs.select("doc_id", "text", "edited", "anchors", syncmers(F.col("edited")).alias("edited_anchors"), F.col("given.anchors").alias("next_anchors"))
 
 
 def has_repeats(ids: DataFrame) -> bool:

@@ -46,6 +46,73 @@ def test_query(spark):
     assert sum(r.near_edited for r in out) / len(out) > 0.4 > 0.05 > sum(r.near_next for r in out) / len(out)
 
 
+def places_of(text, hashed):
+    """A fingerprint by brute force: (anchor, distance) in the order of the text. ``hashed``: Spark's hash of strings or numbers."""
+    words = SPLIT.findall(text)
+    if not words:
+        return [(hashed(text), 0)] if text else []
+    if len(words) == 1 or any(len(w) > syncmers.LONG_WORD for w in words):
+        words = [u for w in words for u in (w if len(w) > syncmers.LONG_WORD or len(words) == 1 else [w])]
+    words = ["", "", *words, "", ""]
+    m = [hashed(a, b) for a, b in zip(words, words[1:], strict=False)]
+    at = [i for i in range(len(m) - 3) if min(m[i], m[i + 3]) <= min(m[i + 1], m[i + 2])]
+    own = m[1:-1]
+    if not at:
+        return [(h, 0) for h in own]
+    gaps = [min(b - a, syncmers.FAR - 1) for a, b in zip(at, at[1:], strict=False)] + [0]
+    return [(hashed(*m[i : i + 4]), g) for i, g in zip(at, gaps, strict=True)] + [(h, 0) for h in sorted(set(own))[: syncmers.LEAST]]
+
+
+def test_query_against_brute_force(spark):
+    """Fingerprints and likeness of every document of the smallest tables, with Spark's hash in plain Python."""
+    rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
+    string = lambda places: " ".join(f"{a % 2**32:08x}{g:04x}" for a, g in places)
+    prints, edits = {}, {}
+    for n, (i, t) in enumerate(rows):
+        m, following = len(t) // 3, rows[(n + 1) % len(rows)][1]
+        prints[i], edits[i] = places_of(t, murmur), places_of(t[: len(t) - m] + following[:m], murmur)
+
+    def like(p, q):
+        a, b, c, d = set(p), set(q), {x for x, _ in p}, {x for x, _ in q}
+        return (len(a & b) + len(c & d)) / (len(a | b) + len(c | d)) if p or q else 1.0
+
+    after = {i: rows[(n + 1) % len(rows)][0] for n, (i, _) in enumerate(rows)}
+    for r in syncmers.op9_syncmers(spark, SF).collect():
+        p = prints[r.doc_id]
+        assert (r.fingerprint, r.edited_fingerprint) == (string(p), string(edits[r.doc_id]))
+        assert abs(r.near_edited - like(p, edits[r.doc_id])) < 1e-12 and abs(r.near_next - like(p, prints[after[r.doc_id]])) < 1e-12
+
+
+def murmur(*values):
+    """Spark's hash(): MurmurHash3 of 32 bits, seed 42, each value seeded with the one before; the last bytes of a string
+    count one by one, as signed numbers."""
+    u = lambda x: x & 0xFFFFFFFF
+    rotl = lambda x, r: u(x << r | x >> 32 - r)
+
+    def mixed(h, k):
+        return u(rotl(h ^ u(rotl(u(k * 0xCC9E2D51), 15) * 0x1B873593), 13) * 5 + 0xE6546B64)
+
+    def final(h, n):
+        h ^= n
+        h = u((h ^ h >> 16) * 0x85EBCA6B)
+        h = u((h ^ h >> 13) * 0xC2B2AE35)
+        return h ^ h >> 16
+
+    h = 42
+    for v in values:
+        if isinstance(v, int):
+            h = final(mixed(h, u(v)), 4)
+        else:
+            raw = v.encode()
+            whole = len(raw) // 4 * 4
+            for i in range(0, whole, 4):
+                h = mixed(h, int.from_bytes(raw[i : i + 4], "little"))
+            for c in raw[whole:]:
+                h = mixed(h, u(c - 256 if c > 127 else c))
+            h = final(h, len(raw))
+    return h - 2**32 if h >= 2**31 else h
+
+
 def test_edges(unique_docs, edge_docs, no_docs, as_dir, spark):
     out = syncmers.op9_syncmers(spark, as_dir(unique_docs)).collect()
     rows = [(r.doc_id, r.text or "") for r in unique_docs.collect()]
