@@ -32,7 +32,7 @@ K, S = 5, 2
 LEAST, LONG_WORD = 3, 24
 IDS_PER_BUCKET = 50_000
 #: A place is an anchor times FAR plus the distance, which counts up to FAR - 1.
-FAR = 1 << 16
+FAR = 1 << 7
 #: The white space that parts words.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -101,7 +101,7 @@ def syncmers(text: Column) -> Column:
 
 
 def anchors(places: Column) -> Column:
-    return F.transform(places, lambda x: F.shiftright(x, 16))
+    return F.transform(places, lambda x: F.shiftright(x, 7))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -113,8 +113,18 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(places: Column) -> Column:
-    """Each place as eight hexadecimal digits of the anchor and four of the distance."""
-    return F.array_join(F.transform(places, lambda x: F.right(F.concat(F.lit("0" * 12), F.lower(F.hex(x))), F.lit(12))), " ")
+    """Each place as eight hexadecimal digits of the anchor and two of the distance."""
+    digits = lambda x: F.shiftleft(F.shiftright(x, 7), 8) + x.bitwiseAND(FAR - 1)
+    return F.array_join(F.transform(places, lambda x: F.right(F.concat(F.lit("0" * 10), F.lower(F.hex(digits(x)))), F.lit(10))), " ")
+
+
+def packed(places: Column) -> Column:
+    """Places in five bytes each, for the way between tasks."""
+    return F.struct(anchors(places).cast("array<int>").alias("a"), F.transform(places, lambda x: x.bitwiseAND(FAR - 1).cast("tinyint")).alias("d"))
+
+
+def unpacked(p: Column) -> Column:
+    return F.zip_with(p["a"], p["d"], lambda a, d: a.cast("long") * FAR + d)
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -142,22 +152,26 @@ def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
     """Every document beside its edited text: the last floor(n / share) code points give way to as many first ones of
     the next document (descending doc_id). Columns: doc_id, text, edited, anchors, edited_anchors, next_anchors.
 
-    Anchors of a text are taken once, before texts are dealt out by doc_id; both joins read that exchange.
+    Texts are dealt out by doc_id once; both joins read that exchange, and anchors are taken from what they give. (Anchors
+    taken before would travel with the texts, at twice the disk.)
     """
-    text = text_or_empty()
-    base = docs.select(long_id(docs), text.alias("text"), syncmers(text).alias("anchors"))
+    base = docs.select(long_id(docs), text_or_empty().alias("text"))
     known = base.where(F.col("doc_id").isNotNull())
     n_cut = (F.length("text") / share).cast("int")
-    asks = docs.select(long_id(docs), (F.length(text) / share).cast("int").alias("want")).where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("want").alias("want"))
-    ids = docs.select(long_id(docs)).where(F.col("doc_id").isNotNull())
-    asks = next_ids(ids).join(asks, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
-    given = known.join(asks, "doc_id").select(F.col("asker").alias("doc_id"), F.struct(F.expr("left(text, want)").alias("head"), "anchors").alias("given"))
+    asks = known.groupBy("doc_id").agg(F.max(n_cut).alias("want"))
+    asks = next_ids(known).join(asks, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
+    given = known.join(asks, "doc_id").select(
+        F.col("asker").alias("doc_id"), F.struct(F.expr("left(text, want)").alias("head"), packed(syncmers(F.col("text"))).alias("places")).alias("given")
+    )
     # Only repeated ids give several next texts.
-    given = given.groupBy("doc_id").agg(F.min("given").alias("given")) if has_repeats(ids) else given
-    nothing = F.struct(F.lit("").alias("head"), F.array().cast("array<bigint>").alias("anchors"))
+    given = given.groupBy("doc_id").agg(F.min("given").alias("given")) if has_repeats(known) else given
+    nothing = F.struct(F.lit("").alias("head"), packed(F.array().cast("array<bigint>")).alias("places"))
     pairs = known.join(given, "doc_id").unionByName(base.where(F.col("doc_id").isNull()).withColumn("given", nothing))
     pairs = pairs.withColumn("edited", F.concat(F.left("text", F.length("text") - n_cut), F.left(F.col("given.head"), n_cut)))
-    return pairs.select("doc_id", "text", "edited", "anchors", syncmers(F.col("edited")).alias("edited_anchors"), F.col("given.anchors").alias("next_anchors"))
+    return pairs.select(
+        "doc_id", "text", "edited", syncmers(F.col("text")).alias("anchors"), syncmers(F.col("edited")).alias("edited_anchors"),
+        unpacked(F.col("given.places")).alias("next_anchors"),
+    )
 
 
 def has_repeats(ids: DataFrame) -> bool:

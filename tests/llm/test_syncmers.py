@@ -66,7 +66,7 @@ def places_of(text, hashed):
 def test_query_against_brute_force(spark):
     """Fingerprints and likeness of every document of the smallest tables, with Spark's hash in plain Python."""
     rows = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), reverse=True)
-    string = lambda places: " ".join(f"{a % 2**32:08x}{g:04x}" for a, g in places)
+    string = lambda places: " ".join(f"{a % 2**32:08x}{g:02x}" for a, g in places)
     prints, edits = {}, {}
     for n, (i, t) in enumerate(rows):
         m, following = len(t) // 3, rows[(n + 1) % len(rows)][1]
