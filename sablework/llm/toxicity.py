@@ -76,14 +76,19 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
                 hits.append(i)
                 distinct |= spelled
                 hidden += 1
-    for m in APART.findall(text):
-        if "".join(c for c in m.lower() if c.isalpha()) in lexicon:
+    seen = end = 0
+    for m in APART.finditer(text):
+        if "".join(c for c in m[0].lower() if c.isalpha()) in lexicon:
+            # It stands where its first letter's word does.
+            seen, end = seen + len(WORD.findall(text, end, m.start())), m.start()
             hidden += 1
-            hits.append(0)
+            hits.append(seen)
     near = 0
     if hits and second:
-        at = np.array(second)
-        near = int(sum(np.abs(at - h).min() <= NEAR for h in hits))
+        at, h = np.array(second), np.array(hits)
+        after = np.searchsorted(at, h)
+        ahead, behind = at[np.minimum(after, len(at) - 1)] - h, h - at[np.maximum(after - 1, 0)]
+        near = int((np.minimum(np.abs(ahead), np.abs(behind)) <= NEAR).sum())
     upper = sum(map(str.isupper, text))
     shout = sum(1 for w in words if len(w) > 2 and w.isupper())
     raw = text.encode()

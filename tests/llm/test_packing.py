@@ -43,6 +43,12 @@ def test_documents(spark):
     assert check(packing.op8_packing(spark, SF).collect(), encoded(docs)) < 0.02
 
 
+def test_ids_are_those_of_the_tokenizer_file(spark):
+    """On the whole table of the second size, as the ids come from the vocabulary's ranks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert check(packing.pack(docs).collect(), encoded(docs)) < 0.02
+
+
 def test_edges(unique_docs, edge_docs, no_docs):
     assert check(packing.pack(unique_docs).collect(), encoded(unique_docs)) < 0.03
     assert packing.pack(no_docs).count() == 0

@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from sablework.llm import toxicity
@@ -26,6 +28,16 @@ def test_features():
     assert f("You IDIOT, really")["lexicon_hits"] == 1 and f("You IDIOT, really")["near_second_person"] == 1
     assert f("what an 1d10t!")["obfuscated_hits"] == 1 and f("an i d i o t here")["obfuscated_hits"] == 1
     assert f("A nice day.")["lexicon_hits"] == 0
+    far = "word " * 20
+    # A word pulled apart stands where it is written, not at the text's start.
+    assert f("you " + far + "i d i o t")["near_second_person"] == 0 and f(far + "i d i o t , you")["near_second_person"] == 1
+    assert f("you " + far + "idiot " + far + "you idiot " + far + "idiot")["near_second_person"] == 1
+
+
+def test_long_texts_take_linear_time():
+    began = time.process_time()
+    out = dict(zip(toxicity.FEATURES, toxicity.features("you idiot i d i o t " * 60_000, frozenset(["idiot"])), strict=True))
+    assert out["lexicon_hits"] == out["near_second_person"] == 120_000 and time.process_time() - began < 20
 
 
 def test_edges(spark, edge_docs, no_docs):
