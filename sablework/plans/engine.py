@@ -52,11 +52,15 @@ class Engine:
     def explain(self, df: DataFrame, text: str = "text", context: str | Column | None = None, spans: str = "spans") -> DataFrame:
         """``df`` with a column of spans in order of their start."""
         where = context if isinstance(context, Column) else F.coalesce(F.col(context), F.lit("")) if context else F.lit("")
-        names = [f"__m{i}" for i in range(len(self.detectors))]
+        # Names that no column of the input has.
+        free = "__"
+        while any(c.startswith(free) for c in df.columns):
+            free += "_"
+        digit, names = f"{free}digit", [f"{free}m{i}" for i in range(len(self.detectors))]
         # Matches are columns of a projection of their own, so that what follows reads them and doesn't search again.
-        facts = df.withColumn("__digit", F.rlike(F.col(text), F.lit("[0-9]"))) if names else df
-        of = lambda d: d.matches(sql_name(text), "__digit") if isinstance(d, RegexDetector) else d.matches(sql_name(text))
-        found = facts.withColumns({n: of(d) for n, d in zip(names, self.detectors, strict=True)}).drop("__digit") if names else df
+        facts = df.withColumn(digit, F.rlike(F.col(text), F.lit("[0-9]"))) if names else df
+        of = lambda d: d.matches(sql_name(text), digit) if isinstance(d, RegexDetector) else d.matches(sql_name(text))
+        found = facts.withColumns({n: of(d) for n, d in zip(names, self.detectors, strict=True)}).drop(digit) if names else df
         out = self.spans_column([F.col(n) for n in names], where)
         return found.withColumn(spans, F.coalesce(out, F.array().cast(f"array<{SPAN}>"))).drop(*names)
 
@@ -65,12 +69,15 @@ class Engine:
         return self.explain(df, text, context, spans).withColumn(out, splice(F.col(text), F.col(spans)))
 
     def explain_rows(self, df: DataFrame, text: str = "text", context: str | Column | None = None) -> DataFrame:
-        """One row per span: the columns of ``df`` but the text, ``position`` and the span's fields (its text as ``token``)."""
+        """One row per span: the columns of ``df`` but the text, ``position`` and the span's fields (its text as ``token``).
+        A column of ``df`` with the name of one of these gets ``input_`` before its name."""
         # The outer form: the plain one would have the spans worked out once more, for a filter on their number.
         keep = [c for c in df.columns if c not in (text, "context")]
-        rows = self.explain(df, text, context).select(*keep, F.posexplode_outer("spans").alias("position", "span")).where("position is not null")
-        fields = [F.col(f"span.{f}").alias("token" if f == "text" else f) for f in SPAN_FIELDS]
-        return rows.select("*", *fields).drop("span")
+        fields = {"position": "position"} | {"token" if f == "text" else f: f"span.{f}" for f in SPAN_FIELDS}
+        own = {c: f"input_{c}" if c in fields or c in ("spans", "span") else c for c in keep}
+        given = df.withColumnsRenamed(own)
+        rows = self.explain(given, text, context).select(*own.values(), F.posexplode_outer("spans").alias("position", "span")).where("position is not null")
+        return rows.select(*own.values(), *[F.col(c).alias(name) for name, c in fields.items()])
 
 
 def redact(df: DataFrame, policy: str | Mapping | Policy | None = None, policy_yaml: str | None = None, **more) -> DataFrame:

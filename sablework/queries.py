@@ -19,7 +19,7 @@ from sablework.oracle import ALL_KINDS, COLUMNS, LUHN_SQL, POST_SQL, RANDOM_SQL,
 from sablework.plans.engine import Engine, redact_requests
 from sablework.plans.policy import Block, strategies_field
 from sablework.sources.ledger import Ledger
-from sablework.sources.stores import context_entries, upsert
+from sablework.sources.stores import ContextStore, context_entries, scratch_dir, upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -350,6 +350,23 @@ def _explained(spark: SparkSession, sf: str) -> DataFrame:
 
 _SSN_SPANS = spans_sql(of("ssn"), corpus_sql(), replacement=RANDOM_SQL["ssn"])
 _ENTRIES = "SELECT context, sha256(token) AS token_hash, arg_max(replacement, doc_id * 1000000 + lo) AS replacement FROM s GROUP BY ALL"
+
+
+def _contexts(spark: SparkSession, sf: str) -> ContextStore:
+    """A store on disk that has taken in the corpus, the even documents first."""
+    store = ContextStore(spark, scratch_dir(spark))
+    found = _explained(spark, sf)
+    for half in (0, 1):
+        store.put(context_entries(found.where(F.col("doc_id") % 2 == half), "doc_id"))
+    return store
+
+
+def context_delete(spark: SparkSession, sf: str) -> DataFrame:
+    store = _contexts(spark, sf)
+    store.delete("ctx3")
+    return store.table.read()
+
+
 register(
     "context_upsert",
     lambda spark, sf: upsert(spark.createDataFrame([], "context string, token_hash string, replacement string"), context_entries(_explained(spark, sf), "doc_id")),
@@ -357,17 +374,17 @@ register(
 )
 register(
     "context_count",
-    lambda spark, sf: QUERIES["context_upsert"](spark, sf).groupBy("context").count(),
+    lambda spark, sf: _contexts(spark, sf).counts(),
     f"{_SSN_SPANS}, e AS ({_ENTRIES}) SELECT context, count(*) AS count FROM e GROUP BY context",
 )
 register(
     "context_list",
-    lambda spark, sf: QUERIES["context_upsert"](spark, sf).select("context").distinct(),
+    lambda spark, sf: _contexts(spark, sf).list(),
     f"{_SSN_SPANS} SELECT DISTINCT context FROM s",
 )
 register(
     "context_delete",
-    lambda spark, sf: QUERIES["context_upsert"](spark, sf).where("context <> 'ctx3'"),
+    context_delete,
     f"{_SSN_SPANS}, e AS ({_ENTRIES}) SELECT * FROM e WHERE context <> 'ctx3'",
 )
 

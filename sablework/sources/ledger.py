@@ -61,8 +61,12 @@ class Ledger:
 
     def record(self, explained: DataFrame, timestamp: Column, ledger: DataFrame | None = None) -> DataFrame:
         """New entries of documents (document_id, file_name, spans): one per span, ignored ones too, chained per
-        document, going on from what ``ledger`` already has of it. One row per document comes in."""
-        base = explained.select("document_id", F.coalesce("file_name", F.lit("")).alias("file_name"), "spans", timestamp.alias("timestamp"))
+        document, going on from what ``ledger`` already has of it. Several rows of one document_id make one chain, in
+        the order of their timestamps, file names and spans."""
+        row = F.struct(timestamp.alias("timestamp"), F.coalesce("file_name", F.lit("")).alias("file_name"), F.col("spans"))
+        base = explained.where("size(spans) > 0").select("document_id", row.alias("row")).groupBy("document_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
+        of_row = lambda r: F.transform(r["spans"], lambda s: F.struct(s.alias("span"), r["file_name"].alias("file_name"), r["timestamp"].alias("timestamp")))
+        base = base.select("document_id", F.flatten(F.transform("rows", of_row)).alias("spans"))
         if ledger is not None:
             tail = ledger.groupBy("document_id").agg(F.max_by(F.struct(*[F.col(c) for c in HASHED]), "index").alias("last"))
             base = base.join(tail, "document_id", "left")
@@ -75,9 +79,9 @@ class Ledger:
             "spans",
             lambda s, i: F.struct(
                 (F.col("first") + i).alias("index"), F.col("document_id"),
-                self.seal(s["text"], F.col("document_id"), F.col("first") + i).alias("text"),
-                s["replacement"].alias("replacement"), s["character_start"].alias("start"), s["character_end"].alias("stop"),
-                F.col("file_name"), F.col("timestamp"),
+                self.seal(s["span"]["text"], F.col("document_id"), F.col("first") + i).alias("text"),
+                s["span"]["replacement"].alias("replacement"), s["span"]["character_start"].alias("start"), s["span"]["character_end"].alias("stop"),
+                s["file_name"].alias("file_name"), s["timestamp"].alias("timestamp"),
             ),
         )
         kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in (f.split() for f in ENTRY.split(", "))) + ">>"

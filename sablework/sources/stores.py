@@ -9,6 +9,8 @@ any file system that Spark knows will do.
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +19,13 @@ from pyspark.sql import functions as F
 from sablework.plans.policy import parse_policy
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A fresh folder that driver and executors share: below ``spark.checkpoint.dir``, or, where that is unset (local
+    tests), a temporary folder of this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sablework-")
+    return f"{base.rstrip('/')}/stores-{uuid.uuid4().hex}"
+
+
 class NotFound(KeyError):
     pass
 
@@ -143,5 +152,9 @@ class ContextStore:
     def list(self) -> DataFrame:
         return self.table.read().select("context").distinct()
 
+    def counts(self) -> DataFrame:
+        """context, count of all contexts."""
+        return self.table.read().groupBy("context").count()
+
     def count(self, context: str) -> int:
         return self.table.read().where(F.col("context") == context).count()

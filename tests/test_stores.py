@@ -106,3 +106,20 @@ def test_streams(spark, tmp_path):
     windows.awaitTermination()
     row = spark.table("rate").first()
     assert (row.documents, row.redactions) == (4, 4)
+
+
+def test_several_rows_of_one_document_make_one_chain(spark):
+    explained = Engine(SSN).explain(docs(spark).union(docs(spark)), context="context")
+    entries = Ledger().record(explained, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    rows = sorted((r.document_id, r["index"]) for r in entries.collect())
+    assert rows == [("d1", 0), ("d1", 1), ("d1", 2), ("d1", 3), ("d2", 0), ("d2", 1), ("d3", 0), ("d3", 1)]
+    assert all(r.valid for r in Ledger().verify_all(entries).collect())
+
+
+def test_clashing_names_of_the_input(spark):
+    df = docs(spark).withColumns({c: F.lit(c) for c in ("__digit", "__m0", "confidence", "position", "token")})
+    out = Engine(SSN).redact(df, context="context")
+    assert out.columns == [*df.columns, "spans", "filtered_text"] and out.first()["__digit"] == "__digit" and out.first()["__m0"] == "__m0"
+    rows = Engine(SSN).explain_rows(df, context="context")
+    assert len(set(rows.columns)) == len(rows.columns) and {"input_confidence", "input_position", "input_token"} < set(rows.columns)
+    assert {r.input_token for r in rows.collect()} == {"token"} and {r.token for r in rows.collect()} != {"token"}
