@@ -36,14 +36,14 @@ def sql_name(column: str) -> str:
 
 
 def _fold(pieces: str, at: str, confidence: float) -> str:
-    """From text and matches by turns (text first) to matches with byte offsets."""
+    """From text and matches by turns (text first) to matches with byte offsets, from an offset on."""
     hit = f"named_struct('start', a.pos, 'end', a.pos + octet_length(x), 'token', x, 'confidence', {confidence!r}D)"
     step = f"named_struct('pos', a.pos + octet_length(x), 'hit', not a.hit, 'out', if(a.hit, concat(a.out, array({hit})), a.out))"
     return f"aggregate({pieces}, named_struct('pos', {at}, 'hit', false, 'out', {NONE}), (a, x) -> {step}, a -> a.out)"
 
 
 def _fold_chunks(pieces: str, confidence: float) -> str:
-    """The same for texts with very many matches: chunks of pieces, each from its own offset."""
+    """The same in chunks of pieces, each from its own offset, so that the work grows with the number of matches."""
     chunks = f"transform(sequence(0, cast((size({pieces}) - 1) div {CHUNK} as int)), b -> slice({pieces}, b * {CHUNK} + 1, {CHUNK}))"
     sizes = "transform(c, q -> aggregate(q, 0, (n, y) -> n + octet_length(y)))"
     starts = (
@@ -53,13 +53,13 @@ def _fold_chunks(pieces: str, confidence: float) -> str:
     return f"transform(array({chunks}), c -> flatten(zip_with(c, {starts}, (q, o) -> {_fold('q', 'o', confidence)})))[0]"
 
 
-def find_all(text: str, java_regex: str, confidence: float, guard: str = "", many: bool = False) -> Column:
-    return F.expr(find_all_sql(text, java_regex, confidence, guard, many))
+def find_all(text: str, java_regex: str, confidence: float, guard: str = "") -> Column:
+    return F.expr(find_all_sql(text, java_regex, confidence, guard))
 
 
-def find_all_sql(text: str, java_regex: str, confidence: float, guard: str = "", many: bool = False) -> str:
+def find_all_sql(text: str, java_regex: str, confidence: float, guard: str = "") -> str:
     """All non-overlapping matches from left to right in a text (an SQL expression). One scan marks them; a text that
-    has the mark takes two scans. ``many``: matches are as frequent as words, not now and then.
+    has the mark takes two scans.
 
     Written as SQL text, as a policy has dozens of these and building columns one call at a time takes seconds.
     """
@@ -69,17 +69,37 @@ def find_all_sql(text: str, java_regex: str, confidence: float, guard: str = "",
         f"flatten(zip_with(split(t, {sql_text(java_regex)}, -1), regexp_extract_all(t, {whole}, 1), "
         "(g, h) -> if(h is null, array(g), array(g, h))))"
     )
-    fold = _fold_chunks("p", confidence) if many else _fold("p", "0", confidence)
+    fold = f"if(size(p) <= {CHUNK}, {_fold('p', '0', confidence)}, {_fold_chunks('p', confidence)})"
     found = f"transform(array(if(contains(t, '\\u0001'), {turns}, {marked})), p -> if(size(p) < 2, {NONE}, {fold}))[0]"
     found = f"coalesce(transform(array({text}), t -> {found})[0], {NONE})"
     return f"if(rlike({text}, {sql_text(guard)}), {found}, {NONE})" if guard else found
 
 
-def drop_contained_sql(matches: str) -> str:
-    """drop_contained() of matches, as SQL text."""
-    return (
-        f"aggregate({matches}, {NONE}, (a, x) -> if(exists(a, y -> x.start >= y.start and x.end <= y.end), a, concat(a, array(x))))"
+def drop_contained_sql(lists: list[str]) -> str:
+    """drop_contained() of several lists of matches one after the other, as SQL text. No match of a list contains
+    another one of that list.
+
+    A match goes if one of an earlier list contains it, dropped or not: what dropped that one contains both. So matches
+    are put in the order of their starts and cut into chunks. What a chunk needs to know of those before it is how far
+    each list has reached.
+    """
+    if len(lists) == 1:
+        return lists[0]
+    key = "named_struct('start', m.start, 'stop', -m.end, 'p', p, 'i', i, 'm', m)"
+    keyed = f"array_sort(flatten(transform(ls, (l, p) -> transform(l, (m, i) -> {key}))))"
+    chunks = f"transform(sequence(0, cast((size(k) - 1) div {CHUNK} as int)), b -> slice(k, b * {CHUNK} + 1, {CHUNK}))"
+    reach = f"transform(sequence(0, {len(lists) - 1}), q -> coalesce(array_max(transform(filter(c, x -> x.p = q), x -> x.m.end)), -1))"
+    nowhere = f"array_repeat(-1, {len(lists)})"
+    before = (
+        f"aggregate(transform(cs, c -> {reach}), named_struct('now', {nowhere}, 'out', cast(array() as array<array<int>>)), "
+        "(a, r) -> named_struct('now', zip_with(a.now, r, (u, v) -> greatest(u, v)), 'out', concat(a.out, array(a.now))), a -> a.out)"
     )
+    held = "exists(c, y -> y.p < x.p and y.start <= x.start and y.m.end >= x.m.end) or exists(slice(r, 1, x.p), e -> e >= x.m.end)"
+    kept = f"flatten(zip_with(cs, {before}, (c, r) -> transform(filter(c, x -> not ({held})), x -> named_struct('p', x.p, 'i', x.i, 'm', x.m))))"
+    swept = f"transform(array({keyed}), k -> transform(array({chunks}), cs -> transform(array_sort({kept}), x -> x.m))[0])[0]"
+    few = f"aggregate(flatten(ls), {NONE}, (a, x) -> if(exists(a, y -> x.start >= y.start and x.end <= y.end), a, concat(a, array(x))))"
+    number = "aggregate(ls, 0, (n, l) -> n + size(l))"
+    return f"transform(array(array({', '.join(lists)})), ls -> if({number} < 2, flatten(ls), if({number} <= {CHUNK}, {few}, {swept})))[0]"
 
 
 def drop_contained(matches: Column, kind: str = MATCH, start: str = "start", end: str = "end") -> Column:
@@ -99,14 +119,13 @@ def splice(text: Column, spans: Column) -> Column:
     """The text with the replacements of all applied spans. After each span, reading goes on at its end, even where
     that is further left; an empty replacement leaves the span's own text."""
     raw = text.cast("binary")
-    part = lambda lo, hi: F.substring(raw, lo + 1, F.greatest(hi - lo, F.lit(0)))
-    start = F.struct(F.lit("").cast("binary").alias("out"), F.lit(0).alias("pos"))
+    part = lambda lo, hi: F.substring(raw, lo + 1, F.greatest(hi - lo, F.lit(0))).cast("string")
 
-    def step(acc: Column, s: Column) -> Column:
-        own = F.when(s["replacement"] != "", s["replacement"]).otherwise(s["text"]).cast("binary")
-        out = F.concat(acc["out"], part(acc["pos"], s["character_start"]), own)
-        done = F.struct(out.alias("out"), s["character_end"].alias("pos"))
-        return F.when(s["applied"] & ~s["ignored"], done).otherwise(acc)
+    def pieces(used: Column) -> Column:
+        ends = lambda i: F.coalesce(F.get(used, i - 1)["character_end"], F.lit(0))
+        own = lambda s: F.when(s["replacement"] != "", s["replacement"]).otherwise(s["text"])
+        each = F.transform(used, lambda s, i: F.concat(part(ends(i), s["character_start"]), own(s)))
+        return F.concat(F.array_join(each, ""), part(ends(F.size(used)), F.length(raw)))
 
-    joined = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], part(acc["pos"], F.length(raw))).cast("string"))
-    return F.when(F.size(spans) == 0, text).otherwise(joined)
+    applied = F.filter(spans, lambda s: s["applied"] & ~s["ignored"])
+    return F.when(F.size(spans) == 0, text).otherwise(let(applied, pieces))

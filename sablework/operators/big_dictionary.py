@@ -27,7 +27,7 @@ def distinct_words(words: DataFrame, column: str = "word", case_sensitive: bool
 def dictionary_rows(df: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str = "text", case_sensitive: bool = False) -> DataFrame:
     """One row per find: doc_id, character_start, character_end (bytes), token, word. Words of several tokens never match."""
     fold = (lambda c: c) if case_sensitive else F.lower
-    tokens = df.select(F.col(doc_id).alias("doc_id"), F.explode_outer(find_all(sql_name(text), to_java(ASCII_WORD), 1.0, many=True)).alias("t")).where("t is not null")
+    tokens = df.select(F.col(doc_id).alias("doc_id"), F.explode_outer(find_all(sql_name(text), to_java(ASCII_WORD), 1.0)).alias("t")).where("t is not null")
     keyed = tokens.select("doc_id", F.col("t.start").alias("character_start"), F.col("t.end").alias("character_end"), F.col("t.token").alias("token"))
     found = keyed.withColumn("key", fold(F.col("token"))).join(distinct_words(words, "word", case_sensitive), "key")
     return found.select("doc_id", "character_start", "character_end", "token", "word")

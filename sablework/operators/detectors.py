@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sablework.functions.dialect import quote, to_java
 from sablework.functions.replacements import replacement
-from sablework.functions.spans import NONE, drop_contained, drop_contained_sql, find_all, find_all_sql, let, no_matches
+from sablework.functions.spans import NONE, drop_contained_sql, find_all, find_all_sql, let, no_matches
 from sablework.operators.patterns import KINDS, Kind, Pattern
 from sablework.plans.policy import Block, Policy, PolicyError
 
@@ -88,10 +88,7 @@ class RegexDetector:
         found = [find_all_sql(text, j, p.confidence, p.guard) for j, p in zip(self.java, self.patterns, strict=True)]
         if digit:
             found = [f"if({digit}, {m}, {NONE})" if p.needs_digit else m for m, p in zip(found, self.patterns, strict=True)]
-        if len(found) == 1:
-            kept = F.expr(found[0])
-        else:
-            kept = F.expr(f"transform(array(concat({', '.join(found)})), m -> if(size(m) < 2, m, {drop_contained_sql('m')}))[0]")
+        kept = F.expr(drop_contained_sql(found))
         post = self.post
         return F.filter(kept, lambda m: post(m["token"])) if post else kept
 
@@ -136,8 +133,8 @@ class DictionaryDetector:
             return no_matches()
         # One test of all words first: most texts have none of them.
         some = "|".join(f"(?:{j})" for j in self.java)
-        found = F.when(F.rlike(F.expr(text), F.lit(some)), F.concat(*[find_all(text, j, 1.0) for j in self.java])).otherwise(no_matches())
-        exact = let(found, lambda m: F.when(F.size(m) < 2, m).otherwise(drop_contained(m)))
+        found = F.expr(drop_contained_sql([find_all_sql(text, j, 1.0) for j in self.java]))
+        exact = F.when(F.rlike(F.expr(text), F.lit(some)), found).otherwise(no_matches())
         return let(exact, lambda e: F.concat(e, self.near(text, e))) if self.fuzzy else exact
 
     def near(self, text: str, exact: Column) -> Column:
@@ -145,9 +142,10 @@ class DictionaryDetector:
         fold = (lambda c: c) if self.exact_case else F.lower
         words = F.array(*[F.lit(w if self.exact_case else w.lower()) for w in self.words])
         outside = lambda t: ~F.exists(exact, lambda e: (t["start"] >= e["start"]) & (t["end"] <= e["end"]))
-        distance = lambda t: F.array_min(F.transform(words, lambda w: F.levenshtein(fold(t["token"]), w)))
-        tokens = F.filter(find_all(text, TOKEN, confidence, many=True), outside)
-        return F.filter(tokens, lambda t: distance(t).between(1, most))
+        # Beyond the threshold, levenshtein stops counting and gives -1.
+        within = lambda t: F.filter(F.transform(words, lambda w: F.levenshtein(fold(t["token"]), w, most)), lambda d: d >= 0)
+        tokens = F.filter(find_all(text, TOKEN, confidence), outside)
+        return F.filter(tokens, lambda t: F.array_min(within(t)) > 0)
 
     def spans(self, matches: Column, context: Column) -> Column:
         return as_spans(matches, self.block, self.filter_type, context, DICTIONARY_STRATEGIES)

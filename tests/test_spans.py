@@ -1,6 +1,9 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
-from sablework.functions.spans import drop_contained, sorted_spans, splice
+from sablework.functions.spans import MATCH, drop_contained, drop_contained_sql, sorted_spans, splice
 from sablework.operators.patterns import KINDS
 from sablework.plans.engine import Engine
 
@@ -73,3 +76,39 @@ def test_plan_has_no_shuffle_and_searches_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
     assert plan.count("[13][a-km-zA-HJ-NP-Z1-9]{25,34}") <= 4  # both constructions of one search
+
+
+def test_many_matches_of_several_lists(spark):
+    rng = random.Random(5)
+
+    def disjoint(longest):
+        out, at = [], 0
+        while at < 2000:
+            n = rng.randint(1, longest)
+            out.append((at, at + n, "x", 1.0))
+            at += n + rng.randint(0, 4)
+        return out
+
+    rows = [tuple(disjoint(n) for n in sizes) for sizes in ((3, 40, 9), (300, 2, 7), (8, 8, 8))] + [([], [(0, 4, "x", 1.0)], [])]
+    got = spark.createDataFrame(rows, f"a {MATCH}, b {MATCH}, c {MATCH}").select(F.expr(drop_contained_sql(["a", "b", "c"])).alias("o")).collect()
+    for lists, row in zip(rows, got, strict=True):
+        kept = []
+        for m in (m for ms in lists for m in ms):
+            if not any(k[0] <= m[0] and m[1] <= k[1] for k in kept):
+                kept.append(m)
+        assert [tuple(x) for x in row.o] == kept
+
+
+def test_a_long_text_takes_linear_time(spark):
+    engine = Engine({"identifiers": {"zipCode": {}, "ipAddress": {}, "emailAddress": {}}})
+
+    def seconds(n):
+        text = " ".join(f"{10000 + i % 80000} 10.0.{i % 200}.7" for i in range(n // 2))
+        df = spark.createDataFrame([(text,)], "text string")
+        began = time.time()
+        row = engine.redact(df).select(F.size("spans").alias("n"), F.length("filtered_text").alias("chars")).first()
+        assert row.n >= n and row.chars > len(text)
+        return time.time() - began
+
+    seconds(100)
+    assert seconds(100_000) < 30
