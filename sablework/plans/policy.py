@@ -13,6 +13,10 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 DEFAULT_FORMAT = "{{{REDACTED-%t}}}"
 
 
@@ -188,3 +192,15 @@ def is_valid_yaml(source: str) -> bool:
     except PolicyError:
         return False
     return True
+
+
+def valid_policies(source: str | Column, yaml: bool = False) -> Column:
+    """is_valid_json() or is_valid_yaml() of a column; null is not valid. Policies that recur are parsed once a batch."""
+    test = is_valid_yaml if yaml else is_valid_json
+
+    @F.pandas_udf("boolean")
+    def valid(texts: pd.Series) -> pd.Series:
+        known = {t: test(t) for t in texts.dropna().unique()}
+        return texts.map(known).fillna(False).astype(bool)
+
+    return valid(source)

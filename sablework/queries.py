@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sablework.corpus import corpus, corpus_sql
+from sablework.corpus import corpus, corpus_sql, pick
 from sablework.functions.random_values import GENERATORS, random_value
 from sablework.functions.spans import drop_contained, splice
 from sablework.operators.big_dictionary import dictionary_rows
@@ -17,7 +17,7 @@ from sablework.operators.model import Entity
 from sablework.operators.patterns import KINDS, STRICT_EMAIL
 from sablework.oracle import ALL_KINDS, COLUMNS, LUHN_SQL, POST_SQL, RANDOM_SQL, explain_sql, of, redact_sql, spans_sql
 from sablework.plans.engine import Engine, redact_requests
-from sablework.plans.policy import Block, strategies_field
+from sablework.plans.policy import Block, strategies_field, valid_policies
 from sablework.sources.ledger import Ledger
 from sablework.sources.stores import ContextStore, context_entries, scratch_dir, upsert
 
@@ -25,7 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-DOCS_SQL = "SELECT doc_id, '' AS context, text FROM documents WHERE text IS NOT NULL"
+DOCS_SQL = "SELECT doc_id, '' AS context, text FROM documents"
 OUT = ["doc_id", "character_start", "character_end", "filter_type", "token", "replacement", "confidence"]
 
 
@@ -37,9 +37,9 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Few large files of few rows each make few tasks; the detectors keep more cores busy than that."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("").alias("context"), "text").where(F.col("text").isNotNull())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit("").alias("context"), "text")
     cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores) if len(docs.inputFiles()) < cores else docs
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def rows(engine: Engine, df: DataFrame) -> DataFrame:
@@ -97,11 +97,11 @@ register(
     lambda spark, sf: Engine(ALL_POLICY).redact(documents(spark, sf), context="context").select("doc_id", "filtered_text"),
     redact_sql(ALL_KINDS, DOCS_SQL),
 )
-CHATS_SQL = "SELECT conv_id * 100000 + turn AS doc_id, '' AS context, text FROM conversations WHERE text IS NOT NULL"
+CHATS_SQL = "SELECT conv_id * 100000 + turn AS doc_id, '' AS context, text FROM conversations"
 register(
     "redact_conversations",
     lambda spark, sf: Engine(ALL_POLICY)
-    .redact(spark.read.parquet(f"{sf}/conversations.parquet").where("text is not null").select((F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "text"))
+    .redact(spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") * 100000 + F.col("turn")).alias("doc_id"), "text"))
     .select("doc_id", "filtered_text"),
     redact_sql(ALL_KINDS, CHATS_SQL),
 )
@@ -221,15 +221,15 @@ for _level, (_most, _sure) in {"low": (1, 0.8), "medium": (2, 0.6), "high": (3,
 
 def dictionary_by_join(spark: SparkSession, sf: str) -> DataFrame:
     words = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.explode(F.split("text", "[^0-9A-Za-z_]+")).alias("word")).distinct()
-    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
-    return dictionary_rows(docs, words.where("length(word) > 9")).select("doc_id", "character_start", "character_end", "token")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return dictionary_rows(docs, words).select("doc_id", "character_start", "character_end", "token")
 
 
 register(
     "dictionary_by_join",
     dictionary_by_join,
-    "WITH w AS (SELECT DISTINCT lower(x) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^0-9A-Za-z_]+')) AS x FROM benchmark) WHERE length(x) > 9), "
-    "p AS (SELECT doc_id, string_split(regexp_replace(text, '([0-9A-Za-z_]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE text IS NOT NULL), "
+    "WITH w AS (SELECT DISTINCT lower(x) AS k FROM (SELECT unnest(regexp_split_to_array(text, '[^0-9A-Za-z_]+')) AS x FROM benchmark) WHERE x <> ''), "
+    "p AS (SELECT doc_id, string_split(regexp_replace(text, '([0-9A-Za-z_]+)', chr(1) || '\\1' || chr(1), 'g'), chr(1)) AS parts FROM documents), "
     "l AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM p), "
     "o AS (SELECT doc_id, i, part, sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY i) AS hi FROM l) "
     "SELECT doc_id, (hi - strlen(part))::INT AS character_start, hi::INT AS character_end, part AS token FROM o JOIN w ON lower(part) = w.k WHERE i % 2 = 0",
@@ -341,6 +341,16 @@ def _requests_sql() -> str:
 
 
 register("requests_by_policy", requests, _requests_sql())
+# Policies of every kind, one a customer: valid ones, broken text, and values of the wrong type.
+_POLICIES = pick("c_custkey", ['{"identifiers":{"ssn":{}}}', "{}", "", "{", '{"identifiers":[]}', '{"identifiers":{"ssn":{"enabled":false}}}', "[1]", '{"identifiers":{"ssn":7}}'])
+
+
+def validate_policies(spark: SparkSession, sf: str) -> DataFrame:
+    asked = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("doc_id"), F.expr(_POLICIES).alias("policy"))
+    return asked.select("doc_id", valid_policies("policy").alias("valid"))
+
+
+register("validate_policies", validate_policies, "SELECT c_custkey AS doc_id, c_custkey % 8 IN (0, 1, 5) AS valid FROM customer")
 _SSN = policy_of("ssn", {"strategy": "RANDOM_REPLACE"})
 
 
@@ -391,14 +401,19 @@ register(
 
 def _ledger(spark: SparkSession, sf: str) -> DataFrame:
     docs = _explained(spark, sf).select(F.col("doc_id").cast("string").alias("document_id"), F.lit("f.txt").alias("file_name"), "spans")
-    return Ledger().record(docs, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    return Ledger().record(docs, F.timestamp_millis(F.lit(_RECORDED)))
 
 
+_RECORDED = 1704164645678
+_FIELDS = ("index", "document_id", "text", "replacement", "start", "stop", "file_name", "timestamp", "previous_hash")
+_HASH_SQL = " || ".join(f"strlen(r.{f}::VARCHAR) || ':' || r.{f}::VARCHAR" for f in _FIELDS)
 register(
     "ledger_record",
-    lambda spark, sf: _ledger(spark, sf).select("index", "document_id", "text", "replacement", "start", "stop", "file_name"),
-    f"{_SSN_SPANS} SELECT (row_number() OVER (PARTITION BY doc_id ORDER BY lo, p) - 1)::INT AS index, doc_id::VARCHAR AS document_id, token AS text, replacement, "
-    "lo AS start, hi AS stop, 'f.txt' AS file_name FROM s",
+    lambda spark, sf: _ledger(spark, sf).withColumns({"timestamp": F.unix_millis("timestamp"), "previous_hash": F.hex("previous_hash")}).select(*_FIELDS),
+    f"{_SSN_SPANS.replace('WITH', 'WITH RECURSIVE', 1)}, e AS MATERIALIZED (SELECT (row_number() OVER (PARTITION BY doc_id ORDER BY lo, p) - 1)::INT AS index, doc_id::VARCHAR AS document_id, "
+    f"token AS text, replacement, lo AS start, hi AS stop, 'f.txt' AS file_name, {_RECORDED}::BIGINT AS timestamp FROM s), "
+    "r AS (SELECT e.*, repeat('0', 64) AS previous_hash FROM e WHERE index = 0 UNION ALL "
+    f"SELECT e.*, upper(sha256({_HASH_SQL})) FROM r JOIN e ON e.document_id = r.document_id AND e.index = r.index + 1) SELECT {', '.join(_FIELDS)} FROM r",
 )
 
 
@@ -417,10 +432,10 @@ register(
 _SPACE = "[\\t\\n\\x0B\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 register(
     "metrics",
-    lambda spark, sf: metrics(Engine(ALL_POLICY).explain(documents(spark, sf))),
+    lambda spark, sf: metrics(Engine(ALL_POLICY).explain(documents(spark, sf)), _contexts(spark, sf).table.read()),
     f"{spans_sql(ALL_KINDS, DOCS_SQL)} SELECT (SELECT count(*) FROM c) AS documents, "
     f"(SELECT sum(len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')))::BIGINT FROM c) AS tokens_received, "
-    "(SELECT count(*) FROM s) AS redactions_total, 0::BIGINT AS contexts, 1 AS healthy",
+    f"(SELECT count(*) FROM s) AS redactions_total, (SELECT count(DISTINCT context) FROM ({_SSN_SPANS} SELECT context FROM s)) AS contexts, 1 AS healthy",
 )
 register(
     "redactions_by_type",

@@ -21,6 +21,8 @@ ENTRY = (
     "index int, document_id string, text string, replacement string, start int, stop int, file_name string,"
     " timestamp timestamp, previous_hash binary"
 )
+#: Where a document's chain ends.
+TAIL = "document_id string, index int, hash binary"
 HASHED = ("index", "document_id", "text", "replacement", "start", "stop", "file_name", "timestamp", "previous_hash")
 
 
@@ -59,22 +61,27 @@ class Ledger:
     def unseal(self, text: Column) -> Column:
         return F.aes_decrypt(F.unbase64(text), self._key(), F.lit("GCM")).cast("string") if self.key else text
 
-    def record(self, explained: DataFrame, timestamp: Column, ledger: DataFrame | None = None) -> DataFrame:
+    def tails(self, ledger: DataFrame) -> DataFrame:
+        """document_id, index, hash: where each document's chain ends."""
+        last = ledger.groupBy("document_id").agg(F.max_by(F.struct(*[F.col(c) for c in HASHED]), "index").alias("last"))
+        return last.select("document_id", "last.index", entry_hash(lambda n: F.col(f"last.{n}")).alias("hash"))
+
+    def record(self, explained: DataFrame, timestamp: Column, ledger: DataFrame | None = None, tails: DataFrame | None = None) -> DataFrame:
         """New entries of documents (document_id, file_name, spans): one per span, ignored ones too, chained per
-        document, going on from what ``ledger`` already has of it. Several rows of one document_id make one chain, in
+        document, going on from what ``ledger`` already has of it, or from its tails() where these are at hand. Several rows of one document_id make one chain, in
         the order of their timestamps, file names and spans."""
         row = F.struct(timestamp.alias("timestamp"), F.coalesce("file_name", F.lit("")).alias("file_name"), F.col("spans"))
         base = explained.where("size(spans) > 0").select("document_id", row.alias("row")).groupBy("document_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
         of_row = lambda r: F.transform(r["spans"], lambda s: F.struct(s.alias("span"), r["file_name"].alias("file_name"), r["timestamp"].alias("timestamp")))
         base = base.select("document_id", F.flatten(F.transform("rows", of_row)).alias("spans"))
-        if ledger is not None:
-            tail = ledger.groupBy("document_id").agg(F.max_by(F.struct(*[F.col(c) for c in HASHED]), "index").alias("last"))
-            base = base.join(tail, "document_id", "left")
-            first = F.coalesce(F.col("last.index") + 1, F.lit(0))
-            before = F.when(F.col("last").isNull(), zero_hash()).otherwise(entry_hash(lambda n: F.col(f"last.{n}")))
+        if tails is None and ledger is not None:
+            tails = self.tails(ledger)
+        if tails is not None:
+            base = base.join(tails, "document_id", "left")
+            first, before = F.coalesce(F.col("index") + 1, F.lit(0)), F.coalesce("hash", zero_hash())
         else:
             first, before = F.lit(0), zero_hash()
-        base = base.withColumns({"first": first, "before": before})
+        base = base.select("document_id", "spans", first.alias("first"), before.alias("before"))
         plain = F.transform(
             "spans",
             lambda s, i: F.struct(

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from sablework.plans.engine import Engine
-from sablework.sources.ledger import ENTRY, Ledger
+from sablework.sources.ledger import ENTRY, TAIL, Ledger
 from sablework.sources.stores import ContextStore, context_entries
 
 
+#: After so many batches, a batch writes the ends of all chains rather than those it has moved.
+MERGE_EVERY = 50
+
+
 def redact_stream(stream: DataFrame, engine: Engine, **columns) -> DataFrame:
     """A streaming DataFrame with spans and filtered text."""
     return engine.redact(stream, **columns)
@@ -27,19 +31,32 @@ def token_rate(stream: DataFrame, time: str, window: str, late: str, text: str =
 def with_stores(contexts: ContextStore | None = None, ledger: Ledger | None = None, ledger_path: str | None = None, order: str = "document_id") -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps contexts and ledger up to date with each batch of redacted documents.
 
-    A batch that is run again replaces its own part of the ledger, so entries aren't doubled.
+    A batch that is run again replaces its own part of the ledger, so entries aren't doubled. Batches never read the
+    ledger: each leaves the ends of the chains that it has moved beside it, under ``{ledger_path}_tails``, and reads the
+    parts since the last one that has them all.
     """
 
+    def tails_before(spark: SparkSession, epoch: int) -> DataFrame:
+        first = (epoch - 1) // MERGE_EVERY * MERGE_EVERY
+        parts = [f"{ledger_path}_tails/epoch={e}" for e in range(max(first, 0), epoch)]
+        if not parts:
+            return spark.createDataFrame([], TAIL)
+        return newest(spark.read.schema(TAIL).parquet(*parts))
+
+    def newest(tails: DataFrame) -> DataFrame:
+        last = tails.groupBy("document_id").agg(F.max(F.struct("index", "hash")).alias("t"))
+        return last.select("document_id", "t.index", "t.hash")
+
     def apply(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         if contexts:
             contexts.put(context_entries(batch, order))
         if ledger and ledger_path:
-            before = spark.createDataFrame([], ENTRY)
-            if epoch:
-                parts = [f"{ledger_path}/epoch={e}" for e in range(epoch)]
-                before = spark.read.schema(ENTRY).parquet(*parts)
-            ledger.record(batch, F.current_timestamp(), before).write.mode("overwrite").parquet(f"{ledger_path}/epoch={epoch}")
+            before, own = tails_before(spark, epoch), f"{ledger_path}/epoch={epoch}"
+            ledger.record(batch, F.current_timestamp(), tails=before).write.mode("overwrite").parquet(own)
+            moved = ledger.tails(spark.read.schema(ENTRY).parquet(own))
+            after = newest(before.unionByName(moved)) if epoch % MERGE_EVERY == 0 else moved
+            after.write.mode("overwrite").parquet(f"{ledger_path}_tails/epoch={epoch}")
 
     return apply
 

@@ -1,7 +1,7 @@
 import pytest
 
 from sablework.plans.engine import Engine, redact, redact_requests
-from sablework.plans.policy import Policy, PolicyError, Strategy, is_valid_json, is_valid_yaml, parse_policy, parse_policy_yaml
+from sablework.plans.policy import Policy, PolicyError, Strategy, is_valid_json, is_valid_yaml, parse_policy, parse_policy_yaml, valid_policies
 
 
 def test_fields_and_defaults():
@@ -54,3 +54,8 @@ def test_requests(spark):
     assert out["ids", "SSN 123-45-6789"].filtered_text == "SSN {{{REDACTED-ssn}}}" and out["ids", "SSN 123-45-6789"].error is None
     assert out["ids", ""].error == "text is required" and out["nope", "x"].error == "no policy nope" and out[None, "x"].error == "policy is required"
     assert len(out["nope", "x"].document_id) == 36
+
+
+def test_validation_of_a_column(spark):
+    df = spark.createDataFrame([("{}",), ("{",), (None,), ("",), ("{}",)], "p string")
+    assert [r.v for r in df.select(valid_policies("p").alias("v")).collect()] == [True, False, False, False, True]

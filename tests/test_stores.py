@@ -100,12 +100,17 @@ def test_streams(spark, tmp_path):
     base.where("document_id <> 'd1'").write.mode("append").parquet(source)
     start(stream(), keep, home + "/cp").awaitTermination()
     assert contexts.count("ctx1") == 2 and contexts.count("ctx2") == 1
+    again = base.where("document_id = 'd1'").withColumn("text", F.lit("SSN 222-45-6789 and 223-45-6789"))
+    again.write.mode("append").parquet(source)
+    start(stream(), keep, home + "/cp").awaitTermination()
+    assert contexts.count("ctx1") == 4
     entries = spark.read.schema(ENTRY).parquet(home + "/ledger")
-    assert entries.count() == 4 and all(r.valid for r in ledger.verify_all(entries).collect())
+    assert sorted(r["index"] for r in entries.where("document_id = 'd1'").collect()) == [0, 1, 2, 3]
+    assert entries.count() == 6 and all(r.valid for r in ledger.verify_all(entries).collect())
     windows = token_rate(stream(), "ts", "1 minute", "1 minute").writeStream.outputMode("complete").format("memory").queryName("rate").trigger(availableNow=True).start()
     windows.awaitTermination()
     row = spark.table("rate").first()
-    assert (row.documents, row.redactions) == (4, 4)
+    assert (row.documents, row.redactions) == (5, 6)
 
 
 def test_several_rows_of_one_document_make_one_chain(spark):
@@ -123,3 +128,17 @@ def test_clashing_names_of_the_input(spark):
     rows = Engine(SSN).explain_rows(df, context="context")
     assert len(set(rows.columns)) == len(rows.columns) and {"input_confidence", "input_position", "input_token"} < set(rows.columns)
     assert {r.input_token for r in rows.collect()} == {"token"} and {r.token for r in rows.collect()} != {"token"}
+
+
+def test_batches_go_on_from_the_ends_of_chains(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("sablework.streaming.redaction.MERGE_EVERY", 2)
+    ledger, path = Ledger(), str(tmp_path / "ledger")
+    keep = with_stores(None, ledger, path)
+    explained = Engine(SSN).explain(docs(spark), context="context")
+    for epoch, ids in enumerate((["d1"], ["d2"], ["d3"], ["d1", "d2"], ["d1"])):
+        keep(explained.where(F.col("document_id").isin(ids)), epoch)
+    keep(explained.where("document_id = 'd1'"), 4)  # a batch that is run again
+    entries = spark.read.schema(ENTRY).parquet(path)
+    assert sorted((r.document_id, r["index"]) for r in entries.collect()) == [*(("d1", i) for i in range(6)), ("d2", 0), ("d2", 1), ("d3", 0)]
+    assert all(r.valid for r in ledger.verify_all(entries).collect())
+    assert spark.read.parquet(f"{path}_tails/epoch=2").count() == 3 and spark.read.parquet(f"{path}_tails/epoch=3").count() == 2
