@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from sablework.llm import anchors, bucket_refinement, fmindex
 
@@ -33,11 +34,11 @@ def brute_bytes(rows, width=400):
     count, out = Counter(), {}
     raw = {i: (t or "").encode() for i, t in rows}
     for b in raw.values():
-        count.update(b[a : a + width] for a in range(len(b) - width + 1))
+        count.update(xxhash.xxh3_128_digest(b[a : a + width]) for a in range(len(b) - width + 1))
     for i, b in raw.items():
         gone = np.zeros(len(b), bool)
         for a in range(len(b) - width + 1):
-            if count[b[a : a + width]] > 1:
+            if count[xxhash.xxh3_128_digest(b[a : a + width])] > 1:
                 gone[a : a + width] = True
         runs = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())
         out[i] = (len(b), int(gone.sum()), runs, bytes(np.frombuffer(b, np.uint8)[~gone]))
@@ -135,3 +136,14 @@ def test_bucket_refinement():
         grams = {p: bytes(raw[p : p + width]) for p in range(len(raw)) if left[p] >= width}
         count = Counter(grams.values())
         assert set(np.flatnonzero(bucket_refinement.equal_suffixes(raw, left, width, np.zeros(len(raw), bool)))) == {p for p, g in grams.items() if count[g] > 1}
+
+
+def test_queries_on_a_larger_table(spark):
+    """Both queries over all documents of sf0.01."""
+    sf = "/root/testdata/sf0.01"
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    sha = lambda kept: hashlib.sha256(kept if isinstance(kept, bytes) else kept.encode()).hexdigest()
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in fmindex.op5_fm_index(spark, sf).collect()}
+    assert got == {i: (n, gone, sha(kept)) for i, (n, gone, kept) in brute_words(rows).items()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bucket_refinement.op6_bucket_refinement(spark, sf).collect()}
+    assert got == {i: (n, gone, runs, sha(kept)) for i, (n, gone, runs, kept) in brute_bytes(rows).items()}
