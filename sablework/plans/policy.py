@@ -68,9 +68,10 @@ class Policy:
 
 # The single blocks of a policy, and their options with types.
 SINGLE = (
-    "age bankRoutingNumber bitcoinAddress creditCard currency date driversLicense emailAddress ibanCode ipAddress macAddress"
-    " passportNumber phoneNumber phoneNumberExtension ssn streetAddress trackingNumber url vin zipCode"
-).split()
+    "age", "bankRoutingNumber", "bitcoinAddress", "creditCard", "currency", "date", "driversLicense",
+    "emailAddress", "ibanCode", "ipAddress", "macAddress", "passportNumber", "phoneNumber", "phoneNumberExtension",
+    "ssn", "streetAddress", "trackingNumber", "url", "vin", "zipCode",
+)
 OPTIONS: dict[str, dict[str, type]] = {
     "creditCard": {"onlyValidCreditCardNumbers": bool},
     "date": {"onlyValidDates": bool},
