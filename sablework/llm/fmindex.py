@@ -2,8 +2,8 @@
 
 Words that a window of WIDTH words covers go if the window's words also start
 earlier. Shards are made by anchor (see anchors.py): the windows that may be
-equal are in one shard, whose distinct contents form an FM-index with a wavelet
-matrix. The contents stream through it in parallel lanes: backward search
+equal are in one shard, whose distinct contents form an FM-index: a wavelet matrix
+over the runs of their Burrows-Wheeler transform. The contents stream through it in parallel lanes: backward search
 extends every window to the left word by word, and a lane ends as soon as what
 it has matched occurs only once, so the number of words matched is the matching
 statistic, cut off at WIDTH. Lanes that reach WIDTH have the same interval if and
@@ -32,6 +32,18 @@ from .rolling import U64, joined, word_hashes
 WIDTH, GRAM = 20, 6
 
 
+class Bits:
+    """rank(i): how many of the first i bits are set, for arrays of i."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.packed = np.packbits(np.concatenate([bits, np.zeros(-len(bits) % 64 + 64, bool)]), bitorder="little").view(U64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.packed))[:-1]]).astype(np.int32)
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        word, low = i >> 6, (i & 63).astype(U64)
+        return self.before[word] + np.bitwise_count(self.packed[word] & ((U64(1) << low) - U64(1)))
+
+
 class WaveletMatrix:
     """rank(c, i): how often c is among the first i symbols, for arrays of c and i."""
 
@@ -41,17 +53,13 @@ class WaveletMatrix:
         s = symbols
         for shift in reversed(range(self.levels)):
             bit = (s >> shift & 1).astype(bool)
-            packed = np.packbits(np.concatenate([bit, np.zeros(-len(bit) % 64 + 64, bool)]), bitorder="little").view(U64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed))[:-1]]).astype(np.int32)
-            zeros = int(len(bit) - bit.sum())
-            self.rows.append((shift, packed, before, zeros))
+            self.rows.append((shift, Bits(bit), int(len(bit) - bit.sum())))
             s = np.concatenate([s[~bit], s[bit]])
         self.first = self.trace(np.arange(1 << self.levels), np.zeros(1 << self.levels, np.int64))
 
     def trace(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        for shift, packed, before, zeros in self.rows:
-            word, low = i >> 6, (i & 63).astype(U64)
-            ones = before[word] + np.bitwise_count(packed[word] & ((U64(1) << low) - U64(1)))
+        for shift, bits, zeros in self.rows:
+            ones = bits.rank(i)
             i = np.where(c >> shift & 1, zeros + ones, i - ones)
         return i
 
@@ -59,6 +67,29 @@ class WaveletMatrix:
         return self.trace(c, i) - self.first[c]
 
 
+class RunLengths:
+    """The same over runs of equal symbols: a wavelet matrix holds one symbol a run, bits mark where runs start, and
+    the runs' lengths are summed up symbol by symbol. The contents of an anchor resemble each other, so their
+    Burrows-Wheeler transform has far fewer runs than symbols."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        new = np.ones(len(symbols), bool)
+        new[1:] = symbols[1:] != symbols[:-1]
+        self.marks, self.starts = Bits(new), np.append(np.flatnonzero(new), len(symbols)).astype(np.int32)
+        self.symbols = symbols[new]
+        self.matrix = WaveletMatrix(self.symbols)
+        lengths = np.diff(self.starts)[np.argsort(self.symbols, kind="stable")]
+        self.upto = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(self.symbols))]).astype(np.int32)
+
+    def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        # The run that the i-th symbol ends or lies in counts in part, those before it as a whole.
+        run = np.maximum(self.marks.rank(i) - 1, 0)
+        base = self.first[c]
+        whole = self.upto[base + self.matrix.rank(c, run)] - self.upto[base]
+        return whole + np.where(self.symbols[run] == c, i - self.starts[run], 0)
+
+
 class FMIndex:
     """Backward search over a text of symbols, for patterns of up to ``depth`` symbols."""
 
@@ -73,7 +104,7 @@ class FMIndex:
             have *= 2
         order = np.argsort(rank, kind="stable")
         self.less = np.concatenate([[0], np.cumsum(np.bincount(text))])
-        self.bwt = WaveletMatrix(text[order - 1])
+        self.bwt = RunLengths(text[order - 1])
 
     def repeated(self, at: np.ndarray, width: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the windows text[at : at + width] those that occur ``least`` times or more: their places in ``at``, and

@@ -119,6 +119,10 @@ def test_wavelet_matrix_and_index():
     w = fmindex.WaveletMatrix(s)
     c, i = rng.integers(0, 9, 200), rng.integers(0, 501, 200)
     assert list(w.rank(c, i)) == [int((s[:b] == a).sum()) for a, b in zip(c, i, strict=True)]
+    s = np.repeat(s, rng.integers(1, 6, 500))
+    packed, plain = fmindex.RunLengths(s), fmindex.WaveletMatrix(s)
+    c, i = np.repeat(np.arange(9), len(s) + 1), np.tile(np.arange(len(s) + 1), 9)
+    assert (packed.rank(c, i) == plain.rank(c, i)).all() and len(packed.symbols) < 500
     text = np.concatenate([rng.integers(1, 4, 300), [0]])
     lane, group = fmindex.FMIndex(text, 5).repeated(np.arange(296), 5, np.full(296, 2))
     grams = [tuple(text[a : a + 5]) for a in range(296)]
