@@ -9,8 +9,8 @@ anchor, with the number of their copies, to an index that finds the windows they
 share: hashes route, and what is removed is what the index has found.
 
 An anchor with more than HOT contents (the edge of a passage that is everywhere)
-takes another exact way: its windows become units of their own, which meet by
-128-bit digests in a plain aggregation, so no task gets all of them.
+is split further: its windows become contents of their own, routed by 128-bit
+digests, and the same index decides on them, so no task gets all of them.
 
 Documents go by their id. Where ids are null or repeated, rows are numbered in
 the order of ids (null last), files and rows, and go by that number.
@@ -164,26 +164,53 @@ def by_index(cut: DataFrame, s: Search) -> DataFrame:
 
 
 def by_window(cut: DataFrame, s: Search) -> DataFrame:
-    """The same for keys with very many contents: every window meets its equals in an aggregation."""
-    schema = "key bigint, content bigint, doc_id bigint, start bigint, i int, copies boolean, window binary"
+    """The same for keys with very many contents: every window is a content of its own.
 
-    def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    128-bit digests of windows rule out those that occur once. Of each other window the first and the last place are cut
+    out and meet in an index, dealt out by digest, which decides; so no task gets all windows of a key.
+    """
+    schema = "key bigint, content bigint, doc_id bigint, start bigint, i int, copies boolean, route bigint, digest bigint"
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
                 n = row["n"]
                 windows = s.cut(row["body"], [(i, i + s.width) for i in range(n)])
+                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(w) for w in windows), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[pa.array([row[c]] * n, pa.int64()) for c in ("key", "content", "doc_id")], pa.array(range(row["start"], row["start"] + n), pa.int64()),
-                        pa.array(range(n), pa.int32()), pa.array([row["copies"]] * n, pa.bool_()), pa.array([xxhash.xxh3_128_digest(w) for w in windows], pa.binary()),
+                        pa.array(range(n), pa.int32()), pa.array([row["copies"]] * n, pa.bool_()), pa.array(halves[:, 0].copy()), pa.array(halves[:, 1].copy()),
                     ],
-                    names=["key", "content", "doc_id", "start", "i", "copies", "window"],
+                    names=["key", "content", "doc_id", "start", "i", "copies", "route", "digest"],
                 )
 
-    rows = written(cut.mapInArrow(of_batches, schema), "windows")
-    met = rows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("times"), F.max("copies").alias("any_copies"))
-    back = rows.join(met.where("times > 1 or any_copies"), "window")
-    goes = ~(F.struct("doc_id", "start") == F.col("first")) if s.keep_first else F.lit(True)
+    rows = written(cut.mapInArrow(digests, schema), "windows")
+    place = F.struct("doc_id", "start", "key", "content", "i")
+    met = rows.groupBy("route", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("times"), F.max("copies").alias("copies"))
+    met = written(met.where("times > 1 or copies").drop("times"), "windows_met")
+
+    ends = met.select("route", "digest", "copies", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
+    # At most as many windows as one segment has.
+    wanted = ends.groupBy("at.key", "at.content").agg(F.collect_list(F.struct("route", "digest", "copies", "at.doc_id", "at.start", "at.i")).alias("parts"))
+    kinds = [("route", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())]
+    names = ["key", "content", "doc_id", "start", "n", "copies", "body"]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for body, parts in zip(b.column("body"), b.column("parts").to_pylist(), strict=True):
+                bodies = s.cut(body.as_py(), [(p["i"], p["i"] + s.width) for p in parts])
+                cols = [pa.array([p[c] for p in parts], t) for c, t in kinds]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([1] * len(parts), pa.int32()), pa.array([p["copies"] for p in parts], pa.bool_()), pa.array(bodies, pa.binary())], names=names)
+
+    alone = cut.select("key", "content", "body").join(wanted, ["key", "content"]).select("body", "parts")
+    alone = alone.mapInArrow(windows, "key bigint, content bigint, doc_id bigint, start bigint, n int, copies boolean, body binary")
+    found = by_index(alone, s).where("size(again) > 0").select(F.col("key").alias("route"), F.col("content").alias("digest"))
+    firsts = met.select("route", "digest", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
+    sure = written(firsts.join(found, ["route", "digest"], "left_semi"), "windows_found")
+
+    back = rows.join(sure, ["route", "digest"])
+    goes = (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")) if s.keep_first else F.lit(True)
     spans = lambda some: F.flatten(F.transform(F.array_sort(F.collect_set(F.when(some, F.col("i")))), lambda i: F.array(i, i + 1)))
     return back.groupBy("key", "content").agg(spans(goes).alias("gone"), spans(F.lit(True)).alias("again"))
 

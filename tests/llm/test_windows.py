@@ -98,11 +98,12 @@ def test_null_and_repeated_ids_and_empty_tables(spark, edge_docs, no_docs):
     assert fmindex.substring_dedup(no_docs).count() == 0 == bucket_refinement.suffix_dedup(no_docs).count()
 
 
-def test_what_the_index_does_not_find_stays(unique_docs, monkeypatch):
+@pytest.mark.parametrize("hot", [anchors.HOT, 1], ids=["index", "hot"])
+def test_what_the_index_does_not_find_stays(unique_docs, monkeypatch, hot):
     nothing = lambda bodies, n, where, copies: ([np.zeros(k, bool) for k in n], [np.zeros(k, bool) for k in n])
     for module, run in ((fmindex, fmindex.substring_dedup), (bucket_refinement, bucket_refinement.suffix_dedup)):
         monkeypatch.setattr(module, "SEARCH", dataclasses.replace(module.SEARCH, shared=nothing))
-        assert {r.n_removed for r in run(unique_docs).collect()} == {0}
+        assert {r.n_removed for r in run(unique_docs.where("doc_id <> 71"), hot).collect()} == {0}
 
 
 def test_queries(spark):
