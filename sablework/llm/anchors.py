@@ -186,13 +186,15 @@ def by_window(cut: DataFrame, s: Search) -> DataFrame:
                 )
 
     rows = written(cut.mapInArrow(digests, schema), "windows")
-    place = F.struct("doc_id", "start", "key", "content", "i")
+    place = F.struct("doc_id", "start")
     met = rows.groupBy("route", "digest").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count(F.lit(1)).alias("times"), F.max("copies").alias("copies"))
-    met = written(met.where("times > 1 or copies").drop("times"), "windows_met")
+    met = met.where("times > 1 or copies").drop("times")
+    back = rows.drop("copies").join(met, ["route", "digest"]).withColumns({"is_first": place == F.col("first"), "is_last": place == F.col("last")})
+    back = written(back.drop("first", "last"), "windows_met")
 
-    ends = met.select("route", "digest", "copies", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
     # At most as many windows as one segment has.
-    wanted = ends.groupBy("at.key", "at.content").agg(F.collect_list(F.struct("route", "digest", "copies", "at.doc_id", "at.start", "at.i")).alias("parts"))
+    ends = F.collect_list(F.struct("route", "digest", "copies", "doc_id", "start", "i")).alias("parts")
+    wanted = back.where("is_first or is_last").groupBy("key", "content").agg(ends)
     kinds = [("route", pa.int64()), ("digest", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64())]
     names = ["key", "content", "doc_id", "start", "n", "copies", "body"]
 
@@ -205,12 +207,10 @@ def by_window(cut: DataFrame, s: Search) -> DataFrame:
 
     alone = cut.select("key", "content", "body").join(wanted, ["key", "content"]).select("body", "parts")
     alone = alone.mapInArrow(windows, "key bigint, content bigint, doc_id bigint, start bigint, n int, copies boolean, body binary")
-    found = by_index(alone, s).where("size(again) > 0").select(F.col("key").alias("route"), F.col("content").alias("digest"))
-    firsts = met.select("route", "digest", F.col("first.doc_id").alias("first_doc"), F.col("first.start").alias("first_start"))
-    sure = written(firsts.join(found, ["route", "digest"], "left_semi"), "windows_found")
-
-    back = rows.join(sure, ["route", "digest"])
-    goes = (F.col("doc_id") != F.col("first_doc")) | (F.col("start") != F.col("first_start")) if s.keep_first else F.lit(True)
+    # What digests bring together and the index does not: none, or nearly.
+    lost = by_index(alone, s).where("size(again) = 0").select(F.col("key").alias("route"), F.col("content").alias("digest"))
+    back = back.join(written(lost.distinct(), "windows_lost"), ["route", "digest"], "left_anti")
+    goes = ~F.col("is_first") if s.keep_first else F.lit(True)
     spans = lambda some: F.flatten(F.transform(F.array_sort(F.collect_set(F.when(some, F.col("i")))), lambda i: F.array(i, i + 1)))
     return back.groupBy("key", "content").agg(spans(goes).alias("gone"), spans(F.lit(True)).alias("again"))
 

@@ -56,7 +56,7 @@ def regrouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int, twice: np.ndarray) -> np.ndarray:
     """Which suffixes share their first ``width`` bytes with another; ``left``: bytes from a suffix to its text's end;
-    ``twice``: suffixes that stand for two at least, so they never are alone in their bucket.
+    ``twice``: suffixes that stand for two at least, so they share with another even where they are alone in their bucket.
 
     Numbers of buckets stay below 2^31: there are at most some hundred million suffixes in an index.
     """
@@ -71,7 +71,9 @@ def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int, twice: np.ndar
     place, shared = regrouped(gram[active])
     del gram
     bucket[active] = n + place
-    active = active[shared | twice[active]]
+    # A suffix that is alone needs no further round.
+    out = twice & (left >= width)
+    active = active[shared]
     numbers = 2 * n
     while depth < width and len(active):
         step = min(depth, width - depth)
@@ -79,10 +81,9 @@ def equal_suffixes(raw: np.ndarray, left: np.ndarray, width: int, twice: np.ndar
         # A bucket splits by the buckets of the suffixes ``step`` bytes later, as the last round left them.
         place, shared = regrouped(bucket[active].astype(np.int64) * numbers + bucket[active + step])
         bucket[active] = numbers + place
-        active = active[shared | twice[active]]
+        active = active[shared]
         numbers += n
         depth += step
-    out = np.zeros(n, bool)
     out[active] = True
     return out
 

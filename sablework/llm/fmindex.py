@@ -107,16 +107,20 @@ class FMIndex:
         self.bwt = RunLengths(text[order - 1])
 
     def repeated(self, at: np.ndarray, width: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the windows text[at : at + width] those that occur ``least`` times or more: their places in ``at``, and
-        their interval's start, which stands for the window's content."""
-        lane = np.arange(len(at))
+        """Of the windows text[at : at + width] those that occur ``least`` (1 or 2) times or more: their places in
+        ``at``, and a number that stands for the window's content (its interval's start where it occurs again)."""
+        lane, alone = np.arange(len(at)), []
         lo, hi = np.zeros(len(at), np.int64), np.full(len(at), len(self.text), np.int64)
         for step in reversed(range(width)):
             c = self.text[at[lane] + step]
             lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
-            alive = hi - lo >= least[lane]
-            lane, lo, hi = lane[alive], lo[alive], hi[alive]
-        return lane, lo
+            # What occurs once ends here: no longer match of it has company.
+            more = hi - lo > 1
+            alone.append(lane[~more])
+            lane, lo, hi = lane[more], lo[more], hi[more]
+        one = np.concatenate(alone)
+        one = one[least[one] == 1]
+        return np.concatenate([lane, one]), np.concatenate([lo, len(self.text) + one])
 
 
 def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
