@@ -34,16 +34,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrow_words import Words, pieces, split_words, sums_by_text
+from .arrow_words import Words, pieces, split_words
 from .common import documents, long_id, small_batches, written
 
 BUCKETS, DIM, NONZERO, WINDOW = 1 << 15, 64, 4, 2
 TRAIN_ROWS = 20_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY, FOLDS, SEED = 32, 60, 128, 0.005, 1e-4, 4, 12
-#: Vectors of length 1 are kept as integers of this unit, so that sums don't depend on what a text is pooled with.
+#: Vectors of length 1 travel as integers of this unit.
 UNIT = 1 << 14
-#: Bytes of texts that are pooled at a time: each word is DIM numbers there.
-POOL_BYTES = 1 << 20
+#: Words of a text that are summed at a time.
+POOLED_WORDS = 4096
 #: Runs of signs stand apart from the words beside them.
 SIGNS = r"([^\p{L}\p{N}\s]+)"
 
@@ -53,7 +53,7 @@ def sign_words(texts: pa.Array) -> Words:
 
 
 def buckets_of(distinct: pa.Array) -> np.ndarray:
-    return np.fromiter((zlib.crc32(w.encode()) % BUCKETS for w in distinct.to_pylist()), np.int64, len(distinct))
+    return np.array([zlib.crc32(w) for w in distinct.cast(pa.binary()).to_pylist()], np.int64) % BUCKETS
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -69,22 +69,22 @@ def context_vectors(docs: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places, signs = index_vectors()
-        total = np.zeros(BUCKETS * DIM, np.int64)
+        total = np.zeros((BUCKETS, DIM), np.int64)
         for batch in batches:
             column = batch.column("text")
             for start, stop in pieces(column):
                 words = sign_words(column.slice(start, stop - start))
-                rows, owner = buckets_of(words.distinct).take(words.codes), words.owner
+                rows, owner, codes = buckets_of(words.distinct), words.owner, words.codes
+                at, weight = places[rows], signs[rows]
+                local = np.zeros(len(rows) * DIM)
                 for gap in range(1, WINDOW + 1):
                     near = np.flatnonzero(owner[gap:] == owner[:-gap])
-                    a, b = rows[near], rows[near + gap]
-                    # Pairs recur, so each is added once with its number.
-                    pair, times = np.unique(np.concatenate([a * BUCKETS + b, b * BUCKETS + a]), return_counts=True)
-                    at = (pair // BUCKETS * DIM)[:, None] + places[pair % BUCKETS]
-                    np.add.at(total, at, signs[pair % BUCKETS] * times[:, None])
-        table = total.reshape(BUCKETS, DIM)
-        some = np.flatnonzero(table.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(table[some, i]) for i in range(DIM)]], names=["bucket", *names])
+                    for a, b in ((codes[near], codes[near + gap]), (codes[near + gap], codes[near])):
+                        for k in range(NONZERO):
+                            local += np.bincount(a * DIM + at[b, k], weight[b, k], len(local))
+                np.add.at(total, rows, local.astype(np.int64).reshape(-1, DIM))
+        some = np.flatnonzero(total.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(total[some, i]) for i in range(DIM)]], names=["bucket", *names])
 
     schema = ", ".join(["bucket bigint", *[f"{c} bigint" for c in names]])
     return docs.select("text").mapInArrow(gather, schema).groupBy("bucket").agg(*[F.sum(c).alias(c) for c in names])
@@ -105,22 +105,29 @@ FEATURES = 2 * DIM + 3
 def pooled(words: Words, vectors: np.ndarray) -> np.ndarray:
     """FEATURES numbers of each text: mean and spread of its words' vectors, how alike neighbours are, how alike words
     are to the mean, and the logarithm of the number of words."""
-    each = vectors[buckets_of(words.distinct)].take(words.codes, axis=0).astype(np.int64)
-    sizes, owner = words.sizes, words.owner
-    n = np.maximum(sizes, 1)
-    mean = np.column_stack([sums_by_text(each[:, i], words.ends) for i in range(DIM)]) / (UNIT * n[:, None])
-    square = np.column_stack([sums_by_text(each[:, i] ** 2, words.ends) for i in range(DIM)]) / (UNIT * UNIT * n[:, None])
-    spread = np.sqrt(np.maximum(square - mean**2, 0))
-    beside = np.einsum("ij,ij->i", each[1:], each[:-1]) * (owner[1:] == owner[:-1]) if len(each) else each[:, 0]
-    alike = sums_by_text(np.concatenate([beside, [0]]) if len(each) else beside, words.ends) / (UNIT * UNIT * np.maximum(sizes - 1, 1))
-    return np.column_stack([mean, spread, alike, np.linalg.norm(mean, axis=1), np.log1p(sizes)])
+    table = (vectors[buckets_of(words.distinct)] / np.float32(UNIT)).astype(np.float32)
+    out = np.zeros((len(words.sizes), FEATURES))
+    for i in np.flatnonzero(words.sizes):
+        codes = words.codes[words.ends[i] : words.ends[i + 1]]
+        n, total, square, alike = len(codes), np.zeros(DIM), np.zeros(DIM), 0.0
+        for at in range(0, n, POOLED_WORDS):
+            # One word more than are summed, as the neighbour of the last.
+            each = table.take(codes[at : at + POOLED_WORDS + 1], axis=0)
+            alike += float(np.einsum("ij,ij->", each[1:], each[:-1]))
+            each = each[:POOLED_WORDS]
+            total += each.sum(axis=0)
+            square += np.einsum("ij,ij->j", each, each)
+        mean = total / n
+        spread = np.sqrt(np.maximum(square / n - mean * mean, 0))
+        out[i] = [*mean, *spread, alike / max(n - 1, 1), np.sqrt(mean @ mean), np.log1p(n)]
+    return out
 
 
 def of_texts(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(column), FEATURES))
-    for start, stop in pieces(column, POOL_BYTES):
+    for start, stop in pieces(column):
         out[start:stop] = pooled(sign_words(column.slice(start, stop - start)), vectors)
-    return np.round(out, 9)
+    return np.round(out, 5)
 
 
 @dataclass

@@ -46,8 +46,8 @@ def test_pooling():
     x = quality.of_texts(texts, vectors)
     v = lambda w: vectors[quality.buckets_of(pa.array([w]))[0]] / quality.UNIT
     rows = np.array([v("one"), v("two"), v("***"), v("two")])
-    assert np.allclose(x[0], [*rows.mean(axis=0), *rows.std(axis=0), (rows[1:] * rows[:-1]).sum() / 3, np.linalg.norm(rows.mean(axis=0)), np.log1p(4)], atol=1e-6)
-    assert not x[[1, 2, 4]].any() and np.isclose(x[5, -3], 1, atol=1e-3) and np.allclose(x[5, quality.DIM : 2 * quality.DIM], 0, atol=1e-6)
+    assert np.allclose(x[0], [*rows.mean(axis=0), *rows.std(axis=0), (rows[1:] * rows[:-1]).sum() / 3, np.linalg.norm(rows.mean(axis=0)), np.log1p(4)], atol=2e-5)
+    assert not x[[1, 2, 4]].any() and np.isclose(x[5, -3], 1, atol=1e-3) and np.allclose(x[5, quality.DIM : 2 * quality.DIM], 0, atol=1e-3)
 
 
 def test_network_and_temperature():
@@ -89,7 +89,7 @@ def test_long_texts():
     began = time.process_time()
     vectors = np.zeros((quality.BUCKETS, quality.DIM), np.int16)
     x = quality.of_texts(pa.array(["lo mi *** " * 200_000, "lo"]), vectors)
-    assert x[0, -1] == round(float(np.log1p(600_000)), 9) and time.process_time() - began < 30
+    assert x[0, -1] == round(float(np.log1p(600_000)), 5) and time.process_time() - began < 30
 
 
 def test_equal_texts_have_equal_scores_whatever_is_beside_them():
