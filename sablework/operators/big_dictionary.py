@@ -1,33 +1,416 @@
-"""Dictionaries too large for a plan: words as a table, met by the tokens of the texts in a join.
+"""Dictionaries of any size inside the engine: exact terms of several words, and tokens that are nearly one of many words.
 
-For words that are one token each. The join is an ordinary one on the folded
-token: Spark broadcasts a small list by its measured size and shuffles a large
-one. A token stands alone, so no two finds of a text contain one another.
+A term matches between two ASCII word boundaries, so it is a sequence of whole runs of word and other characters. Terms
+make a tree of runs (TermIndex), which travels to the workers once, if the list's measured size is below LIST_BYTES; texts
+of a batch then walk the tree together, run by run. A longer list stays a table: every stretch between two boundaries that has
+the shape of some term is looked up in a join.
+
+Near tokens come from a join too: tokens and words that are at most ``most`` edits apart share a signature, what is left
+of them (or of one of their halves) after deletions. Only the distinct tokens of the texts take part, and a token only needs one
+word that is near, which a semi-join finds. What is near then goes back to the texts as a set, or as a join where it is large.
+
+Folding is one character to one (as in case-insensitive patterns), but U+017F and U+212A don't count as word characters.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+from dataclasses import dataclass
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablework.functions.dialect import WORD, to_java
-from sablework.functions.spans import find_all, sql_name
+from sablework.functions.runs import Runs, ascii_word, cut, letters
+from sablework.functions.spans import MATCH, find_all, no_matches, sql_name
+from sablework.operators.detectors import DICTIONARY_STRATEGIES, FUZZY, TOKEN, as_spans
+from sablework.operators.metrics import UNICODE_SPACE
+from sablework.plans.policy import Block, PolicyError
+from sablework.sources.stores import scratch_dir
 
 #: Maximal runs of ASCII word characters: the words between boundaries.
 ASCII_WORD = f"[{WORD}]+"
+#: Lists (of terms, or of near tokens) of at most so many bytes travel to the workers; longer ones are joined.
+LIST_BYTES = 64 << 20
+#: Words of up to so many characters are signed whole, longer ones by halves.
+SHORT = 8
+
+# --- lists of words ---------------------------------------------------------------------------------------------------
+
+
+def trimmed(word: Column) -> Column:
+    return F.regexp_replace(word, rf"^{UNICODE_SPACE}|{UNICODE_SPACE}\z", "")
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """word, position: the lines of a text file (or folder of these) in their order."""
+    try:
+        lines = spark.read.text(path, lineSep="\n")
+    except AnalysisException as e:
+        raise PolicyError(f"dictionary file {path}: {e}") from e
+    # Within a block, the rows of a file are numbered in their order.
+    at = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.col("value").alias("word"), at.alias("position"))
+
+
+def first_spellings(words: DataFrame) -> DataFrame:
+    """word, position: trimmed, without empty ones; of spellings that differ in case only, the first by position."""
+    kept = words.select(trimmed(F.col("word")).alias("word"), "position").where("word <> ''")
+    first = kept.groupBy(F.lower("word").alias("folded")).agg(F.min(F.struct("position", "word")).alias("f"))
+    return first.select("f.word", "f.position")
+
+
+def word_table(spark: SparkSession, block: Block, word_lists: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """word, place (a long): the words of a block, its terms first, then its files in their order. A file is the table of that
+    name in ``word_lists`` (word, position), or a text file that Spark reads."""
+    terms = list(block.options.get("terms", ()))
+    # Every list is put in order by itself, as positions differ in type.
+    parts = [spark.createDataFrame(list(enumerate(terms)), "position bigint, word string")]
+    given = word_lists or {}
+    parts += [given[f] if f in given else file_lines(spark, f) for f in block.options.get("files", ())]
+    place = lambda i: F.struct(F.lit(i).alias("list"), F.monotonically_increasing_id().alias("row")).alias("position")
+    out = reduce(DataFrame.unionByName, [p.orderBy("position").select("word", place(i)) for i, p in enumerate(parts)])
+    path = f"{scratch_dir(spark)}/words"
+    first_spellings(out).orderBy("position").select("word", F.monotonically_increasing_id().alias("place")).write.parquet(path)
+    return spark.read.schema("word string, place bigint").parquet(path)
 
 
 def distinct_words(words: DataFrame, column: str = "word", case_sensitive: bool = False) -> DataFrame:
-    """key, word: trimmed, without empty ones; of spellings that differ in case only, the first in order."""
-    trimmed = words.select(F.trim(column).alias("word")).where("word <> ''")
-    folded = trimmed.groupBy(F.lower("word").alias("folded")).agg(F.min("word").alias("word"))
-    return folded.select((F.col("word") if case_sensitive else F.col("folded")).alias("key"), "word")
+    """key, word: the first spelling of each word, by ``position`` where the table has one, else by file and row; a derived
+    table without positions has no order, and there the smallest spelling counts as the first."""
+    if "position" in words.columns:
+        placed = words.select(F.col(column).alias("word"), "position")
+    else:
+        try:
+            placed = words.select(F.col(column).alias("word"), F.struct("_metadata.file_path", "_metadata.row_index").alias("position"))
+        except AnalysisException:
+            placed = words.select(F.col(column).alias("word"), F.lit(0).alias("position"))
+    first = first_spellings(placed)
+    return first.select((F.col("word") if case_sensitive else F.lower("word")).alias("key"), "word")
 
 
 def dictionary_rows(df: DataFrame, words: DataFrame, doc_id: str = "doc_id", text: str = "text", case_sensitive: bool = False) -> DataFrame:
-    """One row per find: doc_id, character_start, character_end (bytes), token, word. Words of several tokens never match."""
+    """One row per find of words that are one token each: doc_id, character_start, character_end (bytes), token, word."""
     fold = (lambda c: c) if case_sensitive else F.lower
     tokens = df.select(F.col(doc_id).alias("doc_id"), F.explode_outer(find_all(sql_name(text), to_java(ASCII_WORD), 1.0)).alias("t")).where("t is not null")
     keyed = tokens.select("doc_id", F.col("t.start").alias("character_start"), F.col("t.end").alias("character_end"), F.col("t.token").alias("token"))
     found = keyed.withColumn("key", fold(F.col("token"))).join(distinct_words(words, "word", case_sensitive), "key")
     return found.select("doc_id", "character_start", "character_end", "token", "word")
+
+
+# --- exact terms ------------------------------------------------------------------------------------------------------
+
+
+def fold(text: str) -> str:
+    """Case folded, one character to one."""
+    if text.isascii():
+        return text.lower()
+    one = lambda new, c: new if len(new) == 1 else c
+    return "".join(one((up := one(c.upper(), c)).lower(), up) for c in text)
+
+
+class TermIndex:
+    """A tree of runs: ``edges`` (sorted) are pairs of a node and a run's number, ``ends`` says which term ends at a node."""
+
+    def __init__(self, words: list[str], exact_case: bool) -> None:
+        self.exact_case = exact_case
+        runs = cut(pa.array([w if exact_case else fold(w) for w in words], pa.string()), ascii_word())
+        encoded = runs.texts.dictionary_encode()
+        self.runs = {t: i for i, t in enumerate(encoded.dictionary.to_pylist())}
+        codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        size = np.bincount(runs.row, minlength=len(words))
+        first = np.concatenate([[0], np.cumsum(size)])[:-1]
+        node, nodes, edges, targets, ends = np.zeros(len(words), np.int64), 1, [], [], []
+        for depth in range(int(size.max(initial=0))):
+            going = np.flatnonzero(size > depth)
+            keys, inverse = np.unique(node[going] * len(self.runs) + codes[first[going] + depth], return_inverse=True)
+            node[going] = nodes + inverse
+            edges.append(keys)
+            targets.append(np.arange(nodes, nodes + len(keys)))
+            nodes += len(keys)
+        order = np.argsort(np.concatenate([[], *edges]).astype(np.int64), kind="stable")
+        self.edges = np.concatenate([np.zeros(0, np.int64), *edges])[order]
+        self.targets = np.concatenate([np.zeros(0, np.int64), *targets])[order]
+        self.ends = np.full(nodes, -1, np.int64)
+        self.ends[node[::-1]] = np.arange(len(words))[::-1]
+
+    def find(self, runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and last run and term of every place where a term stands between boundaries, whatever else is there."""
+        encoded = runs.texts.dictionary_encode()
+        known = [self.runs.get(t if self.exact_case else fold(t), -1) for t in encoded.dictionary.to_pylist()]
+        code = np.array(known, np.int64)[encoded.indices.to_numpy(zero_copy_only=False)]
+        # A text's edge is a boundary only beside a word character.
+        edge = np.ones(len(code) + 1, bool)
+        edge[1:-1] = runs.row[1:] != runs.row[:-1]
+        begin = np.flatnonzero((code >= 0) & (runs.member | ~edge[:-1])) if len(code) else np.zeros(0, np.int64)
+        may_end = runs.member | ~edge[1:]
+        node, depth, found = np.zeros(len(begin), np.int64), 0, []
+        while len(begin) and len(self.edges):
+            at = begin + depth
+            inside = at < len(code)
+            inside[inside] = (runs.row[at[inside]] == runs.row[begin[inside]]) & (code[at[inside]] >= 0)
+            begin, node, at = begin[inside], node[inside], at[inside]
+            key = node * len(self.runs) + code[at]
+            place = np.minimum(np.searchsorted(self.edges, key), len(self.edges) - 1)
+            hit = self.edges[place] == key
+            begin, node, at = begin[hit], self.targets[place[hit]], at[hit]
+            whole = (self.ends[node] >= 0) & may_end[at]
+            found.append((begin[whole], at[whole], self.ends[node[whole]]))
+            depth += 1
+        return tuple(np.concatenate([np.zeros(0, np.int64), *[f[i] for f in found]]) for i in range(3))
+
+
+def settled(lo: np.ndarray, hi: np.ndarray, term: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Which matches stay, in the order of discovery: each term's from left to right without overlap, term by term, but
+    none that one of an earlier term contains. Places count over all rows, so rows never overlap."""
+    order = np.lexsort((lo, term, row))
+    l, h, same = lo[order], hi[order], np.zeros(len(order), bool)
+    same[1:] = (term[order][1:] == term[order][:-1]) & (row[order][1:] == row[order][:-1]) & (l[1:] < h[:-1])
+    stay, end, before = np.ones(len(order), bool), 0, -1
+    for i in np.flatnonzero(same):
+        # In a chain of overlaps, each is judged by the last that stays.
+        end = end if before == i - 1 else h[i - 1]
+        before, stay[i] = i, l[i] >= end
+        end = h[i] if stay[i] else end
+    order = order[stay]
+    by_start = order[np.lexsort((term[order], -hi[order], lo[order]))]
+    l, h, t = lo[by_start], hi[by_start], term[by_start]
+    reach = np.concatenate([[-1], np.maximum.accumulate(h)[:-1]]) if len(h) else h
+    longest, drop = int((h - l).max(initial=0)), np.zeros(len(h), bool)
+    for i in np.flatnonzero(reach >= h):
+        j = i - 1
+        while j >= 0 and l[j] >= h[i] - longest and not drop[i]:
+            drop[i] = h[j] >= h[i] and t[j] < t[i]
+            j -= 1
+    gone = by_start[drop]
+    return order[~np.isin(order, gone)] if len(gone) else order
+
+
+ARROW_MATCH = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("confidence", pa.float64())]))
+
+
+def match_lists(rows: int, row: np.ndarray, start: np.ndarray, end: np.ndarray, tokens: list[str], confidence: float) -> pa.Array:
+    """One list of matches per row, of matches that are sorted by row."""
+    fields = [pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(tokens, pa.string()), pa.array(np.full(len(row), confidence))]
+    items = pa.StructArray.from_arrays(fields, fields=list(ARROW_MATCH.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), items, type=ARROW_MATCH)
+
+
+def exact_matches(texts: pa.Array, index: TermIndex) -> pa.Array:
+    runs = cut(texts, ascii_word())
+    begin, last, term = index.find(runs)
+    row, lo, hi = runs.row[begin], runs.lo[begin], runs.hi[last]
+    kept = settled(lo, hi, term, row)
+    row, lo, hi = row[kept], lo[kept], hi[kept]
+    tokens = [runs.token(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    return match_lists(len(texts), row, lo - runs.base[row], hi - runs.base[row], tokens, 1.0)
+
+
+# --- near tokens ------------------------------------------------------------------------------------------------------
+
+
+def _with_deletions(value: str, most: int) -> str:
+    """SQL: a string and all that is left of it after deleting up to ``most`` characters, as an array."""
+    fewer = "if(length(x) = 0, cast(array() as array<string>), transform(sequence(1, length(x)), i -> concat(substring(x, 1, i - 1), substring(x, i + 1))))"
+    level, every = f"array({value})", [f"array({value})"]
+    for _ in range(most):
+        level = f"array_distinct(flatten(transform({level}, x -> {fewer})))"
+        every.append(level)
+    return f"array_distinct(concat({', '.join(every)}))"
+
+
+def _signed(parts: list[str]) -> Column:
+    return F.expr(f"array_distinct(transform(concat({', '.join(parts)}), s -> xxhash64(s)))")
+
+
+def _tagged(tag: str, values: str) -> str:
+    return f"transform({values}, s -> concat('{tag}', s))"
+
+
+def word_signatures(words: DataFrame, most: int) -> DataFrame:
+    """word, sig of a table of folded words."""
+    none, half = "cast(array() as array<string>)", most // 2
+    whole = f"if(length(word) <= {SHORT}, {_tagged('w', _with_deletions('word', most))}, {none})"
+    halves = [("l", "substring(word, 1, length(word) div 2)"), ("r", "substring(word, length(word) div 2 + 1)")]
+    parts = [f"if(length(word) > {SHORT}, {_tagged(t, _with_deletions(h, half))}, {none})" for t, h in halves]
+    return words.select("word", F.explode(_signed([whole, *parts])).alias("sig"))
+
+
+def token_signatures(tokens: DataFrame, most: int) -> DataFrame:
+    """token, folded, sig: signatures of which it shares one with every word at most ``most`` edits away.
+
+    Of two texts that far apart, some left parts and the right parts that go with them are, one or the other, at most half as many edits apart.
+    """
+    none, half, n = "cast(array() as array<string>)", most // 2, "length(folded)"
+    whole = f"if({n} <= {SHORT + most}, {_tagged('w', _with_deletions('folded', most))}, {none})"
+    low, high = f"greatest({SHORT + 1}, {n} - {most})", f"({n} + {most})"
+    lefts = f"sequence(greatest(0, {low} div 2 - {half}), least({n}, {high} div 2 + {half}))"
+    rights = f"sequence(greatest(0, ({low} + 1) div 2 - {half}), least({n}, ({high} + 1) div 2 + {half}))"
+    cuts = [("l", lefts, "substring(folded, 1, cast(k as int))"), ("r", rights, "right(folded, cast(k as int))")]
+    parts = [f"if({n} + {most} > {SHORT}, flatten(transform({ks}, k -> {_tagged(t, _with_deletions(piece, half))})), {none})" for t, ks, piece in cuts]
+    return tokens.select("token", "folded", F.explode(_signed([whole, *parts])).alias("sig"))
+
+
+def near_tokens(tokens: DataFrame, words: DataFrame, most: int, case_sensitive: bool = False) -> DataFrame:
+    """Of distinct tokens (token) those that are 1 to ``most`` edits from some word (word), and equal to none."""
+    folded = (lambda c: F.col(c)) if case_sensitive else F.lower
+    keys = words.select(folded("word").alias("word")).distinct()
+    longest = F.coalesce(F.max(F.length("word")), F.lit(-1)) + most
+    limit = keys.agg(longest.alias("n")).first().n
+    given = tokens.select("token", folded("token").alias("folded")).where(F.length("folded") <= limit)
+    signed = token_signatures(given.join(keys, F.col("folded") == F.col("word"), "left_anti"), most).alias("t")
+    other = word_signatures(keys, most).alias("w")
+    near = (F.col("t.sig") == F.col("w.sig")) & (F.levenshtein(F.col("t.folded"), F.col("w.word"), most) >= 0)
+    return signed.join(other, near, "left_semi").select("token").distinct()
+
+
+def near_matches(texts: pa.Array, exact: pa.Array, near: frozenset[str], confidence: float) -> pa.Array:
+    """The tokens of ``near`` that no exact match contains."""
+    runs = cut(texts, letters())
+    encoded = runs.texts.dictionary_encode()
+    some = np.array([*(t in near for t in encoded.dictionary.to_pylist()), False], bool)
+    at = np.flatnonzero(runs.member & some[encoded.indices.to_numpy(zero_copy_only=False)]) if len(runs.lo) else np.zeros(0, np.int64)
+    row, lo, hi = runs.row[at], runs.lo[at], runs.hi[at]
+    # Ends of exact matches, as far as any of those that begin before.
+    owner = np.repeat(np.arange(len(texts)), exact.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    held = exact.flatten()
+    start, end = (held.field(f).to_numpy(zero_copy_only=False) + runs.base[owner] for f in ("start", "end"))
+    order = np.argsort(start, kind="stable")
+    reach = np.concatenate([[-1], np.maximum.accumulate(end[order])]) if len(end) else np.array([-1])
+    free = reach[np.searchsorted(start[order], lo, side="right")] < hi
+    row, lo, hi = row[free], lo[free], hi[free]
+    tokens = [runs.token(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+    return match_lists(len(texts), row, lo - runs.base[row], hi - runs.base[row], tokens, confidence)
+
+
+# --- the detector -----------------------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How many runs a term has, and whether the first is of word characters."""
+
+    runs: int
+    word_first: bool
+
+
+class LargeDictionaryDetector:
+    """As DictionaryDetector, for lists of any size: ``words`` is a table as word_table() makes it."""
+
+    filter_type = "custom-dictionary"
+
+    def __init__(self, block: Block, words: DataFrame, list_bytes: int = LIST_BYTES) -> None:
+        self.block, self.words, self.list_bytes = block, words, list_bytes
+        self.exact_case = bool(block.options.get("caseSensitive"))
+        self.fuzzy = block.options.get("fuzzy") or ""
+        self.spark = words.sparkSession
+        self.travels = self._bytes(words, "word") <= list_bytes
+
+    def _bytes(self, table: DataFrame, column: str) -> int:
+        # Each entry costs more than its text.
+        return table.agg(F.coalesce(F.sum(F.octet_length(column) + 64), F.lit(0)).alias("n")).first().n
+
+    def attach(self, df: DataFrame, text: str, name: str) -> DataFrame:
+        """``df`` with a column of matches. Rows are numbered and written first where something has to be joined to them."""
+        if df.isStreaming and (self.fuzzy or not self.travels):
+            raise ValueError("a stream can search a large list only for exact terms, and only if the list travels; use foreachBatch for others")
+        if self.travels:
+            index = self.spark.sparkContext.broadcast(TermIndex([r.word for r in self.words.orderBy("place").collect()], self.exact_case))
+
+            @F.arrow_udf(MATCH)
+            def exact(texts: pa.Array) -> pa.Array:
+                return exact_matches(texts, index.value)
+
+            found = df.withColumn(name, exact(F.col(text)))
+        else:
+            found = self._exact_by_join(self._numbered(df, f"{name}_row"), text, name, f"{name}_row")
+        if self.fuzzy:
+            found = self._with_near(df, found, text, name, f"{name}_row")
+        return found.drop(f"{name}_row")
+
+    def _numbered(self, df: DataFrame, row: str) -> DataFrame:
+        path = f"{scratch_dir(self.spark)}/rows"
+        df.withColumn(row, F.monotonically_increasing_id()).write.parquet(path)
+        return self.spark.read.parquet(path)
+
+    def _exact_by_join(self, rows: DataFrame, text: str, name: str, row_name: str) -> DataFrame:
+        exact_case = self.exact_case
+
+        @F.arrow_udf("struct<runs:int,word_first:boolean>")
+        def shape(words: pa.Array) -> pa.Array:
+            runs = cut(words, ascii_word())
+            firsts = np.searchsorted(runs.row, np.arange(len(words)))
+            return pa.StructArray.from_arrays([pa.array(np.bincount(runs.row, minlength=len(words)).astype(np.int32)), pa.array(runs.member[firsts])], names=["runs", "word_first"])
+
+        # Of terms of up to n runs there are at most 2 n shapes.
+        shapes = [Shape(*r.s) for r in self.words.select(shape("word").alias("s")).distinct().collect()]
+        found = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("token", pa.string()), ("key", pa.string())]))
+
+        @F.arrow_udf("array<struct<start:int,end:int,token:string,key:string>>")
+        def stretches(texts: pa.Array) -> pa.Array:
+            runs = cut(texts, ascii_word())
+            edge = np.ones(len(runs.row) + 1, bool)
+            edge[1:-1] = runs.row[1:] != runs.row[:-1]
+            begins, lasts = [], []
+            for s in shapes:
+                begin = np.flatnonzero(runs.member == s.word_first)[: len(runs.row)]
+                begin = begin[begin + s.runs <= len(runs.row)]
+                last = begin + s.runs - 1
+                fits = (runs.row[begin] == runs.row[last]) & (runs.member[begin] | ~edge[begin]) & (runs.member[last] | ~edge[last + 1])
+                begins.append(begin[fits])
+                lasts.append(last[fits])
+            begin, last = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (begins, lasts))
+            order = np.argsort(runs.row[begin], kind="stable")
+            begin, last = begin[order], last[order]
+            row, lo, hi = runs.row[begin], runs.lo[begin], runs.hi[last]
+            tokens = [runs.token(a, b) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+            fields = [pa.array((x - runs.base[row]).astype(np.int32)) for x in (lo, hi)]
+            fields += [pa.array(tokens, pa.string()), pa.array(tokens if exact_case else [fold(t) for t in tokens], pa.string())]
+            items = pa.StructArray.from_arrays(fields, fields=list(found.value_type))
+            return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(texts) + 1)).astype(np.int32)), items, type=found)
+
+        @F.arrow_udf("string")
+        def folded(words: pa.Array) -> pa.Array:
+            return words if exact_case else pa.array([fold(w) for w in words.to_pylist()], pa.string())
+
+        @F.arrow_udf(MATCH)
+        def settle(lists: pa.Array) -> pa.Array:
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            items = lists.flatten()
+            start, end, place = (items.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "end", "place"))
+            gap = int(end.max(initial=0)) + 1
+            kept = settled(start + row * gap, end + row * gap, place, row)
+            return match_lists(len(lists), row[kept], start[kept], end[kept], items.field("token").take(pa.array(kept)).to_pylist(), 1.0)
+
+        terms = self.words.select(folded("word").alias("key"), "place")
+        each = rows.select(row_name, F.explode(stretches(F.col(text))).alias("s")).select(row_name, "s.*")
+        hits = each.join(terms, "key").groupBy(row_name).agg(F.collect_list(F.struct("start", "end", "token", "place")).alias("hits"))
+        return rows.join(hits.select(row_name, settle("hits").alias(name)), row_name, "left").withColumn(name, F.coalesce(name, no_matches()))
+
+    def _with_near(self, df: DataFrame, found: DataFrame, text: str, name: str, row: str) -> DataFrame:
+        most, confidence = FUZZY.get(self.fuzzy, FUZZY["low"])
+        tokens = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(f"({TOKEN})"), 1)).alias("token")).distinct()
+        path = f"{scratch_dir(self.spark)}/near"
+        near_tokens(tokens, self.words, most, self.exact_case).write.parquet(path)
+        near = self.spark.read.schema("token string").parquet(path)
+        if self._bytes(near, "token") <= self.list_bytes:
+            held = self.spark.sparkContext.broadcast(frozenset(r.token for r in near.collect()))
+
+            @F.arrow_udf(MATCH)
+            def add(texts: pa.Array, exact: pa.Array) -> pa.Array:
+                return near_matches(texts, exact, held.value, confidence)
+
+            return found.withColumn(name, F.concat(F.col(name), add(F.col(text), F.col(name))))
+        rows, extra = found if row in found.columns else self._numbered(found, row), f"{name}_near"
+        each = rows.select(row, F.explode(find_all(sql_name(text), TOKEN, confidence)).alias("t")).select(row, "t", F.col("t.token").alias("token"))
+        added = each.join(near, "token", "left_semi").groupBy(row).agg(F.array_sort(F.collect_list("t")).alias(extra))
+        outside = lambda t: ~F.exists(F.col(name), lambda e: (t["start"] >= e["start"]) & (t["end"] <= e["end"]))
+        both = F.concat(F.col(name), F.filter(F.coalesce(extra, no_matches()), outside))
+        return rows.join(added, row, "left").withColumn(name, both).drop(extra)
+
+    def spans(self, matches: Column, context: Column) -> Column:
+        return as_spans(matches, self.block, self.filter_type, context, DICTIONARY_STRATEGIES)

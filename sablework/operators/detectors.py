@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from dataclasses import replace
 from typing import Protocol
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sablework.functions.dialect import quote, to_java
@@ -100,6 +101,8 @@ class RegexDetector:
 FUZZY = {"low": (1, 0.8), "medium": (2, 0.6), "high": (3, 0.4)}
 DICTIONARY_STRATEGIES = ("REDACT", "STATIC_REPLACE", "MASK")
 TOKEN = r"[\p{L}\p{Nd}']+"
+#: Lists of more words than that are searched as big_dictionary does, not by a pattern for each word.
+LARGE_LIST = 200
 
 
 def collect_words(block: Block, read_lines: Callable[[str], list[str]] | None = None) -> list[str]:
@@ -151,7 +154,26 @@ class DictionaryDetector:
         return as_spans(matches, self.block, self.filter_type, context, DICTIONARY_STRATEGIES)
 
 
-def compile_detectors(policy: Policy, models: list | None = None, read_lines: Callable[[str], list[str]] | None = None) -> list[Detector]:
+def dictionary_detector(block: Block, read_lines: Callable[[str], list[str]] | None = None, word_lists: Mapping[str, DataFrame] | None = None) -> Detector:
+    """``files`` are tables of ``word_lists``, or what ``read_lines`` gives, or else text files that the active session reads."""
+    from sablework.operators.big_dictionary import LargeDictionaryDetector, word_table
+
+    files, spark = block.options.get("files", ()), SparkSession.getActiveSession()
+    tables = any(f in (word_lists or {}) for f in files) or bool(files and spark and not read_lines)
+    if not tables:
+        words = collect_words(block, read_lines)
+        if len(words) <= LARGE_LIST or not spark:
+            return DictionaryDetector(block, words)
+        return LargeDictionaryDetector(block, word_table(spark, replace(block, options={"terms": words})))
+    words = word_table(spark, block, word_lists)
+    if words.limit(LARGE_LIST + 1).count() > LARGE_LIST:
+        return LargeDictionaryDetector(block, words)
+    return DictionaryDetector(block, [r.word for r in words.orderBy("place").collect()])
+
+
+def compile_detectors(
+    policy: Policy, models: list | None = None, read_lines: Callable[[str], list[str]] | None = None, word_lists: Mapping[str, DataFrame] | None = None
+) -> list[Detector]:
     """The enabled blocks of a policy as detectors in their fixed order: patterns, models, dictionaries."""
     from sablework.operators.model import ModelDetector
 
@@ -160,4 +182,4 @@ def compile_detectors(policy: Policy, models: list | None = None, read_lines: Ca
     for i, b in enumerate(policy.models):
         if b.enabled:
             out.append(ModelDetector(b, clients[i] if i < len(clients) else None))
-    return out + [DictionaryDetector(b, collect_words(b, read_lines)) for b in policy.dictionaries if b.enabled]
+    return out + [dictionary_detector(b, read_lines, word_lists) for b in policy.dictionaries if b.enabled]

@@ -112,3 +112,64 @@ ALL_KINDS: list[tuple[Kind, tuple[Pattern, ...]]] = [(k, k.patterns) for k in KI
 def of(key: str, option: str | None = None) -> list[tuple[Kind, tuple[Pattern, ...]]]:
     kind = next(k for k in KINDS if k.key == key)
     return [(kind, kind.options[option] if option else kind.patterns)]
+
+
+def large_list_sql(words_sql: str, source_sql: str, fold: bool = True, near: tuple[int, float] | None = None) -> str:
+    """Spans of a word list (word, position): terms grow run by run along the text's runs, whose ends are word boundaries.
+    ``near``: the most edits of a near token, and its confidence."""
+    key = (lambda c: f"lower({c})") if fold else (lambda c: c)
+    split = lambda c, one: f"string_split(regexp_replace({c}, '({one})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    runs = lambda c: split(c, "[0-9A-Za-z_]+")
+    fields = "'custom-dictionary' AS filter_type, token, '{{{REDACTED-custom-dictionary}}}' AS replacement"
+    spans = f"""
+WITH RECURSIVE w0 AS (SELECT regexp_replace(word, '^\\s+|\\s+$', '', 'g') AS word, position FROM ({words_sql})),
+w AS MATERIALIZED (SELECT arg_min(word, position) AS word, row_number() OVER (ORDER BY min(position)) AS place FROM w0 WHERE word <> '' GROUP BY lower(word)),
+wk AS MATERIALIZED (SELECT place, {key('word')} AS key, list_filter({runs(key('word'))}, lambda x: x <> '') AS parts FROM w),
+tree AS MATERIALIZED (SELECT DISTINCT array_to_string(parts[1:n], '') AS prefix FROM (SELECT parts, unnest(range(1, len(parts) + 1)) AS n FROM wk)),
+c AS ({source_sql}),
+p AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i, len(parts) AS n FROM (SELECT doc_id, {runs('text')} AS parts FROM c)),
+placed AS (SELECT doc_id, i, n, part, (sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS hi FROM p),
+cells AS MATERIALIZED (SELECT doc_id, i, {key('part')} AS key, part, (hi - strlen(part))::INT AS lo, hi FROM placed WHERE i BETWEEN 2 AND n - 1),
+walk AS (
+    SELECT doc_id, i AS last, 1 AS runs, lo, hi, key AS prefix, part AS token FROM cells JOIN tree ON prefix = key
+    UNION ALL
+    SELECT k.doc_id, k.last + 1, k.runs + 1, k.lo, x.hi, t.prefix, k.token || x.part
+    FROM walk k JOIN cells x ON x.doc_id = k.doc_id AND x.i = k.last + 1 JOIN tree t ON t.prefix = k.prefix || x.key
+),
+m0 AS MATERIALIZED (SELECT doc_id, lo, hi, token, place, runs FROM walk JOIN wk ON wk.key = walk.prefix),
+laps AS MATERIALIZED (
+    SELECT *, bool_or(lap) OVER (PARTITION BY doc_id, place) AS laps_once
+    FROM (SELECT *, coalesce(lag(hi) OVER (PARTITION BY doc_id, place ORDER BY lo) > lo, false) AS lap FROM m0)
+),
+nth AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, place ORDER BY lo) AS k FROM laps WHERE laps_once),
+chain AS (
+    SELECT doc_id, place, k, hi AS till, true AS kept FROM nth WHERE k = 1
+    UNION ALL
+    SELECT n.doc_id, n.place, n.k, CASE WHEN n.lo >= r.till THEN n.hi ELSE r.till END, n.lo >= r.till
+    FROM chain r JOIN nth n ON n.doc_id = r.doc_id AND n.place = r.place AND n.k = r.k + 1
+),
+m AS MATERIALIZED (
+    SELECT doc_id, lo, hi, token, place, runs FROM laps WHERE NOT laps_once
+    UNION ALL SELECT doc_id, lo, hi, token, place, runs FROM nth JOIN chain USING (doc_id, place, k) WHERE kept
+),
+held AS MATERIALIZED (SELECT doc_id, lo, hi, place FROM m WHERE runs > 1),
+s AS MATERIALIZED (
+    SELECT * FROM m a WHERE NOT EXISTS (SELECT 1 FROM held b WHERE b.doc_id = a.doc_id AND b.place < a.place AND b.lo <= a.lo AND b.hi >= a.hi)
+)"""
+    exact = f"SELECT doc_id, lo AS character_start, hi AS character_end, {fields}, 1.0::DOUBLE AS confidence FROM s"
+    if near is None:
+        return f"{spans} {exact}"
+    most, confidence = near
+    # Edits are counted in bytes there, so letters of several bytes become signs, which neither tokens nor words have.
+    bytewise = lambda c: f"translate({c}, 'àáâäçèéêëíîïñóôöùúûüß', '!#$%&()*+,-./:;<=>?@[')"
+    return f"""{spans},
+t0 AS (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM (SELECT doc_id, {split('text', "[\\p{L}\\p{Nd}'']+")} AS parts FROM c)),
+t1 AS (SELECT doc_id, i, part AS token, (sum(strlen(part)) OVER (PARTITION BY doc_id ORDER BY i))::INT AS hi FROM t0),
+t AS MATERIALIZED (SELECT doc_id, token, (hi - strlen(token))::INT AS lo, hi FROM t1 WHERE i % 2 = 0),
+close AS (
+    SELECT token FROM (SELECT v.token, levenshtein({bytewise(key('v.token'))}, {bytewise('wk.key')}) AS d FROM (SELECT DISTINCT token FROM t) v, wk)
+    GROUP BY token HAVING min(d) BETWEEN 1 AND {most}
+)
+{exact}
+UNION ALL SELECT doc_id, lo, hi, {fields}, {confidence}::DOUBLE FROM t JOIN close USING (token)
+WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.doc_id = t.doc_id AND s.lo <= t.lo AND s.hi >= t.hi)"""

@@ -22,7 +22,8 @@ SPAN_FIELDS = ("character_start", "character_end", "filter_type", "context", "co
 
 
 class Engine:
-    """``overlap``: "keep" (spans of different detectors may overlap, each is applied) or "drop" (contained ones go)."""
+    """``overlap``: "keep" (spans of different detectors may overlap, each is applied) or "drop" (contained ones go).
+    ``word_lists``: tables (word, position) that dictionaries name among their files."""
 
     def __init__(
         self,
@@ -32,11 +33,12 @@ class Engine:
         detectors: list[Detector] | None = None,
         overlap: str = "keep",
         read_lines: Callable[[str], list[str]] | None = None,
+        word_lists: Mapping[str, DataFrame] | None = None,
     ) -> None:
         if overlap not in ("keep", "drop"):
             raise ValueError(f"overlap is keep or drop, not {overlap!r}")
         self.policy, self.overlap = parse_policy(policy), overlap
-        self.detectors = compile_detectors(self.policy, models, read_lines) + list(detectors or [])
+        self.detectors = compile_detectors(self.policy, models, read_lines, word_lists) + list(detectors or [])
 
     @classmethod
     def from_yaml(cls, source: str, **more) -> Engine:
@@ -58,9 +60,15 @@ class Engine:
             free += "_"
         digit, names = f"{free}digit", [f"{free}m{i}" for i in range(len(self.detectors))]
         # Matches are columns of a projection of their own, so that what follows reads them and doesn't search again.
-        facts = df.withColumn(digit, F.rlike(F.col(text), F.lit("[0-9]"))) if names else df
+        # Detectors that need more than an expression of the text go first: they may have to write the rows.
+        given = df
+        for n, d in zip(names, self.detectors, strict=True):
+            if hasattr(d, "attach"):
+                given = d.attach(given, text, n)
+        facts = given.withColumn(digit, F.rlike(F.col(text), F.lit("[0-9]"))) if names else given
         of = lambda d: d.matches(sql_name(text), digit) if isinstance(d, RegexDetector) else d.matches(sql_name(text))
-        found = facts.withColumns({n: of(d) for n, d in zip(names, self.detectors, strict=True)}).drop(digit) if names else df
+        columns = {n: of(d) for n, d in zip(names, self.detectors, strict=True) if not hasattr(d, "attach")}
+        found = facts.withColumns(columns).drop(digit) if names else given
         out = self.spans_column([F.col(n) for n in names], where)
         return found.withColumn(spans, F.coalesce(out, F.array().cast(f"array<{SPAN}>"))).drop(*names)
 

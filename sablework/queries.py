@@ -11,11 +11,11 @@ from sablework.corpus import corpus, corpus_sql, pick
 from sablework.functions.random_values import GENERATORS, random_value
 from sablework.functions.spans import drop_contained, splice
 from sablework.operators.big_dictionary import dictionary_rows
-from sablework.operators.detectors import RegexDetector
+from sablework.operators.detectors import FUZZY, TOKEN, RegexDetector
 from sablework.operators.metrics import metrics, redactions_by_type
 from sablework.operators.model import Entity
 from sablework.operators.patterns import KINDS, STRICT_EMAIL
-from sablework.oracle import ALL_KINDS, COLUMNS, LUHN_SQL, POST_SQL, RANDOM_SQL, explain_sql, of, redact_sql, spans_sql
+from sablework.oracle import ALL_KINDS, COLUMNS, LUHN_SQL, POST_SQL, RANDOM_SQL, explain_sql, large_list_sql, of, redact_sql, spans_sql
 from sablework.plans.engine import Engine, redact_requests
 from sablework.plans.policy import Block, strategies_field, valid_policies
 from sablework.sources.ledger import Ledger
@@ -236,6 +236,53 @@ register(
 )
 
 
+# --- large dictionaries, through the engine ---------------------------------------------------------------------------
+def phrases(spark: SparkSession, sf: str) -> DataFrame:
+    """word, position: at each word of all benchmark items and then of all conversations, a phrase of 1 to 5 words by turns."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    longs = lambda *c: F.struct(*[x.cast("long").alias(n) for x, n in zip(c, "abc", strict=True)])
+    items = read("benchmark").select(longs(F.lit(0), F.col("item_id"), F.lit(0)).alias("at"), "text")
+    chats = read("conversations").select(longs(F.lit(1), F.col("conv_id"), F.col("turn")).alias("at"), "text")
+    cut = "transform(split(text, ' '), (w, i) -> array_join(slice(split(text, ' '), i + 1, 1 + i % 5), ' '))"
+    return items.unionByName(chats).select("at", F.posexplode(F.expr(cut)).alias("i", "word")).select("word", F.struct("at", "i").alias("position"))
+
+
+def chat_words(spark: SparkSession, sf: str) -> DataFrame:
+    """word, position: the words of all conversations."""
+    chats = spark.read.parquet(f"{sf}/conversations.parquet")
+    each = chats.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit(f"({TOKEN})"), 1)).alias("i", "word"))
+    return each.select("word", F.struct("conv_id", "turn", "i").alias("position"))
+
+
+def benchmark_items(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), F.lit("").alias("context"), "text")
+
+
+def _large(words: DataFrame, docs: DataFrame, **options) -> DataFrame:
+    return rows(Engine({"identifiers": {"dictionaries": [{"files": ["list"]} | options]}}, word_lists={"list": words}), docs)
+
+
+_PHRASES_SQL = (
+    "SELECT array_to_string(ws[i + 1 : i + 1 + i % 5], ' ') AS word, [a, b, c, i] AS position FROM (SELECT a, b, c, ws, unnest(range(len(ws))) AS i FROM ("
+    "SELECT 0 AS a, item_id AS b, 0 AS c, string_split(text, ' ') AS ws FROM benchmark UNION ALL SELECT 1, conv_id, turn, string_split(text, ' ') FROM conversations))"
+)
+_TOKENS = "regexp_extract_all(text, '[\\p{L}\\p{Nd}'']+')"
+_CHAT_WORDS_SQL = f"SELECT ts[i + 1] AS word, [conv_id, turn, i] AS position FROM (SELECT conv_id, turn, ts, unnest(range(len(ts))) AS i FROM (SELECT conv_id, turn, {_TOKENS} AS ts FROM conversations))"
+_ITEMS_SQL = "SELECT item_id AS doc_id, '' AS context, text FROM benchmark"
+register("dictionary_large", lambda spark, sf: _large(phrases(spark, sf), documents(spark, sf)), large_list_sql(_PHRASES_SQL, DOCS_SQL))
+register(
+    "dictionary_large_case_sensitive",
+    lambda spark, sf: _large(phrases(spark, sf), documents(spark, sf), caseSensitive=True),
+    large_list_sql(_PHRASES_SQL, DOCS_SQL, fold=False),
+)
+for _level, _near in FUZZY.items():
+    register(
+        f"dictionary_large_fuzzy_{_level}",
+        lambda spark, sf, level=_level: _large(chat_words(spark, sf), benchmark_items(spark, sf), fuzzy=level),
+        large_list_sql(_CHAT_WORDS_SQL, _ITEMS_SQL, near=_near),
+    )
+
+
 # --- models -----------------------------------------------------------------------------------------------------------
 class NamesOfClerks:
     """A stand-in for a model: finds the customer numbers' names."""
