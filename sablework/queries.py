@@ -15,6 +15,7 @@ from sablework.operators.detectors import FUZZY, TOKEN, RegexDetector
 from sablework.operators.metrics import metrics, redactions_by_type
 from sablework.operators.model import Entity
 from sablework.operators.patterns import KINDS, STRICT_EMAIL
+from sablework.operators.span_rows import drop_contained_rows
 from sablework.oracle import ALL_KINDS, COLUMNS, LUHN_SQL, POST_SQL, RANDOM_SQL, explain_sql, large_list_sql, of, redact_sql, spans_sql
 from sablework.plans.engine import Engine, redact_requests
 from sablework.plans.policy import Block, strategies_field, valid_policies
@@ -335,6 +336,24 @@ register(
 )
 
 
+def contained_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A few documents that hold all lines, as spans in the order of orders and lines."""
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    at = (F.col("l_partkey") % 1000).cast("int")
+    item = F.struct(F.concat("l_returnflag", "l_linestatus").alias("doc_id"), at.alias("start"), (at + F.col("l_quantity").cast("int")).alias("end"))
+    spans = lines.groupBy("l_orderkey", "l_linenumber").agg(F.max(item).alias("item")).select("item.*", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("n"))
+    return drop_contained_rows(spans).select("doc_id", F.col("start").alias("character_start"), F.col("end").alias("character_end"), "n")
+
+
+register(
+    "drop_contained_rows",
+    contained_rows,
+    "WITH i AS (SELECT l_orderkey * 10 + l_linenumber AS n, max({'d': l_returnflag || l_linestatus, 's': (l_partkey % 1000)::INT, 'e': (l_partkey % 1000)::INT + l_quantity::INT}) AS x FROM lineitem GROUP BY l_orderkey, l_linenumber), "
+    "r AS MATERIALIZED (SELECT n, x.d AS d, x.s AS s, x.e AS e FROM i) SELECT d AS doc_id, s AS character_start, e AS character_end, n FROM r a WHERE NOT EXISTS "
+    "(SELECT 1 FROM r b WHERE a.d = b.d AND b.n < a.n AND a.s >= b.s AND a.e <= b.e)",
+)
+
+
 def splice_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     text = F.lit("0123456789ABCDEF")
     one = lambda at, n, r: F.struct(
