@@ -39,19 +39,25 @@ def is_ignored(token: Column, block: Block) -> Column:
     return test
 
 
-def as_spans(matches: Column, block: Block, filter_type: str, context: Column, kinds: tuple[str, ...] = ()) -> Column:
+def span_structs(matches: Column, filter_type: str, context: Column, ignored: Callable[[Column], Column], instead: Callable[[Column], Column]) -> Column:
+    """The matches as spans; ``ignored`` and ``instead`` (the replacement) are of a token."""
+
     def span(m: Column) -> Column:
-        ignored = is_ignored(m["token"], block)
+        skip = ignored(m["token"])
         return F.struct(
             m["start"].alias("character_start"), m["end"].alias("character_end"), F.lit(filter_type).alias("filter_type"),
             context.alias("context"), m["confidence"].alias("confidence"), m["token"].alias("text"),
-            replacement(block.strategy, filter_type, m["token"], context, kinds).alias("replacement"),
-            ignored.alias("ignored"), (~ignored).alias("applied"),
+            instead(m["token"]).alias("replacement"), skip.alias("ignored"), (~skip).alias("applied"),
         )
 
     return F.transform(matches, span)
 
 
+def as_spans(matches: Column, block: Block, filter_type: str, context: Column, kinds: tuple[str, ...] = ()) -> Column:
+    instead = lambda t: replacement(block.strategy, filter_type, t, context, kinds)
+    return span_structs(matches, filter_type, context, lambda t: is_ignored(t, block), instead)
+
+
 def passes_luhn(token: Column) -> Column:
     digits = F.transform(F.split(F.reverse(F.regexp_replace(token, "[^0-9]", "")), ""), lambda d: d.cast("int"))
     digits = F.filter(digits, lambda d: d.isNotNull())

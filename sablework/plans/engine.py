@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sablework.functions.spans import SPAN, drop_contained, let, sorted_spans, splice, sql_name
 from sablework.operators.detectors import Detector, RegexDetector, compile_detectors
 from sablework.plans.policy import Policy, PolicyError, parse_policy, parse_policy_yaml
+from sablework.plans.policy_table import PLAN, explain_by_policy, fits_table, plan_of, policy_plans, uses_of
 
 #: Offsets of spans in the output of explain_rows().
 SPAN_FIELDS = ("character_start", "character_end", "filter_type", "context", "confidence", "text", "replacement", "ignored", "applied")
@@ -98,22 +99,37 @@ class PolicyNotFound(KeyError):
     pass
 
 
-def redact_requests(requests: DataFrame, policies: Mapping[str, str | Mapping | Policy], explain_only: bool = False, **engine) -> DataFrame:
+def redact_requests(requests: DataFrame, policies: Mapping[str, str | Mapping | Policy] | DataFrame, explain_only: bool = False, **engine) -> DataFrame:
     """Requests (text, context, policy, document_id, file_name; text and policy required) under the policies they name.
 
-    Rows are split by policy at plan time, one narrow branch each. A request without text or policy, or with a policy
-    that isn't there, gets an ``error`` and no result. A missing document_id becomes a new one.
+    ``policies``: by name, or a table (name, policy as JSON; unique by name), as PolicyStore keeps it. All rows are searched in one scan,
+    joined to the policies; only policies by name that have dictionaries or models, or all where ``engine`` adds detectors, take a
+    branch of the plan each. A request without text or policy, or with a policy that isn't there or (in a table) can't be used, gets an
+    ``error`` and no result. A missing document_id becomes a new one.
     """
+    own: dict[str, Policy] = {}
+    if isinstance(policies, DataFrame):
+        if "detectors" in engine or "models" in engine:
+            raise ValueError("detectors and models go with policies by name")
+        plans, uses = policy_plans(policies), None
+    else:
+        parsed = {name: parse_policy(p) for name, p in policies.items()}
+        own = {name: p for name, p in parsed.items() if engine.get("detectors") or not fits_table(p)}
+        rows = [(name, {"error": None, "blocks": {}} if name in own else plan_of(p)) for name, p in parsed.items()]
+        uses = uses_of([plan for _, plan in rows])
+        kind = PLAN.replace("error string", "error:string").replace("blocks map", "blocks:map")
+        plans = requests.sparkSession.createDataFrame(rows, f"name string, plan struct<{kind}>")
     base = requests.withColumn("document_id", F.coalesce(F.nullif(F.col("document_id"), F.lit("")), F.uuid()))
-    bad = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit("text is required")).when(
-        F.coalesce(F.col("policy"), F.lit("")) == "", F.lit("policy is required")
-    ).when(~F.col("policy").isin(list(policies)), F.concat(F.lit("no policy "), F.col("policy")))
-    base = base.withColumn("error", bad)
-    empty = F.array().cast(f"array<{SPAN}>")
-    result = base.where(F.col("error").isNotNull()).withColumn("spans", empty).withColumn("filtered_text", F.lit(None).cast("string"))
-    for name, policy in policies.items():
-        rows = base.where(F.col("error").isNull() & (F.col("policy") == name))
-        result = result.unionByName(Engine(policy, **engine).redact(rows, context="context"))
+    apart = F.col("policy").isin(list(own)) if own else F.lit(False)
+    # Without text nothing is searched, whatever the policy.
+    found = explain_by_policy(base.where(~F.coalesce(apart, F.lit(False))), plans, context="context", overlap=engine.get("overlap", "keep"), uses=uses)
+    bad = lambda other: F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit("text is required")).otherwise(other)
+    found = found.withColumn("error", bad(F.col("policy_error"))).drop("policy_error")
+    text = F.when(F.col("error").isNull(), splice(F.col("text"), F.col("spans")))
+    result = found.withColumn("filtered_text", text).select(*base.columns, "error", "spans", "filtered_text")
+    for name, policy in own.items():
+        rows = Engine(policy, **engine).redact(base.where(F.col("policy") == name).withColumn("error", bad(F.lit(None).cast("string"))), context="context")
+        result = result.unionByName(rows.withColumn("filtered_text", F.when(F.col("error").isNull(), F.col("filtered_text"))))
     return result.drop("filtered_text") if explain_only else result
 
 

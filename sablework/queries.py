@@ -407,6 +407,41 @@ def _requests_sql() -> str:
 
 
 register("requests_by_policy", requests, _requests_sql())
+_SHAPES = [
+    ("ssn", '{"identifiers":{"ssn":{}}}'),
+    ("ssn", '{"identifiers":{"ssn":{"ssnFilterStrategies":[{"strategy":"STATIC_REPLACE","staticReplacement":"S#"}]}}}'),
+    ("email-address", '{"identifiers":{"emailAddress":{"emailAddressFilterStrategies":[{"strategy":"MASK","maskCharacter":"#"}]},"ssn":{"enabled":false}}}'),
+    ("", '{"identifiers":{"emailAddress":{"ignored":["U#.X+Y@EXAMPLE0.com"],"ignoredPatterns":[{"pattern":"org$"}]},"ssn":{"ssnFilterStrategies":[{"redactionFormat":"[%t:%v]#"}]}}}'),
+    ("bad", '{"identifiers":['),
+]
+
+
+def requests_policy_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A thousand policies in a table, one for each thousandth of the customers."""
+    number, shape = F.col("doc_id") % 1000, (F.col("doc_id") % len(_SHAPES) + 1).cast("int")
+    text = F.replace(F.element_at(F.array(*[F.lit(p) for _, p in _SHAPES]), shape), F.lit("#"), number.cast("string"))
+    base = corpus(spark, sf, ["ssn", "email"])
+    policies = base.select(F.concat(F.lit("p"), number.cast("string")).alias("name"), text.alias("policy")).distinct()
+    asked = base.select("text", "context", F.concat(F.lit("p"), number.cast("string")).alias("policy"), F.col("doc_id").cast("string").alias("document_id"), F.lit("f").alias("file_name"))
+    out = redact_requests(asked, policies)
+    return out.select("document_id", "filtered_text", F.col("error").isNotNull().alias("failed"))
+
+
+_NUMBER, _SHAPE = "(doc_id % 1000)::VARCHAR", f"doc_id % {len(_SHAPES)}"
+_INSTEAD = (
+    f"CASE {_SHAPE} WHEN 0 THEN '{{{{{{REDACTED-ssn}}}}}}' WHEN 1 THEN 'S' || {_NUMBER} WHEN 2 THEN repeat({_NUMBER}, strlen(token)) "
+    f"ELSE CASE kind WHEN 'ssn' THEN '[ssn:' || token || ']' || {_NUMBER} ELSE '{{{{{{REDACTED-email-address}}}}}}' END END"
+)
+_WHERE = (
+    f"CASE {_SHAPE} WHEN 0 THEN kind = 'ssn' WHEN 1 THEN kind = 'ssn' WHEN 2 THEN kind = 'email-address' "
+    f"ELSE kind = 'ssn' OR NOT (lower(token) = 'u' || {_NUMBER} || '.x+y@example0.com' OR regexp_matches(token, '(?i)org$')) END"
+)
+register(
+    "requests_policy_table",
+    requests_policy_table,
+    f"SELECT doc_id::VARCHAR AS document_id, CASE WHEN {_SHAPE} < 4 THEN filtered_text END AS filtered_text, {_SHAPE} = 4 AS failed "
+    f"FROM ({redact_sql([*of('emailAddress'), *of('ssn')], _REQ, where=_WHERE, replacement=_INSTEAD)})",
+)
 # Policies of every kind, one a customer: valid ones, broken text, and values of the wrong type.
 _POLICIES = pick("c_custkey", ['{"identifiers":{"ssn":{}}}', "{}", "", "{", '{"identifiers":[]}', '{"identifiers":{"ssn":{"enabled":false}}}', "[1]", '{"identifiers":{"ssn":7}}'])
 

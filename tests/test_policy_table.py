@@ -1,0 +1,76 @@
+import json
+import random
+
+import pytest
+
+from sablework.corpus import corpus
+from sablework.operators.patterns import KINDS
+from sablework.plans.engine import Engine, redact_requests
+from sablework.plans.policy import strategies_field
+from sablework.plans.policy_table import explain_by_policy, plan_of, policy_plans
+
+SF = "/root/testdata/sf0.001"
+
+
+def some_policy(rng):
+    blocks = {}
+    for kind in rng.sample(list(KINDS), rng.randint(0, 4)):
+        strategy = {"strategy": rng.choice(["", "REDACT", "STATIC_REPLACE", "MASK", "RANDOM_REPLACE", "SHIFT_DATE", "LAST_4"]), "redactionFormat": rng.choice(["", "<%t %v>", "[%t]"]),
+                    "staticReplacement": rng.choice(["", "X"]), "maskCharacter": rng.choice(["", "ab"]), "shiftDays": rng.randint(0, 2), "shiftYears": rng.randint(0, 1)}
+        block = {strategies_field(kind.key): [strategy] if rng.random() < 0.8 else [], "enabled": rng.random() < 0.9}
+        block |= {o: rng.random() < 0.5 for o in ("onlyValidCreditCardNumbers", "requireHttpWwwPrefix", "requireDelimiter")}
+        block["ignored"] = rng.choice([[], ["4111111111111111", "U3.X+Y@EXAMPLE3.COM"]])
+        block["ignoredPatterns"] = rng.choice([[], [{"pattern": "^[a-f0-3]"}], [{"pattern": "ORG$", "caseSensitive": True}]])
+        blocks[kind.key] = block
+    return {"identifiers": blocks}
+
+
+@pytest.mark.parametrize("overlap", ["keep", "drop"])
+def test_equals_an_engine_for_each_policy(spark, overlap):
+    rng = random.Random(7)
+    policies = {f"p{i}": some_policy(rng) for i in range(25)}
+    docs = corpus(spark, SF).limit(6).cache()
+    table = spark.createDataFrame([(n, json.dumps(p)) for n, p in policies.items()], "name string, policy string")
+    asked = docs.crossJoin(table.select("name")).withColumnRenamed("name", "policy")
+    out = explain_by_policy(asked, policy_plans(table), context="context", overlap=overlap)
+    assert set(out.columns) == {*asked.columns, "spans", "policy_error"}
+    got = {(r.policy, r.doc_id): r.spans for r in out.collect()}
+    for name, policy in policies.items():
+        for r in Engine(policy, overlap=overlap).explain(docs, context="context").collect():
+            assert got[name, r.doc_id] == r.spans, name
+
+
+def test_a_thousand_policies_in_one_scan(spark):
+    docs = corpus(spark, SF, ["ssn", "email"])
+    policies = {f"p{i}": {"identifiers": {"ssn": {"ssnFilterStrategies": [{"strategy": "STATIC_REPLACE", "staticReplacement": f"<{i}>"}]}}} for i in range(1000)}
+    asked = docs.selectExpr("text", "context", "concat('p', doc_id % 1000) as policy", "cast(doc_id as string) as document_id", "'f' as file_name")
+    out = redact_requests(asked, policies)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("customer") <= 1 and "Union" not in plan
+    rows = out.collect()
+    assert len(rows) == docs.count() and all(f"<{int(r.document_id) % 1000}>" in r.filtered_text for r in rows if r.spans)
+
+
+def test_errors(spark):
+    table = spark.createDataFrame([("ok", '{"identifiers":{"ssn":{}}}'), ("broken", "{"), ("none", None), ("words", '{"identifiers":{"dictionaries":[{"terms":["x"]}]}}')], "name string, policy string")
+    rows = [("a 123-45-6789", "", "ok", "1", "f"), ("x", "", "broken", "2", "f"), ("x", "", "none", "3", "f"), ("x", "", "words", "4", "f"), ("x", "", "other", "5", "f"),
+            ("", "", "ok", "6", "f"), (None, "", "ok", "7", "f"), ("x", "", "", "8", "f"), ("x", "", None, "9", "f"), ("y", None, "ok", None, None)]
+    df = spark.createDataFrame(rows, "text string, context string, policy string, document_id string, file_name string")
+    out = {r.document_id: r for r in redact_requests(df, table).collect()}
+    assert out["1"].filtered_text == "a {{{REDACTED-ssn}}}" and out["1"].error is None
+    start = {k: (r.error or "").split(":")[0] for k, r in out.items()}
+    assert [start[k] for k in "23456789"] == ["policy broken", "policy none", "policy words", "no policy other", "text is required", "text is required", "policy is required", "policy is required"]
+    assert all(r.filtered_text is None and r.spans == [] for k, r in out.items() if k in "23456789")
+    new = next(r for k, r in out.items() if k not in "123456789")
+    assert new.filtered_text == "y" and len(new.document_id) == 36
+    # By name, dictionaries take a branch of their own.
+    both = redact_requests(df, {"ok": {"identifiers": {"ssn": {}}}, "words": {"identifiers": {"dictionaries": [{"terms": ["x"]}]}}})
+    assert {r.document_id: r.filtered_text for r in both.collect()}["4"] == "{{{REDACTED-custom-dictionary}}}"
+    with pytest.raises(ValueError):
+        redact_requests(df, table, models=[None])
+
+
+def test_plans():
+    assert plan_of("{")["error"] and plan_of(None)["error"] and plan_of({})["blocks"] == {}
+    made = plan_of({"identifiers": {"url": {"requireHttpWwwPrefix": True, "ignored": ["B", "a"]}, "date": {"dateFilterStrategies": [{"strategy": "SHIFT_DATE", "shiftDays": 2}]}}})["blocks"]
+    assert made["url"]["strict"] and made["url"]["ignored"] == ["a", "b"] and (made["date"]["mode"], made["date"]["days"]) == ("shift", 2)
