@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import warnings
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ ENTRY = (
     "index int, document_id string, text string, replacement string, start int, stop int, file_name string,"
     " timestamp timestamp, previous_hash binary"
 )
+FIELDS = tuple(f.split()[0] for f in ENTRY.split(", "))
 #: Where a document's chain ends.
 TAIL = "document_id string, index int, hash binary"
 HASHED = ("index", "document_id", "text", "replacement", "start", "stop", "file_name", "timestamp", "previous_hash")
@@ -30,15 +33,36 @@ def zero_hash() -> Column:
     return F.unhex(F.lit("00" * 32))
 
 
-def entry_hash(get) -> Column:
-    """The hash of an entry whose fields ``get`` gives by name."""
+def hashed_text(get, names: tuple[str, ...] = HASHED) -> Column:
+    """Of fields that ``get`` gives by name, each one's length, a colon and its text."""
     parts = []
-    for name in HASHED:
+    for name in names:
         value = get(name)
         text = F.hex(value) if name == "previous_hash" else F.unix_millis(value).cast("string") if name == "timestamp" else value.cast("string")
         text = F.coalesce(text, F.lit(""))
         parts.append(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text))
-    return F.unhex(F.sha2(F.concat(*parts).cast("binary"), 256))
+    return F.concat(*parts)
+
+
+def entry_hash(get) -> Column:
+    """The hash of an entry whose fields ``get`` gives by name."""
+    return F.unhex(F.sha2(hashed_text(get).cast("binary"), 256))
+
+
+def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries sorted by document and index, with the text of all their other fields (__body) and, in previous_hash, the end of
+    the chain that their document goes on from; each gets the hash of the one before it."""
+    document, last = object(), b""
+    for batch in batches:
+        before = []
+        for d, start, body in zip(*(batch.column(c).to_pylist() for c in ("document_id", "previous_hash", "__body")), strict=True):
+            if d != document:
+                document, last = d, start
+            before.append(last)
+            text = last.hex().upper()
+            last = hashlib.sha256(f"{body}{len(text)}:{text}".encode()).digest()
+        at = batch.schema.get_field_index("previous_hash")
+        yield batch.set_column(at, batch.schema.field(at), pa.array(before, batch.schema.field(at).type)).select(list(FIELDS))
 
 
 class Ledger:
@@ -68,39 +92,32 @@ class Ledger:
 
     def record(self, explained: DataFrame, timestamp: Column, ledger: DataFrame | None = None, tails: DataFrame | None = None) -> DataFrame:
         """New entries of documents (document_id, file_name, spans): one per span, ignored ones too, chained per
-        document, going on from what ``ledger`` already has of it, or from its tails() where these are at hand. Several rows of one document_id make one chain, in
-        the order of their timestamps, file names and spans."""
-        row = F.struct(timestamp.alias("timestamp"), F.coalesce("file_name", F.lit("")).alias("file_name"), F.col("spans"))
-        base = explained.where("size(spans) > 0").select("document_id", row.alias("row")).groupBy("document_id").agg(F.array_sort(F.collect_list("row")).alias("rows"))
-        of_row = lambda r: F.transform(r["spans"], lambda s: F.struct(s.alias("span"), r["file_name"].alias("file_name"), r["timestamp"].alias("timestamp")))
-        base = base.select("document_id", F.flatten(F.transform("rows", of_row)).alias("spans"))
-        if tails is None and ledger is not None:
-            tails = self.tails(ledger)
-        if tails is not None:
-            base = base.join(tails, "document_id", "left")
-            first, before = F.coalesce(F.col("index") + 1, F.lit(0)), F.coalesce("hash", zero_hash())
+        document, going on from what ``ledger`` already has of it, or from its tails() where these are at hand. Several rows
+        of one document_id make one chain, in the order of their timestamps and file names (then of a hash of their spans);
+        rows without an id are one document.
+
+        A chain can't be split, but its entries pass by one after the other, sorted; no task holds a document's entries.
+        """
+        rows = explained.where("size(spans) > 0").select(
+            "document_id", timestamp.alias("timestamp"), F.coalesce("file_name", F.lit("")).alias("file_name"), F.xxhash64("spans").alias("__tie"),
+            F.monotonically_increasing_id().alias("__row"), "spans",
+        )
+        each = rows.select("document_id", "timestamp", "file_name", "__tie", "__row", F.posexplode("spans").alias("__pos", "s"))
+        tails = self.tails(ledger) if tails is None and ledger is not None else tails
+        if tails is None:
+            each = each.withColumns({"__first": F.lit(0), "__before": zero_hash()})
         else:
-            first, before = F.lit(0), zero_hash()
-        base = base.select("document_id", "spans", first.alias("first"), before.alias("before"))
-        plain = F.transform(
-            "spans",
-            lambda s, i: F.struct(
-                (F.col("first") + i).alias("index"), F.col("document_id"),
-                self.seal(s["span"]["text"], F.col("document_id"), F.col("first") + i).alias("text"),
-                s["span"]["replacement"].alias("replacement"), s["span"]["character_start"].alias("start"), s["span"]["character_end"].alias("stop"),
-                s["file_name"].alias("file_name"), s["timestamp"].alias("timestamp"),
-            ),
+            ends = tails.select("document_id", (F.col("index") + 1).alias("__first"), F.col("hash").alias("__before"))
+            each = each.join(ends, "document_id", "left").withColumns({"__first": F.coalesce("__first", F.lit(0)), "__before": F.coalesce("__before", zero_hash())})
+        order = Window.partitionBy("document_id").orderBy("timestamp", "file_name", "__tie", "__row", "__pos")
+        numbered = each.withColumn("index", F.col("__first") + F.row_number().over(order) - 1)
+        entries = numbered.select(
+            "index", "document_id", self.seal(F.col("s.text"), F.col("document_id"), F.col("index")).alias("text"), F.col("s.replacement").alias("replacement"),
+            F.col("s.character_start").alias("start"), F.col("s.character_end").alias("stop"), "file_name", "timestamp", F.col("__before").alias("previous_hash"),
         )
-        kind = "array<struct<" + ",".join(f"{n}:{t}" for n, t in (f.split() for f in ENTRY.split(", "))) + ">>"
-
-        def link(acc: Column, e: Column) -> Column:
-            entry = F.struct(*[e[n].alias(n) for n in HASHED[:-1]], acc["hash"].alias("previous_hash"))
-            own = entry_hash(lambda n: acc["hash"] if n == "previous_hash" else e[n])
-            return F.struct(own.alias("hash"), F.concat(acc["out"], F.array(entry)).cast(kind).alias("out"))
-
-        start = F.struct(F.col("before").alias("hash"), F.array().cast(kind).alias("out"))
-        chained = base.withColumn("plain", plain).select(F.explode_outer(F.aggregate("plain", start, link, lambda a: a["out"])).alias("e"))
-        return chained.select("e.*").where("index is not null")
+        # What the window has put together and in order stays so.
+        sealed = entries.withColumn("__body", hashed_text(F.col, HASHED[:-1])).sortWithinPartitions("document_id", "index")
+        return sealed.mapInArrow(chain, ENTRY)
 
     def get(self, ledger: DataFrame, document_id: str) -> DataFrame:
         """A document's entries by index, in clear."""

@@ -34,6 +34,18 @@ class AlreadyExists(ValueError):
     pass
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what a folder holds; none if it isn't there."""
+    fs, root = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(root)) if fs.exists(root) else []
+
+
 class VersionedTable:
     """One table under ``path``: numbered versions, the largest finished one counts."""
 
@@ -125,29 +137,97 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.groupBy("context", "token_hash").agg(F.max_by("replacement", "fresh").alias("replacement"))
 
 
+#: What an entry is found by, and how many buckets a new context store has.
+KEY = ("context", "token_hash")
+BUCKETS = 64
+
+
+class BucketedTable:
+    """A table under ``path`` in buckets by a hash of KEY. A change writes the buckets that it touches to a new folder, then a
+    manifest that says where each bucket is; the manifest with the largest number counts, and only one writer can claim a number."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, buckets: int = BUCKETS) -> None:
+        self.spark, self.path, self.schema, self.buckets = spark, path.rstrip("/"), schema, buckets
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*KEY), F.lit(self.buckets)).cast("int")
+
+    def manifest(self) -> tuple[int, dict[int, str]]:
+        """The number of the last change (-1 if none), and the folder of each bucket that has rows."""
+        numbers = sorted(int(n.removesuffix(".json")) for n in folders(self.spark, f"{self.path}/manifests") if n.endswith(".json"))
+        if not numbers:
+            return -1, {}
+        text = self.spark.read.text(f"{self.path}/manifests/{numbers[-1]:010d}.json", wholetext=True).first().value
+        found = json.loads(text)
+        self.buckets = found["buckets"]
+        return numbers[-1], {int(b): f for b, f in found["folders"].items()}
+
+    def _claim(self, number: int, where: dict[int, str]) -> None:
+        fs, path = _file_system(self.spark, f"{self.path}/manifests/{number:010d}.json")
+        text = json.dumps({"buckets": self.buckets, "folders": where})
+        draft = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/drafts/{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        fs.mkdirs(path.getParent())
+        # Renaming doesn't replace a file that another writer has put there.
+        if fs.exists(path) or not fs.rename(draft, path):
+            raise AlreadyExists(f"{self.path}: another writer has made change {number}")
+
+    def read(self, only: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        where = self.manifest()[1]
+        paths = [f"{self.path}/data/{f}/bucket={b}" for b, f in sorted(where.items()) if only is None or b in only]
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+
+    def change(self, touched: list[int], rows: DataFrame) -> None:
+        """The new content of some buckets, which may be derived from the present one."""
+        number, where = self.manifest()
+        folder = uuid.uuid4().hex
+        dealt = rows.withColumn("bucket", self.bucket()).repartition(max(1, min(len(touched), self.buckets)), "bucket")
+        dealt.write.partitionBy("bucket").parquet(f"{self.path}/data/{folder}")
+        full = [int(n.removeprefix("bucket=")) for n in folders(self.spark, f"{self.path}/data/{folder}") if n.startswith("bucket=")]
+        kept = {b: f for b, f in where.items() if b not in set(touched)}
+        self._claim(number + 1, kept | dict.fromkeys(full, folder))
+
+
 class ContextStore:
-    """Which replacement a token got in a context; tokens are kept as hashes."""
+    """Which replacement a token got in a context; tokens are kept as hashes. Changes rewrite the buckets that they touch,
+    and looking a token up reads one bucket."""
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.table = VersionedTable(spark, path, "context string, token_hash string, replacement string")
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS) -> None:
+        self.table = BucketedTable(spark, path, "context string, token_hash string, replacement string", buckets)
         self.spark = spark
 
     def put(self, entries: DataFrame) -> None:
         """Entries as context_entries() makes them."""
-        self.table.replace(upsert(self.table.read(), entries))
+        self.table.manifest()
+        path = f"{self.table.path}/incoming/{uuid.uuid4().hex}"
+        last = entries.groupBy(*KEY).agg(F.max_by("replacement", "seq").alias("replacement"))
+        last.withColumn("bucket", self.table.bucket()).write.parquet(path)
+        new = self.spark.read.schema(f"{self.table.schema}, bucket int").parquet(path)
+        touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+        if touched:
+            fresh = new.drop("bucket").withColumn("seq", F.lit(0))
+            self.table.change(touched, upsert(self.table.read(touched), fresh))
 
     def get(self, context: str, token: str) -> str | None:
-        hashed = token_hash(F.lit(token))
-        row = self.table.read().where((F.col("context") == context) & (F.col("token_hash") == hashed)).first()
+        self.table.manifest()
+        key = self.spark.createDataFrame([(context, token)], "context string, token string").select("context", token_hash(F.col("token")).alias("token_hash"))
+        at = key.select("*", self.table.bucket().alias("bucket")).first()
+        row = self.table.read([at.bucket]).where((F.col("context") == context) & (F.col("token_hash") == at.token_hash)).first()
         return row.replacement if row else None
 
     def lookup(self, tokens: DataFrame) -> DataFrame:
         """``tokens`` (context, token, ...) with the replacement that is stored, null where there is none."""
         keyed = tokens.withColumn("token_hash", token_hash(F.col("token")))
-        return keyed.join(self.table.read(), ["context", "token_hash"], "left").drop("token_hash")
+        return keyed.join(self.table.read(), list(KEY), "left").drop("token_hash")
 
     def delete(self, context: str) -> None:
-        self.table.replace(self.table.read().where(F.col("context") != context))
+        held = self.table.read().where(F.col("context") == context).select(self.table.bucket().alias("bucket"))
+        touched = [r.bucket for r in held.distinct().collect()]
+        if touched:
+            self.table.change(touched, self.table.read(touched).where(F.col("context") != context))
 
     def list(self) -> DataFrame:
         return self.table.read().select("context").distinct()

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sablework.plans.engine import Engine
 from sablework.sources.ledger import ENTRY, TAIL, Ledger
-from sablework.sources.stores import ContextStore, context_entries
+from sablework.sources.stores import ContextStore, context_entries, folders
 
 
 #: After so many batches, a batch writes the ends of all chains rather than those it has moved.
@@ -33,15 +33,25 @@ def with_stores(contexts: ContextStore | None = None, ledger: Ledger | None = No
 
     A batch that is run again replaces its own part of the ledger, so entries aren't doubled. Batches never read the
     ledger: each leaves the ends of the chains that it has moved beside it, under ``{ledger_path}_tails``, and reads the
-    parts since the last one that has them all.
+    parts since the last one that has them all. A query with a new checkpoint goes on from what others have left; its parts bear
+    its id. One query at a time may write to a ledger.
     """
 
-    def tails_before(spark: SparkSession, epoch: int) -> DataFrame:
-        first = (epoch - 1) // MERGE_EVERY * MERGE_EVERY
-        parts = [f"{ledger_path}_tails/epoch={e}" for e in range(max(first, 0), epoch)]
+    def part(run: str | None, epoch: int) -> str:
+        return f"epoch={epoch}-{run}" if run else f"epoch={epoch}"
+
+    def tails_before(spark: SparkSession, run: str | None, epoch: int) -> DataFrame:
+        home = f"{ledger_path}_tails"
+        if epoch:
+            first = (epoch - 1) // MERGE_EVERY * MERGE_EVERY
+            parts = [part(run, e) for e in range(first, epoch)]
+        else:
+            parts = [name for name in folders(spark, home) if name != part(run, 0)]
+            if parts and not run:
+                raise ValueError(f"{ledger_path} has entries of other batches; only a stream goes on from these")
         if not parts:
             return spark.createDataFrame([], TAIL)
-        return newest(spark.read.schema(TAIL).parquet(*parts))
+        return newest(spark.read.schema(TAIL).parquet(*[f"{home}/{p}" for p in parts]))
 
     def newest(tails: DataFrame) -> DataFrame:
         last = tails.groupBy("document_id").agg(F.max(F.struct("index", "hash")).alias("t"))
@@ -52,11 +62,12 @@ def with_stores(contexts: ContextStore | None = None, ledger: Ledger | None = No
         if contexts:
             contexts.put(context_entries(batch, order))
         if ledger and ledger_path:
-            before, own = tails_before(spark, epoch), f"{ledger_path}/epoch={epoch}"
-            ledger.record(batch, F.current_timestamp(), tails=before).write.mode("overwrite").parquet(own)
-            moved = ledger.tails(spark.read.schema(ENTRY).parquet(own))
+            run = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+            before, own = tails_before(spark, run, epoch), part(run, epoch)
+            ledger.record(batch, F.current_timestamp(), tails=before).write.mode("overwrite").parquet(f"{ledger_path}/{own}")
+            moved = ledger.tails(spark.read.schema(ENTRY).parquet(f"{ledger_path}/{own}"))
             after = newest(before.unionByName(moved)) if epoch % MERGE_EVERY == 0 else moved
-            after.write.mode("overwrite").parquet(f"{ledger_path}_tails/epoch={epoch}")
+            after.write.mode("overwrite").parquet(f"{ledger_path}_tails/{own}")
 
     return apply
 

@@ -1,10 +1,12 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from sablework.operators.metrics import metrics, token_count
 from sablework.plans.engine import Engine
 from sablework.sources.ledger import ENTRY, Ledger
-from sablework.sources.stores import AlreadyExists, ContextStore, NotFound, PolicyStore, context_entries
+from sablework.sources.stores import AlreadyExists, ContextStore, NotFound, PolicyStore, context_entries, scratch_dir, token_hash
 from sablework.streaming.redaction import redact_stream, start, token_rate, with_stores
 
 SSN = {"identifiers": {"ssn": {"ssnFilterStrategies": [{"strategy": "RANDOM_REPLACE"}]}}}
@@ -142,3 +144,62 @@ def test_batches_go_on_from_the_ends_of_chains(spark, tmp_path, monkeypatch):
     assert sorted((r.document_id, r["index"]) for r in entries.collect()) == [*(("d1", i) for i in range(6)), ("d2", 0), ("d2", 1), ("d3", 0)]
     assert all(r.valid for r in ledger.verify_all(entries).collect())
     assert spark.read.parquet(f"{path}_tails/epoch=2").count() == 3 and spark.read.parquet(f"{path}_tails/epoch=3").count() == 2
+
+
+def test_a_new_checkpoint_goes_on_from_the_ledger(spark, tmp_path):
+    source, home = str(tmp_path / "in"), str(tmp_path)
+    docs(spark).write.parquet(source)
+    ledger, keep = Ledger(), with_stores(None, Ledger(), home + "/ledger")
+    for checkpoint in ("/one", "/two"):
+        stream = redact_stream(spark.readStream.schema(docs(spark).schema).parquet(source), Engine(SSN), context="context")
+        start(stream, keep, home + checkpoint).awaitTermination()
+    entries = spark.read.schema(ENTRY).parquet(home + "/ledger")
+    assert sorted(r["index"] for r in entries.where("document_id = 'd1'").collect()) == [0, 1, 2, 3]
+    assert entries.count() == 8 and all(r.valid for r in ledger.verify_all(entries).collect())
+    explained = Engine(SSN).explain(docs(spark), context="context")
+    with pytest.raises(ValueError):
+        keep(explained, 0)
+
+
+def test_a_million_entries_of_one_document(spark):
+    span = F.struct(
+        F.lit(0).alias("character_start"), F.lit(1).alias("character_end"), F.lit("ssn").alias("filter_type"), F.lit("").alias("context"), F.lit(1.0).alias("confidence"),
+        F.col("id").cast("string").alias("text"), F.lit("x").alias("replacement"), F.lit(False).alias("ignored"), F.lit(True).alias("applied"),
+    )
+    rows = spark.range(1_000_000).select(F.lit("d").alias("document_id"), F.format_string("%07d", "id").alias("file_name"), F.array(span).alias("spans"))
+    began = time.time()
+    entries = Ledger().record(rows, F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    entries.write.parquet(f"{scratch_dir(spark)}/ledger")
+    assert time.time() - began < 120
+    held = Ledger().record(rows.limit(0).unionByName(rows.where("file_name < '0000100'")), F.lit("2024-01-02 03:04:05").cast("timestamp"))
+    first = held.orderBy("index").collect()
+    assert [(r["index"], r.text) for r in first] == [(i, str(i)) for i in range(100)] and Ledger().verify(held, "d")
+
+
+def test_puts_rewrite_the_buckets_that_they_touch(spark, tmp_path):
+    store = ContextStore(spark, str(tmp_path / "c"), buckets=32)
+    rows = lambda low, high, r: spark.range(low, high).select(F.lit("k").alias("context"), token_hash(F.col("id").cast("string")).alias("token_hash"), F.lit(r).alias("replacement"), F.lit(0).alias("seq"))
+    store.put(rows(0, 500, "a"))
+    number, before = store.table.manifest()
+    assert number == 0 and len(before) == 32
+    store.put(rows(498, 503, "b"))
+    number, after = store.table.manifest()
+    moved = {b for b in after if after[b] != before[b]}
+    assert number == 1 and 1 <= len(moved) <= 5 and store.count("k") == 503
+    assert [store.get("k", str(i)) for i in (497, 498, 502, 503)] == ["a", "b", "b", None]
+    # The number of buckets is the store's own, whatever a later caller says.
+    other = ContextStore(spark, str(tmp_path / "c"), buckets=8)
+    assert other.get("k", "499") == "b" and other.table.buckets == 32
+    files = store.table.read([next(iter(moved))]).inputFiles()
+    assert all("bucket=" in f for f in files) and len({f.rsplit("/", 2)[1] for f in files}) == 1
+    store.delete("k")
+    assert store.count("k") == 0 and store.table.manifest()[1] == {} and store.get("k", "1") is None
+    store.put(rows(0, 0, "c"))
+    assert store.table.manifest()[0] == 2
+
+
+def test_two_writers_can_not_make_the_same_change(spark, tmp_path):
+    store = ContextStore(spark, str(tmp_path / "c"))
+    store.table._claim(0, {})
+    with pytest.raises(AlreadyExists):
+        store.table._claim(0, {})
