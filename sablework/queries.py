@@ -12,7 +12,7 @@ from sablework.functions.random_values import GENERATORS, random_value
 from sablework.functions.spans import drop_contained, splice
 from sablework.operators.big_dictionary import dictionary_rows
 from sablework.operators.detectors import FUZZY, TOKEN, RegexDetector
-from sablework.operators.metrics import metrics, redactions_by_type
+from sablework.operators.metrics import RedactionMetrics, metrics, redactions_by_type
 from sablework.operators.model import Entity
 from sablework.operators.patterns import KINDS, STRICT_EMAIL
 from sablework.operators.span_rows import drop_contained_rows
@@ -538,6 +538,16 @@ register(
     f"(SELECT sum(len(list_filter(regexp_split_to_array(text, '{_SPACE}'), lambda w: w <> '')))::BIGINT FROM c) AS tokens_received, "
     f"(SELECT count(*) FROM s) AS redactions_total, (SELECT count(DISTINCT context) FROM ({_SSN_SPANS} SELECT context FROM s)) AS contexts, 1 AS healthy",
 )
+
+
+def metrics_observed(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of a redaction that is written, kept by the job that writes it."""
+    counts = RedactionMetrics()
+    counts.watch(Engine(ALL_POLICY).redact(documents(spark, sf))).write.parquet(f"{scratch_dir(spark)}/redacted")
+    return counts.row(spark, _contexts(spark, sf).table.read())
+
+
+register("metrics_observed", metrics_observed, ORACLE_SQL["metrics"])
 register(
     "redactions_by_type",
     lambda spark, sf: redactions_by_type(Engine(ALL_POLICY).explain(documents(spark, sf))),
