@@ -137,12 +137,15 @@ def cut_words(text: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
 def shared_windows(bodies: list[bytes], n: np.ndarray, where: np.ndarray, copies: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each body which of its windows also start earlier in another place of these bodies, and which occur again
     anywhere (a body with copies stands for two places at least)."""
-    h, counts, *_ = word_tokens(bodies)
-    symbols = np.unique(h, return_inverse=True)[1] + 1
+    # Words are numbered by their bytes, in their order of appearance.
+    numbers: dict[bytes, int] = {}
+    words = [[numbers.setdefault(w, len(numbers) + 1) for w in b.split()] for b in bodies]
+    counts = np.array([len(w) for w in words], np.int64)
+    symbols = np.fromiter((w for body in words for w in body), np.int64, int(counts.sum()))
     # A separator (0) after each body.
     base = np.cumsum(counts + 1) - counts - 1
-    text = np.zeros(len(h) + len(bodies), np.int64)
-    text[np.arange(len(h)) + np.repeat(np.arange(len(bodies)), counts)] = symbols
+    text = np.zeros(len(symbols) + len(bodies), np.int64)
+    text[np.arange(len(symbols)) + np.repeat(np.arange(len(bodies)), counts)] = symbols
     body = np.repeat(np.arange(len(bodies)), n)
     i = np.arange(len(body)) - np.repeat(np.cumsum(n) - n, n)
     lane, content = FMIndex(text, WIDTH).repeated(base[body] + i, WIDTH, np.where(copies, 1, 2)[body])

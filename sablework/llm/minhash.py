@@ -1,13 +1,14 @@
 """Operator 7: near-duplicates by MinHash with sequential Bayesian verification.
 
-A document's set holds the hashes of its distinct two-word shingles. Documents
-with equal sets form one class, which its row with the smallest id stands for. Classes that
-share one of BANDS bands of ROWS minhashes are candidates: first every member of
+A document's set holds its distinct two-word shingles. Documents
+with equal sets (by a SHA-256 of their content) form one class, which its row with the smallest id stands for. Classes that
+share one of BANDS bands of ROWS minhashes (of hashed shingles) are candidates: first every member of
 a bucket with the bucket's smallest one; after the components of those links are
 known, the pairs of a bucket whose components still differ. Candidates compare
 their signatures BATCH hashes at a time and fall out once the posterior
 probability of a similarity of THRESHOLD or more, from a uniform prior, is below
-MISS. All survivors are confirmed on the full sets; only confirmed links count.
+MISS. All survivors are confirmed on the full sets, whose words are numbered
+by their bytes; only confirmed links count.
 
 A pair at the threshold shares no band with probability (1 - 0.8^4)^32 = 5e-8.
 
@@ -22,16 +23,18 @@ by the class's number; an empty table gives an empty result; other columns are i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ROW, documents, left_join_groups, located, long_id, small_batches, written
-from .rolling import LOWER, U64, joined, mix, slices, word_hashes
+from .rolling import LOWER, U64, mix, slices
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -44,24 +47,40 @@ _MUL = _rng.integers(0, 2**63, HASHES, dtype=U64) * U64(2) + U64(1)
 _BAND = _rng.integers(0, 2**64, BANDS, dtype=U64)
 
 
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(LOWER).split()
+
+
+def pair_codes(words: list[bytes], number: Callable[[bytes], int]) -> np.ndarray:
+    """The distinct shingles of a text as integers, ascending: pairs of its words' numbers, or of a single word -1 - number."""
+    codes = np.fromiter(map(number, words), np.int64, len(words))
+    return np.unique(codes[:-1] << 32 | codes[1:]) if len(codes) > 1 else -1 - codes
+
+
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all sets one after the other, each ascending and distinct, and where each set starts."""
-    raw, at = joined([t.translate(LOWER) for t in texts])
-    starts, _, h = word_hashes(raw)
-    doc = np.searchsorted(at, starts, side="right") - 1
-    words = np.bincount(doc, minlength=len(texts))
-    pair = doc[1:] == doc[:-1]
-    value = mix(h[:-1] * U64(0xD6E8FEB86659FD93) + h[1:])[pair]
-    owner = doc[:-1][pair]
-    # Fewer than two words: the whole sequence is the only shingle.
-    single = np.flatnonzero(words[doc] == 1) if len(doc) else np.zeros(0, np.int64)
-    value, owner = np.concatenate([value, mix(h[single] + U64(1))]), np.concatenate([owner, doc[single]])
-    order = np.lexsort((value, owner))
-    value, owner = value[order], owner[order]
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    value, owner = value[new], owner[new]
-    return value, np.searchsorted(owner, np.arange(len(texts) + 1))
+    """The sets of texts one after the other, and where each starts; equal integers are equal shingles in all of them."""
+    numbers: dict[bytes, int] = {}
+    sets = [pair_codes(words_of(t), lambda w: numbers.setdefault(w, len(numbers))) for t in texts]
+    return np.concatenate([np.zeros(0, np.int64), *sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+
+
+def hashed_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """The sets with a 64-bit hash for each shingle, where each set starts, and a SHA-256 of each set's content."""
+    hashes: dict[bytes, int] = {}
+    sets, keys = [], []
+    for t in texts:
+        words = words_of(t)
+        distinct = sorted(set(words))
+        codes = pair_codes(words, {w: i for i, w in enumerate(distinct)}.__getitem__)
+        # Words in order and pairs of their ranks: what the set is, whatever the order of the text.
+        keys.append(hashlib.sha256(b" ".join(distinct) + b"\n" + codes.tobytes()).digest())
+        for w in distinct:
+            if w not in hashes:
+                hashes[w] = xxhash.xxh3_64_intdigest(w)
+        h = np.array([hashes[w] for w in distinct], U64)
+        pairs = h[codes >> 32] * U64(0xD6E8FEB86659FD93) + h[codes & 0xFFFFFFFF] if len(words) > 1 else h + U64(1)
+        sets.append(mix(pairs))
+    return np.concatenate([np.zeros(0, U64), *sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64), keys
 
 
 def signatures(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -110,24 +129,22 @@ def agree(a: np.ndarray, b: np.ndarray, least: list[int]) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, __file, __row, n_shingles, n_bytes, set_key (128 bits of the set) and sig (binary) of every document."""
+    """doc_id, __file, __row, n_shingles, n_bytes, set_key (SHA-256 of the set's content) and sig (binary) of every document."""
     schema = "doc_id bigint, __file bigint, __row bigint, n_shingles bigint, n_bytes bigint, set_key binary, sig binary"
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             for lo, hi in slices(texts):
-                value, at = shingle_sets(texts[lo:hi])
+                value, at, key = hashed_sets(texts[lo:hi])
                 sig = signatures(value, at)
-                sums = [np.concatenate([[U64(0)], np.cumsum(v)]) for v in (value, mix(value ^ _XOR[0]))]
-                key = np.stack([s[at[1:]] - s[at[:-1]] for s in sums], axis=1)
                 n = np.diff(at)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[b.column(c)[lo:hi] for c in ("doc_id", "__file", "__row")],
                         pa.array(n, pa.int64()),
                         pa.array([len(t) for t in texts[lo:hi]], pa.int64()),
-                        pa.array([k.tobytes() if m else None for k, m in zip(key, n, strict=True)], pa.binary()),
+                        pa.array([k if m else None for k, m in zip(key, n, strict=True)], pa.binary()),
                         pa.array([s.tobytes() if m else None for s, m in zip(sig, n, strict=True)], pa.binary()),
                     ],
                     names=["doc_id", "__file", "__row", "n_shingles", "n_bytes", "set_key", "sig"],
@@ -179,21 +196,21 @@ def confirmed(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
     num, den = THRESHOLD
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = np.zeros(0, U64)
+        head, numbers = np.zeros(0, np.int64), {}
         for b in batches:
             out = []
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            a, other = b.column("a").to_pylist(), b.column("b").to_pylist()
-            for lo, hi in slices(texts):
-                value, at = shingle_sets(texts[lo:hi])
-                for i in range(lo, hi):
-                    own = value[at[i - lo] : at[i - lo + 1]]
-                    if other[i] is None:
-                        head = own
-                        continue
-                    n = len(np.intersect1d(head, own, assume_unique=True))
-                    if den * n >= num * (len(head) + len(own) - n):
-                        out.append((a[i], other[i]))
+            for a, other, text in zip(*(b.column(c).to_pylist() for c in ("a", "b", "text")), strict=True):
+                words = words_of((text or "").encode())
+                if other is None:
+                    numbers = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                    head = pair_codes(words, numbers.__getitem__)
+                    continue
+                # Words that the head hasn't get numbers of this text's own.
+                new: dict[bytes, int] = {}
+                own = pair_codes(words, lambda w: numbers[w] if w in numbers else new.setdefault(w, len(numbers) + len(new)))  # noqa: B023
+                n = len(np.intersect1d(head, own, assume_unique=True))
+                if den * n >= num * (len(head) + len(own) - n):
+                    out.append((a, other))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
     return rows.mapInArrow(of_batches, "a bigint, b bigint")

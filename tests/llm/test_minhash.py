@@ -110,3 +110,17 @@ def test_stage_keeps_one_row_of_each_component(spark, edge_docs, no_docs):
     assert kept.columns == docs.columns and sorted(key(r) for r in kept.collect()) == want
     assert {r.text for r in kept.where("doc_id = 1000").collect()} == {"quite another text of some words"}
     assert minhash.keep_one_of_each(spark, no_docs, "").count() == 0
+
+
+def test_words_with_one_polynomial_hash_are_two_words(spark):
+    """The two words of Thue and Morse have equal polynomial hashes, whatever the base, modulo a power of two."""
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{t} x"), (2, f"{u} x"), (3, t), (4, u), (5, f"{t} x {t}"), (6, f"{t.upper()} X"), (7, f"x {t} x")]
+    assert got(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))) == brute(rows)
+    values, at = minhash.shingle_sets([f"{t} x".encode(), f"{u} x".encode()])
+    assert len(set(values.tolist())) == 2
+    _, _, keys = minhash.hashed_sets([b"a b c", b"b c a b", b"a b c a b", b"a", b"a a"])
+    assert len(set(keys)) == 4 and keys[1] == keys[2] and minhash.hashed_sets([b"a b a", b"B a b"])[2][0] == minhash.hashed_sets([b"A b a", b"b a b"])[2][1]

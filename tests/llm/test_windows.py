@@ -152,3 +152,15 @@ def test_queries_on_a_larger_table(spark):
     assert got == {i: (n, gone, sha(kept)) for i, (n, gone, kept) in brute_words(rows).items()}
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in bucket_refinement.op6_bucket_refinement(spark, sf).collect()}
     assert got == {i: (n, gone, runs, sha(kept)) for i, (n, gone, runs, kept) in brute_bytes(rows).items()}
+
+
+def test_words_with_one_polynomial_hash_are_two_words(spark):
+    t = "a"
+    for _ in range(11):
+        t += t.translate(str.maketrans("ab", "ba"))
+    u = t.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"q{i}" for i in range(19))
+    rows = [(1, f"{t} {rest}"), (2, f"{u} {rest}"), (3, f"z {t} {rest}"), (4, f"y {u} {rest} y")]
+    for hot in (anchors.HOT, 1):
+        out = fmindex.substring_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), hot)
+        assert {r.doc_id: r.n_removed for r in out.collect()} == {1: 0, 2: 0, 3: 20, 4: 20}
