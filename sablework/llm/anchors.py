@@ -109,10 +109,10 @@ def all_segments(docs: DataFrame, s: Search) -> DataFrame:
 
 
 def contents_of(docs: DataFrame, wanted: DataFrame, s: Search) -> DataFrame:
-    """key, content, doc_id, start, n, copies, body for the wanted rows, cut from the texts."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "content", "copies")).alias("parts"))
-    schema = "key bigint, content bigint, doc_id bigint, start bigint, n int, copies boolean, body binary"
-    kinds = [("key", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("copies", pa.bool_())]
+    """key, content, doc_id, start, n, copies, hot, body for the wanted rows, cut from the texts."""
+    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "key", "content", "copies", "hot")).alias("parts"))
+    schema = "key bigint, content bigint, doc_id bigint, start bigint, n int, copies boolean, hot boolean, body binary"
+    kinds = [("key", pa.int64()), ("content", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("copies", pa.bool_()), ("hot", pa.bool_())]
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,7 +120,7 @@ def contents_of(docs: DataFrame, wanted: DataFrame, s: Search) -> DataFrame:
                 parts = parts.as_py()
                 bodies = s.cut(text.as_py().encode(), [(p["start"], p["start"] + p["n"] + s.width - 1) for p in parts])
                 cols = {c: pa.array([p[c] for p in parts], t) for c, t in kinds} | {"doc_id": pa.array([doc_id] * len(parts), pa.int64()), "body": pa.array(bodies, pa.binary())}
-                names = ["key", "content", "doc_id", "start", "n", "copies", "body"]
+                names = ["key", "content", "doc_id", "start", "n", "copies", "hot", "body"]
                 yield pa.RecordBatch.from_arrays([cols[c] for c in names], names=names)
 
     return docs.join(per_doc, "doc_id").select("doc_id", "text", "parts").mapInArrow(of_batches, schema)
@@ -240,12 +240,14 @@ def covered(docs: DataFrame, s: Search, hot: int = HOT) -> tuple[DataFrame, Data
     )
     kinds = written(kinds.select("key", "content", "first.doc_id", "first.start", "n", (F.col("times") > 1).alias("copies")), "contents")
     hot_keys = kinds.groupBy("key").count().where(F.col("count") > hot).select("key")
-    cut = contents_of(base, kinds, s)
     if hot_keys.isEmpty():
-        found = by_index(cut, s)
+        found = by_index(contents_of(base, kinds.withColumn("hot", F.lit(False)), s).drop("hot"), s)
     else:
-        cut = written(cut, "bodies")
-        found = by_index(cut.join(hot_keys, "key", "left_anti"), s).unionByName(by_window(cut.join(hot_keys, "key", "left_semi"), s))
+        # Narrow rows are marked, so that texts needn't be joined to the hot keys.
+        marks = written(hot_keys.withColumn("hot", F.lit(True)), "hot_keys")
+        marked = kinds.join(marks, "key", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+        cut = written(contents_of(base, marked, s), "bodies")
+        found = by_index(cut.where("not hot").drop("hot"), s).unionByName(by_window(cut.where("hot").drop("hot"), s))
 
     fate = kinds.select("key", "content", F.struct("doc_id", "start").alias("first")).join(found.where("size(gone) + size(again) > 0"), ["key", "content"])
     fate = written(fate, "fate")
