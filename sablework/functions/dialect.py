@@ -169,3 +169,63 @@ def _boundary(body: str, i: int) -> str:
 def quote(text: str) -> str:
     """A literal for both dialects."""
     return re.sub(r"([^0-9A-Za-z_\s\x80-\U0010FFFF])", r"\\\1", text)
+
+
+def _parts(java: str) -> tuple[list[list[int]], list[int]]:
+    """Groups of a Java pattern as [open, where its content begins, close, parent, whether it captures], and the places of bars."""
+    groups, bars, stack, i, depth = [], [], [], 0, 0
+    while i < len(java):
+        c = java[i]
+        if c == "\\":
+            i += 2
+            continue
+        if c == "[":
+            depth += 1
+        elif c == "]" and depth:
+            depth -= 1
+        elif c == "(" and not depth:
+            head = re.match(r"\((?:\?<[A-Za-z][A-Za-z0-9]*>|\?<?[=!]|\?[a-zA-Z-]*:|\?[a-zA-Z-]+(?=\)))?", java[i:])[0]
+            groups.append([i, i + len(head), -1, stack[-1] if stack else -1, head == "(" or head.endswith(">")])
+            stack.append(len(groups) - 1)
+        elif c == ")" and not depth:
+            groups[stack.pop()][2] = i
+        elif c == "|" and not depth:
+            bars.append(i)
+        i += 1
+    return groups, bars
+
+
+def with_prefixes(java: str, group: int) -> tuple[str, list[int], int] | None:
+    """The pattern with groups around what stands before ``group`` at each level of nesting: that pattern, the numbers of those groups
+    and the number of the group itself. A match's group begins after the texts of those. None where there is no such group.
+
+    A group that is repeated, or inside of something repeated, has no counterpart.
+    """
+    groups, bars = _parts(java)
+    capturing = [i for i, g in enumerate(groups) if g[4]]
+    if not 0 < group <= len(capturing):
+        return None
+    chain = [capturing[group - 1]]
+    while groups[chain[0]][3] >= 0:
+        chain.insert(0, groups[chain[0]][3])
+    out, at, level_start, opens = "", 0, 0, []
+    for i in chain:
+        open_, inner, close = groups[i][:3]
+        if java[close + 1 : close + 2] in ("*", "+", "{"):
+            raise PolicyError(f"group {group} of {java!r} is repeated")
+        if i != chain[-1] and re.match(r"\(\?<?[=!]", java[open_:]):
+            raise PolicyError(f"group {group} of {java!r} looks around")
+        inside = [b for b in bars if level_start <= b < open_ and not any(g[0] < b < g[2] and g[0] >= level_start for g in groups)]
+        branch = max([level_start, *[b + 1 for b in inside]])
+        # Flags hold to the end of their level, so they stay outside of the new group.
+        flags = re.match(r"(?:\(\?[a-zA-Z-]+\))*", java[branch:open_])[0]
+        if re.search(r"(?<!\\)\(\?[a-zA-Z-]+\)", java[branch + len(flags) : open_]):
+            raise PolicyError(f"flags before group {group} of {java!r}")
+        out += java[at : branch + len(flags)]
+        opens.append(len(out))
+        out += f"({java[branch + len(flags) : open_]})"
+        own, at, level_start = len(out), inner, inner
+        out += java[open_:inner]
+    whole = out + java[at:]
+    numbers = {g[0]: n for n, g in enumerate([g for g in _parts(whole)[0] if g[4]], 1)}
+    return whole, [numbers[o] for o in opens], numbers[own]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sablework.functions.dialect import with_prefixes
+
 MATCH = "array<struct<start:int,end:int,token:string,confidence:double>>"
 SPAN = (
     "struct<character_start:int,character_end:int,filter_type:string,context:string,confidence:double,text:string,"
@@ -75,6 +79,35 @@ def find_all_sql(text: str, java_regex: str, confidence: float, guard: str = "")
     return f"if(rlike({text}, {sql_text(guard)}), {found}, {NONE})" if guard else found
 
 
+def of_group(text: Column, matches: Column, java_regex: str, group: int) -> Column:
+    """Of the matches of a pattern in a text, what a capturing group took, with its own offsets. Matches that the group has no part in, or
+    an empty one, go; a pattern without that group keeps whole matches.
+
+    Each match is looked at again by itself, with the characters beside it (which boundaries look at), from its start to its end.
+    """
+    if (marked := with_prefixes(java_regex, group)) is None:
+        return matches
+    regex, prefixes, own = marked
+    raw = text.cast("binary")
+
+    def beside(m: Column) -> Column:
+        before = F.right(F.substring(raw, F.greatest(m["start"] - 3, F.lit(1)), F.least(m["start"], F.lit(4))).cast("string"), F.lit(1))
+        after = F.left(F.substring(raw, m["end"] + 1, F.lit(4)).cast("string"), F.lit(1))
+        return F.struct(m.alias("m"), before.alias("before"), after.alias("after"), F.concat(before, m["token"], after).alias("whole"))
+
+    def look(x: Column, number: int) -> Column:
+        of = lambda left, right: F.regexp_extract(x["whole"], rf"\A(?s:.{{{left}}})(?:{regex})(?=(?s:.{{{right}}})\z)", number)
+        first = F.when(x["after"] == "", of(0, 0)).otherwise(of(0, 1))
+        return F.when(x["before"] == "", first).when(x["after"] == "", of(1, 0)).otherwise(of(1, 1))
+
+    def found(x: Column) -> Column:
+        token = look(x, own)
+        start = reduce(lambda at, n: at + F.octet_length(look(x, n)), prefixes, x["m"]["start"])
+        return F.struct(start.alias("start"), (start + F.octet_length(token)).alias("end"), token.alias("token"), x["m"]["confidence"].alias("confidence"))
+
+    return F.filter(F.transform(F.transform(matches, beside), found), lambda f: f["token"] != "").cast(MATCH)
+
+
 def drop_contained_sql(lists: list[str]) -> str:
     """drop_contained() of several lists of matches one after the other, as SQL text. No match of a list contains
     another one of that list.

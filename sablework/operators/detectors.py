@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sablework.functions.dialect import quote, to_java
 from sablework.functions.replacements import replacement
-from sablework.functions.spans import NONE, drop_contained_sql, find_all, find_all_sql, let, no_matches
+from sablework.functions.spans import NONE, drop_contained, drop_contained_sql, find_all, find_all_sql, let, no_matches, of_group
 from sablework.operators.patterns import KINDS, Kind, Pattern
 from sablework.plans.policy import Block, Policy, PolicyError
 
@@ -95,10 +95,19 @@ class RegexDetector:
         found = [find_all_sql(text, j, p.confidence, p.guard) for j, p in zip(self.java, self.patterns, strict=True)]
         if digit:
             found = [f"if({digit}, {m}, {NONE})" if p.needs_digit else m for m, p in zip(found, self.patterns, strict=True)]
-        kept = F.expr(drop_contained_sql(found))
+        if any(p.group for p in self.patterns):
+            kept = self._of_groups(text, found)
+        else:
+            kept = F.expr(drop_contained_sql(found))
         post = self.post
         return F.filter(kept, lambda m: post(m["token"])) if post else kept
 
+    def _of_groups(self, text: str, found: list[str]) -> Column:
+        """The finds where patterns choose a capturing group: groups are taken before contained finds are dropped."""
+        whole = lambda j, p, m: of_group(F.expr(text), F.expr(m), j, p.group) if p.group else F.expr(m)
+        lists = F.struct(*[whole(*x).alias(f"l{i}") for i, x in enumerate(zip(self.java, self.patterns, found, strict=True))])
+        return F.transform(F.array(lists), lambda x: drop_contained(F.concat(*[x[f"l{i}"] for i in range(len(found))])))[0]
+
     def spans(self, matches: Column, context: Column) -> Column:
         return as_spans(matches, self.block, self.filter_type, context)
 

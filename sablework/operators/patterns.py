@@ -1,7 +1,8 @@
 """The detectors' patterns, in the dialect of policies, with confidences: fixed values.
 
 ``guard`` is a cheap necessary condition in Java's dialect on the whole text:
-where it fails, the pattern can't match and isn't tried.
+where it fails, the pattern can't match and isn't tried. ``group``: the capturing
+group that is the find (0: the whole match); none of the patterns here has one.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ class Pattern:
     regex: str
     confidence: float
     guard: str = "[0-9]"
+    group: int = 0
 
     @property
     def needs_digit(self) -> bool:

@@ -14,7 +14,7 @@ from sablework.operators.big_dictionary import dictionary_rows
 from sablework.operators.detectors import FUZZY, TOKEN, RegexDetector
 from sablework.operators.metrics import RedactionMetrics, metrics, redactions_by_type
 from sablework.operators.model import Entity
-from sablework.operators.patterns import KINDS, STRICT_EMAIL
+from sablework.operators.patterns import KINDS, STRICT_EMAIL, Kind, Pattern
 from sablework.operators.span_rows import drop_contained_rows
 from sablework.oracle import ALL_KINDS, COLUMNS, LUHN_SQL, POST_SQL, RANDOM_SQL, explain_sql, large_list_sql, of, redact_sql, spans_sql
 from sablework.plans.engine import Engine, redact_requests
@@ -83,6 +83,23 @@ def strict_email(spark: SparkSession, sf: str) -> DataFrame:
     return rows(Engine({}, detectors=[detector]), corpus(spark, sf))
 
 
+
+
+def capture_group(spark: SparkSession, sf: str) -> DataFrame:
+    """Patterns of a user that mean a part of what they match: a mailbox's name, and the last digits of a number."""
+    kind = next(k for k in KINDS if k.key == "ssn")
+    patterns = (Pattern(r"([a-z0-9.+]+)@example([0-9])\.com", 0.5, "@", 1), Pattern(r"\b([0-9]{3})-(?:[0-9]{2})-([0-9]{4})\b", 0.75, "[0-9]", 2))
+    detector = RegexDetector(Kind("user", "user", ()), Block(kind.key), patterns)
+    return rows(Engine({}, detectors=[detector]), corpus(spark, sf))
+
+
+_USER = [(Kind("user", "user", ()), (Pattern(r"[a-z0-9.+]+@example[0-9]\.com", 0.5), Pattern(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", 0.75)))]
+register(
+    "capture_group",
+    capture_group,
+    f"{spans_sql(_USER, corpus_sql(), post={})}, g AS (SELECT doc_id, CASE p WHEN 0 THEN lo ELSE hi - 4 END AS lo, CASE p WHEN 0 THEN hi - 13 ELSE hi END AS hi, kind, replacement, confidence, "
+    f"CASE p WHEN 0 THEN regexp_replace(token, '@.*', '') ELSE right(token, 4) END AS token FROM s) SELECT {COLUMNS} FROM g",
+)
 register("detect_email_address_strict", strict_email, explain_sql([(of("emailAddress")[0][0], (STRICT_EMAIL,))], corpus_sql()))
 register("explain_corpus", lambda spark, sf: rows(Engine(ALL_POLICY), corpus(spark, sf)), explain_sql(ALL_KINDS, corpus_sql()))
 register("explain_documents", lambda spark, sf: rows(Engine(ALL_POLICY), documents(spark, sf)), explain_sql(ALL_KINDS, DOCS_SQL))
@@ -199,7 +216,6 @@ def _dictionary(**options) -> dict:
 
 def _words_sql(fold: bool) -> list:
     from sablework.functions.dialect import quote
-    from sablework.operators.patterns import Kind, Pattern
 
     return [(Kind("dictionaries", "custom-dictionary", ()), tuple(Pattern(("(?i)" if fold else "") + rf"\b{quote(w)}\b", 1.0) for w in WORDS))]
 
