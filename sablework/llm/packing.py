@@ -13,8 +13,10 @@ All of this happens inside the task that reads the documents: nothing is
 shuffled, and a task that is run again gives the same windows. sequence_id
 holds the task's number in its upper bits.
 
-Null text counts as empty: one piece, the end id. Repeated rows are packed as
-often as they are there. An empty table gives an empty result.
+Null text counts as empty: one piece, the end id. Repeated rows, and rows of
+equal or null ids, are packed as often as they are there. Very long texts are encoded one at a
+time and fill windows of their own. Columns other than doc_id and text aren't
+looked at, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, long_id, small_batches
+from .common import documents, located, long_id, small_batches
 
 WINDOW, END_ID, VOCABULARY = 1024, 0, "byte_bpe_50k"
 MAX_PIECE, GROUP = 512, 256
@@ -207,5 +209,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last one: the pieces of all documents that are left."""
-    return pack(docs)
+    """Pipeline stage, the last one: the pieces of all documents that are left, in the order in which the stage before wrote them.
+
+    Files and rows of the table say what that order is: each task packs a range of it, and later ranges have larger
+    sequence numbers, so the mixture of the sources is that of the packed sequences (within a task, but for the pieces of one
+    group of windows). Null text counts as empty; null and repeated ids are documents like others; very long texts fill windows of their own;
+    other columns aren't looked at, whatever their names; an empty table gives an empty result.
+    """
+    rows = located(docs, __file="_metadata.file_path", __row="_metadata.row_index").select("doc_id", "text", "__file", "__row")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return pack(rows.repartitionByRange(tasks, "__file", "__row").sortWithinPartitions("__file", "__row"))

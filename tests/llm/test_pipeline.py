@@ -1,7 +1,7 @@
 import corpus_pipeline
 
 import __spark_entry__ as entry
-from sablework.llm import exact_dedup, langid, minhash
+from sablework.llm import exact_dedup, langid, minhash, packing, pfair
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,7 +31,7 @@ def test_run_against_stages_by_brute_force(spark):
 def test_contract(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "mixing", "packing"]
     assert "pipeline" in entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in entry.queries() if q.startswith("op")}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
@@ -46,3 +46,21 @@ def test_run_with_edge_rows(spark, edge_docs, no_docs, as_dir):
     assert {500, 501, 502} <= {r.doc_id for r in rows}
     assert sum(r.doc_id == 500 for r in rows if r.start == 0) == 1
     assert corpus_pipeline.run(spark, as_dir(no_docs)).count() == 0
+
+
+def test_packed_sequences_are_in_the_order_of_the_mixture(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mixed = pfair.mix_sources(spark, docs, "")
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    slots = {}
+    for r in pfair.pfair_mix(docs).collect():
+        slots[r.doc_id] = r.slot
+    out = packing.pack_documents(spark, spark.read.parquet(str(tmp_path / "mixed")), "").where("start = 0")
+    tasks = {}
+    for r in out.collect():
+        if slots[r.doc_id] is not None:
+            tasks.setdefault(r.sequence_id >> 40, []).append(slots[r.doc_id])
+    assert len(tasks) > 1
+    ranges = [(min(x), max(x)) for _, x in sorted(tasks.items())]
+    # A range of slots for each task; documents of one slot may be on both sides of a border.
+    assert all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:], strict=False))
