@@ -46,7 +46,7 @@ class RedactionMetrics:
         return redacted.observe(self.watched[-1], *self.aggregates)
 
     def totals(self) -> dict[str, int]:
-        """The sums over all watched tables whose jobs have run; waits for one that runs."""
+        """The sums over all watched tables; waits for those that no job has used yet."""
         found = [o.get for o in self.watched]
         return {name: sum(f[name] for f in found) for name in ("documents", "tokens_received", "redactions_total")}
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from sablework.functions.spans import SPAN, drop_contained, let, sorted_spans, splice, sql_name
 from sablework.operators.detectors import Detector, RegexDetector, compile_detectors
 from sablework.plans.policy import Policy, PolicyError, parse_policy, parse_policy_yaml
-from sablework.plans.policy_table import PLAN, explain_by_policy, fits_table, plan_of, policy_plans, uses_of
+from sablework.plans.policy_table import OWN_ENGINE, PLAN, explain_by_policy, fits_table, plan_of, policy_plans, uses_of
 
 #: Offsets of spans in the output of explain_rows().
 SPAN_FIELDS = ("character_start", "character_end", "filter_type", "context", "confidence", "text", "replacement", "ignored", "applied")
@@ -103,8 +103,8 @@ def redact_requests(requests: DataFrame, policies: Mapping[str, str | Mapping |
     """Requests (text, context, policy, document_id, file_name; text and policy required) under the policies they name.
 
     ``policies``: by name, or a table (name, policy as JSON; unique by name), as PolicyStore keeps it. All rows are searched in one scan,
-    joined to the policies; only policies by name that have dictionaries or models, or all where ``engine`` adds detectors, take a
-    branch of the plan each. A request without text or policy, or with a policy that isn't there or (in a table) can't be used, gets an
+    joined to the policies; only policies that have dictionaries or models and that some request names, or all where ``engine`` adds
+    detectors to policies by name, take a branch of the plan each. A request without text or policy, or with a policy that isn't there or (in a table) can't be used, gets an
     ``error`` and no result. A missing document_id becomes a new one.
     """
     own: dict[str, Policy] = {}
@@ -112,6 +112,10 @@ def redact_requests(requests: DataFrame, policies: Mapping[str, str | Mapping |
         if "detectors" in engine or "models" in engine:
             raise ValueError("detectors and models go with policies by name")
         plans, uses = policy_plans(policies), None
+        apart_names = plans.where(F.col("plan.error") == OWN_ENGINE).select("name")
+        if not requests.isStreaming and not apart_names.isEmpty():
+            asked = apart_names.join(requests.select(F.col("policy").alias("name")), "name", "left_semi")
+            own = {r.name: parse_policy(r.policy) for r in policies.join(asked, "name", "left_semi").collect()}
     else:
         parsed = {name: parse_policy(p) for name, p in policies.items()}
         own = {name: p for name, p in parsed.items() if engine.get("detectors") or not fits_table(p)}

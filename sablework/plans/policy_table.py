@@ -27,6 +27,8 @@ BLOCK = (
     "struct<strict:boolean,ignored:array<string>,patterns:array<string>,mode:string,replacement:string,days:int,months:int,years:int>"
 )
 PLAN = f"error string, blocks map<string,{BLOCK}>"
+#: The error of a policy that is fine but doesn't fit the table.
+OWN_ENGINE = "dictionaries and models need an engine of their own"
 #: The one option of a block that changes what is found.
 STRICT = {"creditCard": "onlyValidCreditCardNumbers", "url": "requireHttpWwwPrefix", "zipCode": "requireDelimiter"}
 
@@ -51,7 +53,7 @@ def plan_of(policy: str | Mapping | Policy | None) -> dict:
             raise PolicyError("no policy text")
         parsed = parse_policy(policy)
         if not fits_table(parsed):
-            raise PolicyError("dictionaries and models need an engine of their own")
+            raise PolicyError(OWN_ENGINE)
         return {"error": None, "blocks": {k.key: block_row(k, b) for k in KINDS if (b := parsed.blocks.get(k.key)) and b.enabled}}
     except PolicyError as e:
         return {"error": str(e), "blocks": {}}

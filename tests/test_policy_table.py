@@ -59,11 +59,12 @@ def test_errors(spark):
     out = {r.document_id: r for r in redact_requests(df, table).collect()}
     assert out["1"].filtered_text == "a {{{REDACTED-ssn}}}" and out["1"].error is None
     start = {k: (r.error or "").split(":")[0] for k, r in out.items()}
-    assert [start[k] for k in "23456789"] == ["policy broken", "policy none", "policy words", "no policy other", "text is required", "text is required", "policy is required", "policy is required"]
-    assert all(r.filtered_text is None and r.spans == [] for k, r in out.items() if k in "23456789")
+    # Dictionaries take a branch of their own.
+    assert out["4"].filtered_text == "{{{REDACTED-custom-dictionary}}}" and out["4"].error is None
+    assert [start[k] for k in "2356789"] == ["policy broken", "policy none", "no policy other", "text is required", "text is required", "policy is required", "policy is required"]
+    assert all(r.filtered_text is None and r.spans == [] for k, r in out.items() if k in "2356789")
     new = next(r for k, r in out.items() if k not in "123456789")
     assert new.filtered_text == "y" and len(new.document_id) == 36
-    # By name, dictionaries take a branch of their own.
     both = redact_requests(df, {"ok": {"identifiers": {"ssn": {}}}, "words": {"identifiers": {"dictionaries": [{"terms": ["x"]}]}}})
     assert {r.document_id: r.filtered_text for r in both.collect()}["4"] == "{{{REDACTED-custom-dictionary}}}"
     with pytest.raises(ValueError):
