@@ -7,10 +7,10 @@ cross entropy c * log2(n) / L in bits a symbol. The language that needs the
 fewest bits wins.
 
 The classifier is fitted on a bounded sample of labelled rows: TRAIN_ROWS in
-all, dealt evenly to the languages (TRAIN_DOCS each at most, one at least). Rows
-of up to TRAIN_LENGTH code points come first, then those with the smallest
-hashes; their texts are learned from whole. Every letter of the sample is a
-symbol of its own, whatever their number. Scoring reads whole texts, and phrases
+all, dealt evenly to the languages (TRAIN_DOCS each at most, one at least), those with
+the smallest hashes, whatever their length. They are learned from in that order until the
+language has its even part of TRAIN_CHARS code points, where the last text is cut. Every letter of
+the sample is a symbol of its own, whatever their number. Scoring reads whole texts, and phrases
 never end for any reason but a missing match. Text is lower-cased; runs of other
 characters than letters become one separator.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, long_id, small_batches, written
 
-TRAIN_ROWS, TRAIN_DOCS, TRAIN_LENGTH = 64, 16, 8000
+TRAIN_ROWS, TRAIN_DOCS, TRAIN_CHARS = 64, 16, 512_000
 #: Entries that the automata's dense tables have in all; they serve the most frequent symbols, sorted lists the rest.
 DENSE = 12_000_000
 #: Symbols in a lane of a long text. Lanes are parsed side by side and then joined where they agree.
@@ -297,19 +297,22 @@ def score_texts(texts: pa.Array, model: Model, alphabet: Alphabet) -> tuple[np.n
 
 def fit(docs: DataFrame, usable: Column | None = None) -> Model:
     """Learns from text and non-null lang of the rows that ``usable`` admits. The driver gets TRAIN_ROWS texts, or one
-    a language where there are more languages."""
+    a language where there are more languages, of TRAIN_CHARS code points in all."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.where(usable) if usable is not None else rows
     rows = rows.select(long_id(rows), "lang", "text").withColumn("digest", F.xxhash64("text"))
-    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id", "digest"), "doc_id", "digest")
-    keys = rows.select("doc_id", "lang", "digest", (F.length("text") > TRAIN_LENGTH).alias("long"))
-    some = keys.select("doc_id", "lang", "digest", F.dense_rank().over(order).alias("rank")).where(F.col("rank") <= TRAIN_DOCS)
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "digest"), "doc_id", "digest")
+    keys = rows.select("doc_id", "lang", "digest", F.length("text").cast("long").alias("n"))
+    some = keys.select("doc_id", "lang", "digest", "n", F.dense_rank().over(order).alias("rank")).where(F.col("rank") <= TRAIN_DOCS)
     # TRAIN_DOCS ids a language
     some = written(some.distinct(), "sample")
     n_langs = some.select("lang").distinct().count()
     some = some.where(F.col("rank") <= max(1, TRAIN_ROWS // max(1, n_langs)))
+    part = max(1, TRAIN_CHARS // max(1, n_langs))
+    before = F.sum("n").over(Window.partitionBy("lang").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+    some = some.withColumn("room", F.lit(part) - F.coalesce(before, F.lit(0))).where("room > 0")
     same = rows["doc_id"].eqNullSafe(some["doc_id"]) & (rows["lang"] == some["lang"]) & (rows["digest"] == some["digest"])
-    picked = rows.join(F.broadcast(some), same).groupBy(some["lang"], "rank").agg(F.min("text").alias("text"))
+    picked = rows.join(F.broadcast(some), same).groupBy(some["lang"], "rank").agg(F.min(F.substring(F.col("text"), F.lit(1), F.col("room").cast("int"))).alias("text"))
     texts: dict[str, list[tuple]] = {}
     for r in picked.collect():
         texts.setdefault(r.lang, []).append((r["rank"], r.text))

@@ -45,8 +45,13 @@ def test_query_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("h", F.xxhash64("doc_id", F.xxhash64("text"))).collect()
     for lang in {r.lang for r in docs if r.lang}:
         rows = [r for r in docs if r.lang == lang and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
-        rows.sort(key=lambda r: (len(r.text) > langid.TRAIN_LENGTH, r.h))
-        picked[lang] = [r.text for r in rows[: min(langid.TRAIN_DOCS, langid.TRAIN_ROWS // 4)]]
+        rows.sort(key=lambda r: r.h)
+        room, texts = langid.TRAIN_CHARS // 4, []
+        for r in rows[: min(langid.TRAIN_DOCS, langid.TRAIN_ROWS // 4)]:
+            if room > 0:
+                texts.append(r.text[:room])
+            room -= len(r.text)
+        picked[lang] = texts
     assert model.langs == sorted(picked)
     plain = lambda t: re.sub(r" +", " ", "".join(c.lower()[0] if c.isalpha() else " " for c in t))
     trained = {lang: "".join(" " + plain(t).lstrip() for t in parts) for lang, parts in picked.items()}
@@ -117,3 +122,13 @@ def test_stage_without_any_language_keeps_what_has_letters(spark, edge_docs):
     docs = edge_docs.withColumn("lang", F.lit(None).cast("string"))
     kept = langid.keep_known_languages(spark, docs, "").collect()
     assert len(kept) == sum(any(c.isalpha() for c in r.text or "") for r in docs.collect()) > 0
+
+
+def test_the_sample_is_bounded_whatever_the_lengths(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 1000)
+    rows = [(i, "ab cd " * 2000, "x") for i in range(20)] + [(100 + i, "ef gh " * 10, "y") for i in range(20)] + [(200 + i, "ab" * 40_000, "z") for i in range(3)]
+    seen = {}
+    monkeypatch.setattr(langid, "Model", lambda texts: seen.update(texts))
+    langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert {lang: sum(map(len, texts)) for lang, texts in seen.items()} == {"x": 333, "y": 333, "z": 333}
+    assert [len(t) for t in seen["y"]] == [60, 60, 60, 60, 60, 33]
