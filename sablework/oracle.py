@@ -106,6 +106,7 @@ RANDOM_SQL: dict[str, str] = {
     "drivers-license-number": f"{letters(0, '1', UPPER)} || printf('%07d', {draw(1, 10000000)})",
     "tracking-number": f"printf('1Z%09d', {draw(0, 1000000000)})",
 }
+RANDOM_SQL["phone-number-extension"] = RANDOM_SQL["phone-number"]
 ALL_KINDS: list[tuple[Kind, tuple[Pattern, ...]]] = [(k, k.patterns) for k in KINDS]
 
 
