@@ -31,6 +31,10 @@ from .common import documents, long_id, text_or_empty, written
 K, S = 5, 2
 LEAST, LONG_WORD = 3, 24
 IDS_PER_BUCKET = 50_000
+#: Ids in a group whose texts meet in one window; with gaps of any size a group has at most CROWD times as many.
+GROUP, CROWD = 128, 8
+#: So many narrow rows are broadcast at most.
+FEW = 200_000
 #: A place is an anchor times FAR plus the distance, which counts up to FAR - 1.
 FAR = 1 << 7
 #: The white space that parts words.
@@ -89,7 +93,8 @@ def syncmers(text: Column) -> Column:
         # Without the s-mers of empty words alone.
         own = F.slice(m, K // 2 - S + 2, F.size(m) - 2 * (K // 2 - S + 1))
         bare = lambda some: F.transform(some, lambda x: x.cast("long") * FAR)
-        least = F.slice(F.array_sort(F.array_distinct(own)), 1, LEAST)
+        # sort_array() compares plain values; array_sort() would call an interpreted comparison for each pair.
+        least = F.slice(F.sort_array(F.array_distinct(own)), 1, LEAST)
         return let(starts(m, span), lambda at: F.when(F.size(at) > 0, F.concat(places(m, at), bare(least))).otherwise(bare(own)))
 
     def of_words(w: Column) -> Column:
@@ -118,15 +123,6 @@ def as_text(places: Column) -> Column:
     return F.array_join(F.transform(places, lambda x: F.right(F.concat(F.lit("0" * 10), F.lower(F.hex(digits(x)))), F.lit(10))), " ")
 
 
-def packed(places: Column) -> Column:
-    """Places in five bytes each, for the way between tasks."""
-    return F.struct(anchors(places).cast("array<int>").alias("a"), F.transform(places, lambda x: x.bitwiseAND(FAR - 1).cast("tinyint")).alias("d"))
-
-
-def unpacked(p: Column) -> Column:
-    return F.zip_with(p["a"], p["d"], lambda a, d: a.cast("long") * FAR + d)
-
-
 def next_ids(ids: DataFrame) -> DataFrame:
     """doc_id and next_id, the next smaller distinct id (after the smallest: the largest).
 
@@ -148,34 +144,61 @@ def next_ids(ids: DataFrame) -> DataFrame:
     )
 
 
+def in_group(span: int) -> Column:
+    """Neighbouring ids share a group, of fewer than 2 * span different ones."""
+    return F.expr(f"doc_id div {span}L")
+
+
+def beside_next(known: DataFrame, n: int, least: int, most: int) -> DataFrame:
+    """doc_id, text, places, next (text and places of the next document), for ``n`` rows with different ids.
+
+    Texts are dealt out once, by group of ids; behind that exchange anchors are taken, once a text, and a window finds
+    the next document. The first document of each group is a guest in the group whose last one comes before it.
+    """
+    span = GROUP * max(1, (most - least + 1) // n)
+    # Where ids lie in clumps, a width that fits the whole range would put a clump into one group.
+    if span > GROUP and known.groupBy(in_group(span).alias("group")).count().agg(F.max("count")).first()[0] > CROWD * GROUP:
+        span = GROUP
+    tops = known.groupBy(in_group(span).alias("group")).agg(F.max("doc_id").alias("doc_id"))
+    visits = written(next_ids(tops).select(F.col("next_id").alias("doc_id"), in_group(span).alias("host")), "visits")
+    visits = F.broadcast(visits) if visits.count() <= FEW else visits
+    place = lambda group, guest: F.struct(group.alias("group"), F.lit(guest).alias("guest"))
+    own, visit = place(in_group(span), False), place(F.col("host"), True)
+    both = F.when(F.col("host").isNull(), F.array(own)).otherwise(F.array(own, visit))
+    rows = known.join(visits, "doc_id", "left").select("doc_id", "text", F.explode(both).alias("at"))
+    order = "guest", F.col("doc_id").desc()
+    # Sorted before anchors are taken, so a task's sort holds texts alone.
+    rows = rows.select("doc_id", "text", "at.*").repartition("group").sortWithinPartitions("group", *order)
+    beside = F.lead(F.struct("text", "places")).over(Window.partitionBy("group").orderBy(*order))
+    return rows.withColumn("places", syncmers(F.col("text"))).withColumn("next", beside).where("not guest").select("doc_id", "text", "places", "next")
+
+
+def beside_next_by_join(known: DataFrame, share: int) -> DataFrame:
+    """The same where ids repeat, so any number of rows may share one: the next text is the smallest of its id, as far as it is needed."""
+    asks = known.groupBy("doc_id").agg(F.max((F.length("text") / share).cast("int")).alias("want"))
+    asks = next_ids(known).join(asks, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
+    given = known.join(asks, "doc_id").select(
+        F.col("asker").alias("doc_id"), F.struct(F.expr("left(text, want)").alias("text"), syncmers(F.col("text")).alias("places")).alias("next")
+    )
+    given = given.groupBy("doc_id").agg(F.min("next").alias("next"))
+    return known.join(given, "doc_id").select("doc_id", "text", syncmers(F.col("text")).alias("places"), "next")
+
+
 def edited_fingerprints(docs: DataFrame, share: int = 3) -> DataFrame:
     """Every document beside its edited text: the last floor(n / share) code points give way to as many first ones of
     the next document (descending doc_id). Columns: doc_id, text, edited, anchors, edited_anchors, next_anchors.
-
-    Texts are dealt out by doc_id once; both joins read that exchange, and anchors are taken from what they give. (Anchors
-    taken before would travel with the texts, at twice the disk.)
     """
     base = docs.select(long_id(docs), text_or_empty().alias("text"))
     known = base.where(F.col("doc_id").isNotNull())
+    n, ids, least, most = known.agg(F.count("doc_id"), F.countDistinct("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
+    pairs = beside_next(known, n, least, most) if n and n == ids else beside_next_by_join(known, share)
+    nothing = F.struct(F.lit("").alias("text"), F.array().cast("array<bigint>").alias("places"))
+    alone = base.where(F.col("doc_id").isNull()).withColumn("places", syncmers(F.col("text"))).withColumn("next", nothing)
     n_cut = (F.length("text") / share).cast("int")
-    asks = known.groupBy("doc_id").agg(F.max(n_cut).alias("want"))
-    asks = next_ids(known).join(asks, "doc_id").select(F.col("doc_id").alias("asker"), F.col("next_id").alias("doc_id"), "want")
-    given = known.join(asks, "doc_id").select(
-        F.col("asker").alias("doc_id"), F.struct(F.expr("left(text, want)").alias("head"), packed(syncmers(F.col("text"))).alias("places")).alias("given")
+    edited = F.concat(F.left("text", F.length("text") - n_cut), F.left(F.col("next.text"), n_cut))
+    return pairs.unionByName(alone).withColumn("edited", edited).select(
+        "doc_id", "text", "edited", F.col("places").alias("anchors"), syncmers(F.col("edited")).alias("edited_anchors"), F.col("next.places").alias("next_anchors")
     )
-    # Only repeated ids give several next texts.
-    given = given.groupBy("doc_id").agg(F.min("given").alias("given")) if has_repeats(known) else given
-    nothing = F.struct(F.lit("").alias("head"), packed(F.array().cast("array<bigint>")).alias("places"))
-    pairs = known.join(given, "doc_id").unionByName(base.where(F.col("doc_id").isNull()).withColumn("given", nothing))
-    pairs = pairs.withColumn("edited", F.concat(F.left("text", F.length("text") - n_cut), F.left(F.col("given.head"), n_cut)))
-    return pairs.select(
-        "doc_id", "text", "edited", syncmers(F.col("text")).alias("anchors"), syncmers(F.col("edited")).alias("edited_anchors"),
-        unpacked(F.col("given.places")).alias("next_anchors"),
-    )
-
-
-def has_repeats(ids: DataFrame) -> bool:
-    return not ids.groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
 def op9_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from sablework.llm import syncmers
@@ -131,6 +132,45 @@ def test_next_ids_over_several_ranges(spark, monkeypatch):
     assert got == {a: b for a, b in zip(ids, [*ids[1:], ids[0]], strict=True)}
 
 
+IDS = {
+    "dense": list(range(-20, 40)),
+    "even gaps": [i * 1000 - 7 for i in range(60)],
+    "clumps": [*range(25), *range(10**15, 10**15 + 25), -(2**63), 2**63 - 1],
+    "one": [5],
+}
+
+
+@pytest.mark.parametrize("ids", IDS.values(), ids=IDS)
+def test_next_documents_over_groups(spark, monkeypatch, ids):
+    """Texts and places of the next document, where groups hold a few ids, and where few rows may be broadcast."""
+    monkeypatch.setattr(syncmers, "GROUP", 4)
+    rows = [(i, f"{n} " * (n % 7) + "a b c d e f g"[: n % 14]) for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = sorted(rows, reverse=True)
+    after = {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
+    prints = {r.text: r.a for r in docs.select("text", syncmers.syncmers(F.col("text")).alias("a")).collect()}
+    for few in (syncmers.FEW, 0):
+        monkeypatch.setattr(syncmers, "FEW", few)
+        out = syncmers.edited_fingerprints(docs).collect()
+        cut = {i: len(t) // 3 for i, t in rows}
+        assert {r.doc_id: (r.text, r.edited) for r in out} == {i: (t, t[: len(t) - cut[i]] + after[i][: cut[i]]) for i, t in rows}
+        assert len(out) == len(rows) and all(r.anchors == prints[r.text] and r.next_anchors == prints[after[r.doc_id]] for r in out)
+
+
+def test_texts_are_dealt_out_and_read_for_anchors_once(spark, unique_docs, as_dir):
+    """No join sorts texts, and anchors are taken of a text and of its edited text only: an executor's memory held two
+    sorted copies of a task's texts beside the fingerprints."""
+    docs = spark.read.parquet(f"{as_dir(unique_docs)}/documents.parquet")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = syncmers.edited_fingerprints(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def likeness_of(spark, *pairs):
     df = spark.createDataFrame(list(pairs), "a string, b string").coalesce(1)
     return [r[0] for r in df.select(syncmers.likeness(syncmers.syncmers(F.col("a")), syncmers.syncmers(F.col("b")))).collect()]
