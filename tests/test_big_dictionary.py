@@ -1,5 +1,6 @@
 import random
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +181,45 @@ def test_folding(spark):
     assert big.fold("ÄẞΣς") == "äßσσ" and big.fold("ABC") == "abc" and big.fold("İ") == "İ"
     out = engine(["x ς y"], spark).explain(spark.createDataFrame([("X Σ Y",)], "text string")).first().spans
     assert [s.text for s in out] == ["X Σ Y"]
+
+
+def test_memory_does_not_follow_the_batch():
+    rng = random.Random(3)
+    texts = pa.array([" ".join(rng.choice(["alpha", "beta", "gamma", "a b"]) for _ in range(2000)) for _ in range(1000)])
+    index = big.TermIndex(["alpha beta", "gamma", "a"], False)
+    tracemalloc.start()
+    found = big.exact_matches(texts, index)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 10 MB of text: the arrays of one slice at a time.
+    assert len(found) == len(texts) and len(found.flatten()) > 900_000 and peak < 250 << 20
+
+
+@pytest.mark.parametrize("fuzzy, case_sensitive", [("", False), ("", True), ("medium", False)])
+def test_lists_that_stay_tables(spark, monkeypatch, fuzzy, case_sensitive):
+    """Many groups of texts and many filters, and a letter whose folded form is a word character while it is none."""
+    rng = random.Random(8)
+    texts = [random_text(rng, rng.randint(0, 200)) for _ in range(120)] + [None, "", "ſa Sa", "a\x00b ab", "é é"]
+    terms = sorted({random_text(rng, rng.randint(1, 9)).strip() for _ in range(400)} - {""}) + ["ſa", "AB ba"]
+    df = spark.createDataFrame([(i, t, [i], {"k": t}) for i, t in enumerate(texts)], "id int, text string, more array<int>, map map<string,string>").repartition(3)
+    want = {r.id: r for r in engine(terms, spark, fuzzy=fuzzy, caseSensitive=case_sensitive).explain(df).collect()}
+    monkeypatch.setattr(big, "GROUP_BYTES", 700)
+    monkeypatch.setattr(big, "FILTER_BYTES", 300)
+    got = engine(terms, spark, 0, fuzzy=fuzzy, caseSensitive=case_sensitive).explain(df)
+    assert {r.id: r for r in got.collect()} == want and sum(len(r.spans) for r in want.values()) > 500
+    assert big.group_starts(spark.range(1000).selectExpr("id", "repeat('x', 70) as text").coalesce(1), "id", "text").tolist() == [0, *range(9, 1000, 10)]
+
+
+def test_few_candidates_enter_the_join(spark):
+    """Of texts with a million stretches that have the shape of some term, only those that may be terms, once a group."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    terms = [" ".join(rng.choice(words) for _ in range(1 + i % 9)) for i in range(2000)]
+    texts = [" ".join(rng.choice(words) for _ in range(1000)) for _ in range(100)]
+    out = engine(terms, spark, 0)
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string").coalesce(1)
+    lists = out.detectors[0].words.selectExpr("false as near", "word", "place")
+    (one,) = out.detectors[0]._filters(lists)
+    asked = [r.key for r in out.detectors[0]._candidates(rows, one, big.group_starts(rows, "row", "text")).collect()]
+    present = {t.lower() for t in terms if any(f" {t.lower()} " in f" {x} " for x in texts)}
+    assert present <= set(asked) and len(asked) == len(set(asked)) < len(present) + 10_000
