@@ -210,6 +210,19 @@ def test_lists_that_stay_tables(spark, monkeypatch, fuzzy, case_sensitive):
     assert big.group_starts(spark.range(1000).selectExpr("id", "repeat('x', 70) as text").coalesce(1), "id", "text").tolist() == [0, *range(9, 1000, 10)]
 
 
+def test_the_driver_holds_a_list_as_one_array(spark):
+    words = spark.range(200_000).selectExpr("substring(sha2(string(id), 256), 1, 12) as word", "id as place")
+    detector = big.LargeDictionaryDetector(Block("dictionaries"), words)
+    df = spark.createDataFrame([("x 5feceb66ffc8 y",)], "text string")
+    tracemalloc.start()
+    found = detector.attach(df, "text", "m")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 2.4 MB of words; a row for each takes a multiple of what their tree does.
+    assert detector.travels and peak < 75 << 20
+    assert [m.token for m in found.first().m] == ["5feceb66ffc8"]
+
+
 def test_few_candidates_enter_the_join(spark):
     """Of texts with a million stretches that have the shape of some term, only those that may be terms, once a group."""
     rng = random.Random(2)
