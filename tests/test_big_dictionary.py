@@ -236,3 +236,13 @@ def test_few_candidates_enter_the_join(spark):
     asked = [r.key for r in out.detectors[0]._candidates(rows, one, big.group_starts(rows, "row", "text")).collect()]
     present = {t.lower() for t in terms if any(f" {t.lower()} " in f" {x} " for x in texts)}
     assert present <= set(asked) and len(asked) == len(set(asked)) < len(present) + 10_000
+
+
+def test_near_tokens_reach_the_driver_as_one_array(spark):
+    detector = big.LargeDictionaryDetector(Block("dictionaries", options={"fuzzy": "medium"}), spark.createDataFrame([("a", 0)], "word string, place bigint"))
+    near = spark.range(300_000).selectExpr("substring(sha2(string(id), 256), 1, 12) as token")
+    tracemalloc.start()
+    held = detector._held(near, "token")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(held) == 300_000 and held.type == pa.string() and peak < 30 << 20
