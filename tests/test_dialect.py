@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sablework.functions.dialect import quote, to_java
+from sablework.functions.dialect import BOUNDARY, quote, to_java
 from sablework.functions.spans import find_all
 from sablework.operators.patterns import KINDS, STRICT_EMAIL
 from sablework.plans.policy import PolicyError
@@ -73,3 +73,19 @@ def test_quote(spark):
     words = ["a.b", "c++", "x|y", "(z)", "$1", "é中", "a b", "[q]", "^", "\\", "-", "#&~"]
     row = spark.range(1).select(*[F.rlike(F.lit(w), F.lit("^" + quote(w) + r"\z")).alias(f"c{n}") for n, w in enumerate(words)]).first()
     assert all(row)
+
+
+def test_a_leading_boundary_tells_places_by_the_next_character(spark):
+    """What begins a pattern is looked at first, and finds stay those of the general boundary, beside folded letters beyond ASCII too."""
+    cases = [r"\b4[0-9]+\b", r"(?i)\bs[a-z]*\b", r"(?i)\b(?:k|1)a?\b", r"\b[0-9.]+a?", r"\b(?:ab|[c-e])?s\b", r"(?i)\b[.s]+", r"\bs?k?1"]
+    assert all(to_java(p).split("(?iu)")[-1].removeprefix("(?d)").startswith("(?-iu:(?=[") for p in cases)
+    leads = [p.regex for k in KINDS for p in k.patterns if p.regex.removeprefix("(?i)").startswith(r"\b")]
+    assert len(leads) > 30 and not any(BOUNDARY == to_java(p).split("(?iu)")[-1].removeprefix("(?d)")[: len(BOUNDARY)] for p in leads)
+    other = [r"\ba|s\b", r"\b\W", r"\b[^a]s", r"\bé", r"\b(?:)s", r"\ba*", STRICT_EMAIL.regex]
+    general = lambda p: to_java(p.replace(r"\b", r"(?:)\b", 1)) if p.startswith(r"\b") else to_java("(?i)(?:)" + p[4:])
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("aAsSkK14.. -_écdbſKıİ") for _ in range(rng.randint(0, 25))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    finds = lambda p, java: F.regexp_extract_all("t", F.lit(f"({java(p)})"), F.lit(1))
+    row = df.select(*[F.sum((finds(p, to_java) != finds(p, general)).cast("int")) for p in cases + other], *[F.sum(F.size(finds(p, to_java))) for p in cases]).first()
+    assert not any(row[: len(cases + other)]) and all(n > 0 for n in row[len(cases + other) :])
