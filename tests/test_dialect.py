@@ -89,3 +89,17 @@ def test_a_leading_boundary_tells_places_by_the_next_character(spark):
     finds = lambda p, java: F.regexp_extract_all("t", F.lit(f"({java(p)})"), F.lit(1))
     row = df.select(*[F.sum((finds(p, to_java) != finds(p, general)).cast("int")) for p in cases + other], *[F.sum(F.size(finds(p, to_java))) for p in cases]).first()
     assert not any(row[: len(cases + other)]) and all(n > 0 for n in row[len(cases + other) :])
+
+
+def test_redaction_is_that_of_general_boundaries(spark, monkeypatch):
+    from sablework.functions import dialect
+    from sablework.plans.engine import Engine
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choice(SEEDS) + rng.choice(GLUE) for _ in range(8)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    policy = {"identifiers": {k.key: {} for k in KINDS}}
+    got = Engine(policy).redact(df).select("text", "filtered_text")
+    monkeypatch.setattr(dialect, "_boundary", lambda *a: BOUNDARY)
+    general = Engine(policy).redact(df).select("text", "filtered_text")
+    assert got.exceptAll(general).isEmpty() and not got.where("text <> filtered_text").isEmpty()
